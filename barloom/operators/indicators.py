@@ -1,26 +1,33 @@
 """Technical indicators per symbol.
 
-Every rolling column uses one window key (symbol) and one order (date), so a chain of indicators
-costs one exchange and one sort of the bars; only the moving averages with exponential weights add
-a sort (not a shuffle). Bars are unique per symbol and day, so a window partition never exceeds the
-trading days of one symbol, whatever share of the trades that symbol has.
-
-A rolling value is null until its window holds the full number of non-null inputs.
+Every rolling column uses one window key (symbol) and one order (date), so a set of indicators costs
+one exchange and one sort of the bars; only the exponential means add a sort (not a shuffle). Bars
+are unique per symbol and day, so a window partition never exceeds the trading days of one symbol,
+whatever share of the trades that symbol has.
+
+An indicator is a list of stages: columns of one stage may read the stages before it. `run` merges
+the stages of many indicators level by level, so the columns of a level share one window pass
+instead of one pass per indicator. A rolling value is null until its window holds the full number of
+non-null inputs.
 """
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Sequence
-from functools import partial
+from functools import wraps
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from barloom.functions.numeric import as_col, pct_change
 
 ID, DATE = "order_book_id", "date"
+TEMP = "_t_"  # helper columns, dropped at the end of a run
 EMA_BLOCK = 704
 NEGLIGIBLE = 46.0  # exp(-46) is about 1e-20
 
+Stages = list[dict[str, Column]]
+
 
 def by_symbol() -> WindowSpec:
     return Window.partitionBy(ID).orderBy(DATE)
@@ -40,238 +47,293 @@ def rolling(agg: Callable[[Column], Column], column: Column | str, n: int) -> Co
     return F.when(F.count(x).over(w) == n, agg(x).over(w))
 
 
+def run(df: DataFrame, *indicators: Stages) -> DataFrame:
+    """Add the columns of all indicators, one projection per level."""
+    for level in zip_longest(*indicators, fillvalue={}):
+        merged: dict[str, Column] = {}
+        for columns in level:
+            merged.update(columns)
+        df = df.withColumns(merged)
+    return df.drop(*[c for c in df.columns if c.startswith(TEMP)])
+
+
+def staged(make: Callable[..., Stages]) -> Callable[..., DataFrame]:
+    """`sma(df, ...)` runs one indicator; `sma.stages(...)` gives its stages for a joint run."""
+
+    @wraps(make)
+    def apply(df: DataFrame, *args, **kwargs) -> DataFrame:
+        return run(df, make(*args, **kwargs))
+
+    apply.stages = make
+    return apply
+
+
 # ---------------------------------------------------------------- moving averages
 
 
-def sma(df: DataFrame, periods: Sequence[int] = (5, 10, 20, 30, 60), of: str = "close",
-        prefix: str = "sma") -> DataFrame:
-    return df.withColumns({f"{prefix}_{n}": rolling(F.avg, of, n) for n in periods})
+@staged
+def sma(periods: Sequence[int] = (5, 10, 20, 30, 60), of: str = "close",
+        prefix: str = "sma") -> Stages:
+    return [{f"{prefix}_{n}": rolling(F.avg, of, n) for n in periods}]
+
+
+def _decay(span: int) -> float:
+    return -math.log1p(-2.0 / (span + 1.0))
 
 
 def _block_rows(span: int) -> int:
-    """Rows per block: old enough blocks weigh nothing, and no weight overflows a double."""
-    decay = -math.log1p(-2.0 / (span + 1.0))
-    if EMA_BLOCK * decay >= NEGLIGIBLE and EMA_BLOCK * decay <= 600.0:
+    """Rows per block: older blocks weigh nothing, and no weight overflows a double."""
+    if span < 2:
+        raise ValueError("a span has to be at least 2")
+    if NEGLIGIBLE <= EMA_BLOCK * _decay(span) <= 600.0:
         return EMA_BLOCK
-    return math.ceil(NEGLIGIBLE / decay)
+    return math.ceil(NEGLIGIBLE / _decay(span))
+
+
+def _ewm_frame(spans: Iterable[int]) -> Stages:
+    """Row number of the symbol, then the block of each block length in use."""
+    row = F.row_number().over(by_symbol()) - F.lit(1)
+    blocks = {
+        f"{TEMP}block_{b}": F.floor(F.col(f"{TEMP}row") / F.lit(b))
+        for b in {_block_rows(s) for s in spans}
+    }
+    return [{f"{TEMP}row": row}, blocks]
+
+
+def _ewm_sums(name: str, source: str, span: int) -> dict[str, Column]:
+    b = _block_rows(span)
+    block = f"{TEMP}block_{b}"
+    keep = 1.0 - 2.0 / (span + 1.0)
+    grow = F.pow(F.lit(1.0 / keep), (F.col(f"{TEMP}row") % F.lit(b)).cast("double"))
+    weight = F.when(F.col(source).isNotNull(), grow)
+    inside = (Window.partitionBy(ID, block).orderBy(f"{TEMP}row")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = Window.partitionBy(ID).orderBy(block).rangeBetween(-1, -1)
+    carry = F.lit(math.pow(keep, b))
+    value = F.col(source) * grow
+    return {
+        f"{TEMP}num_{name}": F.sum(value).over(inside)
+        + F.coalesce(F.sum(value).over(before), F.lit(0.0)) * carry,
+        f"{TEMP}den_{name}": F.sum(weight).over(inside)
+        + F.coalesce(F.sum(weight).over(before), F.lit(0.0)) * carry,
+    }
 
 
-def ewm(df: DataFrame, spans: dict[str, tuple[str, int]]) -> DataFrame:
-    """Exponentially weighted means with weights from the first row (the adjusted form).
+def _ewm_mean(name: str, source: str) -> Column:
+    return F.when(F.col(source).isNotNull(),
+                  F.col(f"{TEMP}num_{name}") / F.col(f"{TEMP}den_{name}"))
 
-    `spans` maps an output column to (input column, span). The mean is the ratio of two weighted
-    prefix sums with weights (1-a)^-row. Rows are cut into blocks so that the weights stay finite
-    for any length of history; the previous block enters with its decayed totals and the ones
-    before it weigh less than 1e-20. The sums are ordinary windows: nothing is looped per symbol.
+
+@staged
+def ema(spans: Sequence[int] = (5, 10, 20, 30), of: str = "close", prefix: str = "ema") -> Stages:
+    """Exponential means with weights from the first row (the adjusted form).
+
+    The mean is the ratio of two weighted prefix sums with weights (1-a)^-row. Rows are cut into
+    blocks so that the weights stay finite for any length of history; the previous block enters with
+    its decayed totals, and the ones before it weigh less than 1e-20. The sums are ordinary windows:
+    nothing is looped per symbol.
     """
-    if any(span < 2 for _, span in spans.values()):
-        raise ValueError("a span has to be at least 2")
-    # an output may feed another one (signal line of a difference): one pass per level
-    pending = dict(spans)
-    out = df.withColumn("_row", F.row_number().over(by_symbol()) - F.lit(1))
-    level = {k: v for k, v in pending.items() if v[0] in out.columns}
-    if len(level) != len(pending):
-        raise ValueError(f"unknown input column in {pending}")
-    blocks = sorted({_block_rows(span) for _, span in spans.values()})
-    out = out.withColumns({f"_block_{b}": F.floor(F.col("_row") / F.lit(b)) for b in blocks})
-    weights, nums = {}, {}
-    for name, (source, span) in spans.items():
-        b, keep = _block_rows(span), 1.0 - 2.0 / (span + 1.0)
-        grow = F.pow(F.lit(1.0 / keep), (F.col("_row") % F.lit(b)).cast("double"))
-        weights[f"_w_{name}"] = F.when(F.col(source).isNotNull(), grow)
-        nums[f"_x_{name}"] = F.col(source) * grow
-    out = out.withColumns({**weights, **nums})
-    for b in blocks:
-        mine = [n for n, (_, span) in spans.items() if _block_rows(span) == b]
-        block = f"_block_{b}"
-        inside = (
-            Window.partitionBy(ID, block).orderBy("_row")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        before = Window.partitionBy(ID).orderBy(block).rangeBetween(-1, -1)
-        sums = {}
-        for name in mine:
-            for kind in ("w", "x"):
-                sums[f"_{kind}s_{name}"] = F.sum(f"_{kind}_{name}").over(inside)
-                sums[f"_{kind}p_{name}"] = F.sum(f"_{kind}_{name}").over(before)
-        out = out.withColumns(sums)
-    means = {}
-    for name, (source, span) in spans.items():
-        carry = math.pow(1.0 - 2.0 / (span + 1.0), _block_rows(span))
-
-        def total(kind: str, name: str = name, carry: float = carry) -> Column:
-            old = F.coalesce(F.col(f"_{kind}p_{name}"), F.lit(0.0)) * F.lit(carry)
-            return F.col(f"_{kind}s_{name}") + old
-
-        means[name] = F.when(F.col(source).isNotNull(), total("x") / total("w"))
-    keep_cols = [c for c in df.columns if c not in means]
-    return out.select(*keep_cols, *[c.alias(n) for n, c in means.items()])
-
-
-def ema(df: DataFrame, spans: Sequence[int] = (5, 10, 20, 30), of: str = "close") -> DataFrame:
-    return ewm(df, {f"ema_{n}": (of, n) for n in spans})
-
-
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    names = {f"{prefix}_{n}": n for n in spans}
+    sums: dict[str, Column] = {}
+    for name, n in names.items():
+        sums.update(_ewm_sums(name, of, n))
+    return [*_ewm_frame(spans), sums, {name: _ewm_mean(name, of) for name in names}]
+
+
+@staged
+def macd(fast: int = 12, slow: int = 26, signal: int = 9) -> Stages:
     """macd_diff = fast - slow, macd_dea = mean of the difference, macd_hist = 2 (diff - dea)."""
-    df = ewm(df, {"_fast": ("close", fast), "_slow": ("close", slow)})
-    df = df.withColumn("macd_diff", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = ewm(df, {"macd_dea": ("macd_diff", signal)})
-    return df.withColumn("macd_hist", F.lit(2.0) * (F.col("macd_diff") - F.col("macd_dea")))
+    f, s, d = "macd_fast", "macd_slow", "macd_dea"
+    diff, dea = F.col("macd_diff"), _ewm_mean(d, "macd_diff")
+    return [
+        *_ewm_frame((fast, slow, signal)),
+        {**_ewm_sums(f, "close", fast), **_ewm_sums(s, "close", slow)},
+        {"macd_diff": _ewm_mean(f, "close") - _ewm_mean(s, "close")},
+        _ewm_sums(d, "macd_diff", signal),
+        {"macd_dea": dea, "macd_hist": F.lit(2.0) * (diff - dea)},
+    ]
 
 
 # ---------------------------------------------------------------- oscillators and bands
 
 
-def rsi(df: DataFrame, periods: Sequence[int] = (14,), details: bool = False) -> DataFrame:
+@staged
+def rsi(periods: Sequence[int] = (14,), details: bool = False) -> Stages:
     """Simple-mean RSI. No loss but some gain is 100; neither is null."""
-    change = F.col("close") - previous("close")
-    df = df.withColumn("price_change", change)
-    df = df.withColumns({
-        "gain": F.when(F.col("price_change") > 0, F.col("price_change")).otherwise(F.lit(0.0)),
-        "loss": F.when(F.col("price_change") < 0, -F.col("price_change")).otherwise(F.lit(0.0)),
-    })
-    names = ["gain", "loss", "price_change"]
+    change = F.col("close") - F.col(f"{TEMP}last")
+    gain = F.when(change > 0, change).otherwise(F.lit(0.0))
+    loss = F.when(change < 0, -change).otherwise(F.lit(0.0))
+    means, values = {}, {}
     for n in periods:
-        g, l = f"avg_gain_{n}", f"avg_loss_{n}"
-        df = df.withColumns({g: rolling(F.avg, "gain", n), l: rolling(F.avg, "loss", n)})
+        g, l = f"{TEMP}gain_{n}", f"{TEMP}loss_{n}"
+        means.update({g: rolling(F.avg, gain, n), l: rolling(F.avg, loss, n)})
         rs = F.try_divide(F.col(g), F.col(l))
-        value = F.when(rs.isNotNull(), 100.0 - F.lit(100.0) / (F.lit(1.0) + rs)).when(
-            (F.col(l) == 0) & (F.col(g) > 0), F.lit(100.0)
-        )
-        df = df.withColumns({f"rs_{n}": rs, f"rsi_{n}": value})
-        names += [g, l, f"rs_{n}"]
-    return df if details else df.drop(*names)
-
-
-def bollinger(df: DataFrame, n: int = 20, width: float = 2.0, of: str = "close") -> DataFrame:
+        values[f"rsi_{n}"] = F.when(
+            rs.isNotNull(), F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + rs)
+        ).when((F.col(l) == 0) & (F.col(g) > 0), F.lit(100.0))
+        if details:
+            values.update({f"avg_gain_{n}": F.col(g), f"avg_loss_{n}": F.col(l), f"rs_{n}": rs})
+    if details:
+        values.update({"price_change": change, "gain": gain, "loss": loss})
+    return [{f"{TEMP}last": previous("close")}, means, values]
+
+
+@staged
+def bollinger(n: int = 20, width: float = 2.0, of: str = "close") -> Stages:
     """boll +- width sample deviations, with the position of the close inside the band."""
-    df = df.withColumns({"boll": rolling(F.avg, of, n), "boll_std": rolling(F.stddev_samp, of, n)})
-    return df.withColumns({
-        "boll_up": F.col("boll") + F.lit(width) * F.col("boll_std"),
-        "boll_down": F.col("boll") - F.lit(width) * F.col("boll_std"),
-        "boll_position": F.when(
-            F.col("boll_std") > 0, (F.col(of) - F.col("boll")) / F.col("boll_std")
-        ),
-    })
+    mid, dev = F.col("boll"), F.col("boll_std")
+    return [
+        {"boll": rolling(F.avg, of, n), "boll_std": rolling(F.stddev_samp, of, n)},
+        {
+            "boll_up": mid + F.lit(width) * dev,
+            "boll_down": mid - F.lit(width) * dev,
+            "boll_position": F.when(dev > 0, (F.col(of) - mid) / dev),
+        },
+    ]
 
 
-def stochastic(df: DataFrame, n: int = 9, smooth: int = 3) -> DataFrame:
+@staged
+def stochastic(n: int = 9, smooth: int = 3) -> Stages:
     low, high = rolling(F.min, "low", n), rolling(F.max, "high", n)
-    df = df.withColumn("_rsv", F.try_divide(F.col("close") - low, high - low) * F.lit(100.0))
-    df = df.withColumn("stoch_k", rolling(F.avg, "_rsv", smooth))
-    df = df.withColumn("stoch_d", rolling(F.avg, "stoch_k", smooth)).drop("_rsv")
-    return df.withColumn("stoch_j", F.lit(3.0) * F.col("stoch_k") - F.lit(2.0) * F.col("stoch_d"))
+    k, d = F.col("stoch_k"), rolling(F.avg, "stoch_k", smooth)
+    return [
+        {f"{TEMP}rsv": F.try_divide(F.col("close") - low, high - low) * F.lit(100.0)},
+        {"stoch_k": rolling(F.avg, f"{TEMP}rsv", smooth)},
+        {"stoch_d": d},
+        {"stoch_j": F.lit(3.0) * k - F.lit(2.0) * F.col("stoch_d")},
+    ]
 
 
-def true_range(df: DataFrame, n: int = 14) -> DataFrame:
-    last = previous("close")
-    df = df.withColumns({
-        "hl": F.col("high") - F.col("low"),
-        "hc": F.abs(F.col("high") - last),
-        "lc": F.abs(F.col("low") - last),
-    })
-    df = df.withColumn("true_range", F.greatest("hl", "hc", "lc"))
-    return df.withColumn(f"atr_{n}", rolling(F.avg, "true_range", n))
+@staged
+def true_range(n: int = 14) -> Stages:
+    last = F.col(f"{TEMP}last")
+    parts = {"hl": F.col("high") - F.col("low"), "hc": F.abs(F.col("high") - last),
+             "lc": F.abs(F.col("low") - last)}
+    widest = F.greatest(*parts.values())
+    return [{f"{TEMP}last": previous("close")},
+            {**parts, "true_range": widest, f"atr_{n}": rolling(F.avg, widest, n)}]
 
 
 # ---------------------------------------------------------------- volume and flow
 
 
-def volume_ratio(df: DataFrame, window: int = 10, out: str = "volume_ratio") -> DataFrame:
-    return df.withColumn(out, F.try_divide(F.col("volume"), rolling(F.avg, "volume", window)))
+@staged
+def volume_ratio(window: int = 10, out: str = "volume_ratio") -> Stages:
+    return [{out: F.try_divide(F.col("volume"), rolling(F.avg, "volume", window))}]
 
 
-def volume_means(df: DataFrame, periods: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    return df.withColumns({f"volume_ma{n}": rolling(F.avg, "volume", n) for n in periods})
+@staged
+def volume_means(periods: Sequence[int] = (5, 10, 20)) -> Stages:
+    return [{f"volume_ma{n}": rolling(F.avg, "volume", n) for n in periods}]
 
 
-def volume_trend(df: DataFrame) -> DataFrame:
+@staged
+def volume_trend() -> Stages:
     """Short against long volume mean: above 1.1 increasing, within 10 % stable, 0.8-0.9
     intermittent, below that decreasing."""
-    ratio = F.try_divide(rolling(F.avg, "volume", 5), rolling(F.avg, "volume", 20))
-    df = df.withColumn("_vt", ratio)
-    x = F.col("_vt")
+    x = F.col(f"{TEMP}vt")
     label = (
         F.when(x > 1.1, "increasing").when(x >= 0.9, "stable").when(x >= 0.8, "intermittent")
         .when(x.isNotNull(), "decreasing")
     )
-    return df.withColumn("volume_trend", label).drop("_vt")
+    ratio = F.try_divide(rolling(F.avg, "volume", 5), rolling(F.avg, "volume", 20))
+    return [{f"{TEMP}vt": ratio}, {"volume_trend": label}]
 
 
-def money_flow(df: DataFrame, n: int = 5) -> DataFrame:
+@staged
+def money_flow(n: int = 5) -> Stages:
     """Signed amount (by the sign of close - open) over total amount, last n rows."""
     signed = F.signum(F.col("close") - F.col("open")) * F.col("amount")
-    df = df.withColumn("net_inflow", signed)
-    flow = rolling(F.sum, "net_inflow", n)
-    return df.withColumns({
-        f"main_net_inflow_{n}d": flow,
-        "main_net_inflow_ratio": F.try_divide(flow, rolling(F.sum, "amount", n)),
-    })
+    flow = F.col(f"main_net_inflow_{n}d")
+    return [
+        {"net_inflow": signed, f"main_net_inflow_{n}d": rolling(F.sum, signed, n),
+         f"{TEMP}amount": rolling(F.sum, "amount", n)},
+        {"main_net_inflow_ratio": F.try_divide(flow, F.col(f"{TEMP}amount"))},
+    ]
 
 
 # ---------------------------------------------------------------- change, angle, risk
 
 
-def changes(df: DataFrame) -> DataFrame:
+@staged
+def changes() -> Stages:
     """pct_change / returns (same value) and the price difference to the previous bar."""
-    last = previous("close")
+    last = F.col(f"{TEMP}last")
     change = pct_change(F.col("close"), last)
-    return df.withColumns({"pct_change": change, "returns": change, "price_diff": F.col("close") - last})
+    return [{f"{TEMP}last": previous("close")},
+            {"pct_change": change, "returns": change, "price_diff": F.col("close") - last}]
 
 
-def price_angle(df: DataFrame) -> DataFrame:
+@staged
+def price_angle() -> Stages:
     change = pct_change(F.col("close"), previous("close"))
-    return df.withColumn("price_angle", F.degrees(F.atan(change)))
+    return [{"price_angle": F.degrees(F.atan(change))}]
 
 
-def ma_angles(df: DataFrame, periods: Sequence[int] = (5, 10, 20, 30, 60),
-              mode: str = "atan") -> DataFrame:
+@staged
+def ma_angles(periods: Sequence[int] = (5, 10, 20, 30, 60), mode: str = "atan") -> Stages:
     """Angle of the moving average: atan of the percent change, or 45 tanh(2 change)."""
-    missing = [n for n in periods if f"sma_{n}" not in df.columns]
-    out = sma(df, missing) if missing else df
+    if mode not in ("atan", "tanh"):
+        raise ValueError(f"unknown angle mode {mode!r}")
     angles = {}
     for n in periods:
-        change = pct_change(F.col(f"sma_{n}"), previous(f"sma_{n}"))
-        if mode == "atan":
-            angles[f"ma{n}_angle"] = F.degrees(F.atan(change * F.lit(100.0)))
-        elif mode == "tanh":
-            angles[f"ma{n}_angle"] = F.tanh(change * F.lit(2.0)) * F.lit(45.0)
-        else:
-            raise ValueError(f"unknown angle mode {mode!r}")
-    return out.withColumns(angles).drop(*[f"sma_{n}" for n in missing])
+        mean = f"{TEMP}sma_{n}"
+        change = pct_change(F.col(mean), previous(mean))
+        angles[f"ma{n}_angle"] = (
+            F.degrees(F.atan(change * F.lit(100.0))) if mode == "atan"
+            else F.tanh(change * F.lit(2.0)) * F.lit(45.0))
+    return [{f"{TEMP}sma_{n}": rolling(F.avg, "close", n) for n in periods}, angles]
 
 
-def volatility(df: DataFrame, periods: Sequence[int] = (5, 10, 20)) -> DataFrame:
+@staged
+def volatility(periods: Sequence[int] = (5, 10, 20)) -> Stages:
     """Annualised sample deviation of daily returns."""
-    df = df.withColumn("_ret", pct_change(F.col("close"), previous("close")))
-    year = math.sqrt(252.0)
-    return df.withColumns(
-        {f"volatility_{n}d": rolling(F.stddev_samp, "_ret", n) * F.lit(year) for n in periods}
-    ).drop("_ret")
+    change = pct_change(F.col("close"), F.col(f"{TEMP}last"))
+    year = F.lit(math.sqrt(252.0))
+    return [{f"{TEMP}last": previous("close")},
+            {f"volatility_{n}d": rolling(F.stddev_samp, change, n) * year for n in periods}]
 
 
-def year_range(df: DataFrame, rows: int = 250) -> DataFrame:
+def _extreme_before(short: str, rows: int, step: int, pick: Callable[..., Column]) -> Column:
+    """Extreme of the `rows` rows before the current one, from extremes over `step` rows.
+
+    rows / step lags instead of `rows` updates per row; the last piece overlaps its neighbour.
+    """
+    starts = [*range(1, rows - step + 2, step)]
+    if starts[-1] != rows - step + 1:
+        starts.append(rows - step + 1)
+    return pick(*[previous(short, k) for k in starts])
+
+
+@staged
+def year_range(rows: int = 250, step: int = 16) -> Stages:
     """Highest high and lowest low of the rows before the current one."""
-    w = by_symbol().rowsBetween(-rows, -1)
-    return df.withColumns({"year_high": F.max("high").over(w), "year_low": F.min("low").over(w)})
+    return [
+        {f"{TEMP}top": F.max("high").over(trailing(step)),
+         f"{TEMP}bottom": F.min("low").over(trailing(step))},
+        {"year_high": _extreme_before(f"{TEMP}top", rows, step, F.greatest),
+         "year_low": _extreme_before(f"{TEMP}bottom", rows, step, F.least)},
+    ]
 
 
-def drawdown(df: DataFrame, rows: int = 60) -> DataFrame:
+@staged
+def drawdown(rows: int = 60) -> Stages:
     top = F.max("high").over(trailing(rows))
-    return df.withColumn("drawdown_from_high", F.lit(1.0) - F.try_divide(F.col("close"), top))
+    return [{"drawdown_from_high": F.lit(1.0) - F.try_divide(F.col("close"), top)}]
 
 
-def support(df: DataFrame, rows: int = 20) -> DataFrame:
+@staged
+def support(rows: int = 20) -> Stages:
     """Distance to the recent low, whether it broke, and reward over risk to the recent high."""
     w = by_symbol().rowsBetween(-rows, -1)
-    df = df.withColumns({"_sup": F.min("low").over(w), "_res": F.max("high").over(w)})
-    risk = F.col("close") - F.col("_sup")
-    return df.withColumns({
-        "distance_to_support": F.try_divide(risk, F.col("_sup")),
-        "support_broken": F.col("close") < F.col("_sup"),
-        "risk_reward_ratio": F.when(risk > 0, (F.col("_res") - F.col("close")) / risk),
-    }).drop("_sup", "_res")
+    low, high = F.col(f"{TEMP}sup"), F.col(f"{TEMP}res")
+    risk = F.col("close") - low
+    return [
+        {f"{TEMP}sup": F.min("low").over(w), f"{TEMP}res": F.max("high").over(w)},
+        {"distance_to_support": F.try_divide(risk, low),
+         "support_broken": F.col("close") < low,
+         "risk_reward_ratio": F.when(risk > 0, (high - F.col("close")) / risk)},
+    ]
 
 
 def mini_score(df: DataFrame) -> DataFrame:
@@ -310,26 +372,25 @@ def last_rows(df: DataFrame, n: int) -> DataFrame:
 
 # ---------------------------------------------------------------- registry
 
-# Order matters where one entry reads another entry's column.
-REGISTRY: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "sma": sma,
-    "ema": ema,
-    "rsi": partial(rsi, periods=(6, 10, 12, 14)),
-    "macd": macd,
-    "bollinger": bollinger,
-    "stochastic": stochastic,
-    "atr": true_range,
-    "changes": changes,
-    "volume_ratio": volume_ratio,
-    "volume_means": volume_means,
-    "volume_trend": volume_trend,
-    "money_flow": money_flow,
-    "price_angle": price_angle,
-    "ma_angles": ma_angles,
-    "volatility": volatility,
-    "year_range": year_range,
-    "drawdown": drawdown,
-    "support": support,
+REGISTRY: dict[str, Callable[[], Stages]] = {
+    "sma": sma.stages,
+    "ema": ema.stages,
+    "rsi": lambda: rsi.stages((6, 10, 12, 14)),
+    "macd": macd.stages,
+    "bollinger": bollinger.stages,
+    "stochastic": stochastic.stages,
+    "atr": true_range.stages,
+    "changes": changes.stages,
+    "volume_ratio": volume_ratio.stages,
+    "volume_means": volume_means.stages,
+    "volume_trend": volume_trend.stages,
+    "money_flow": money_flow.stages,
+    "price_angle": price_angle.stages,
+    "ma_angles": ma_angles.stages,
+    "volatility": volatility.stages,
+    "year_range": year_range.stages,
+    "drawdown": drawdown.stages,
+    "support": support.stages,
 }
 
 # fixed values: the catalog's and older names -> the entry that makes the column
@@ -352,10 +413,7 @@ def calculate_indicators(df: DataFrame, names: Iterable[str] | None = None) -> D
     unknown = [n for n in wanted if n not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown indicators: {unknown}")
-    for name in REGISTRY:
-        if name in wanted:
-            df = REGISTRY[name](df)
-    return df
+    return run(df, *[make() for name, make in REGISTRY.items() if name in wanted])
 
 
 def catalog_names(df: DataFrame) -> DataFrame:
@@ -369,11 +427,9 @@ def catalog_names(df: DataFrame) -> DataFrame:
 
 def scorer_inputs(df: DataFrame) -> DataFrame:
     """All columns the scorer reads, except industry, market cap and the order-size share."""
-    steps = [
-        partial(sma, periods=(5, 10, 20)), partial(ma_angles, periods=(10,)), year_range,
-        partial(volatility, periods=(20,)), changes, volume_ratio, money_flow, volume_trend,
-        rsi, bollinger, stochastic, drawdown, support, macd,
-    ]
-    for step in steps:
-        df = step(df)
-    return df
+    return run(
+        df, sma.stages((5, 10, 20)), ma_angles.stages((10,)), year_range.stages(),
+        volatility.stages((20,)), changes.stages(), volume_ratio.stages(), money_flow.stages(),
+        volume_trend.stages(), rsi.stages((14,)), bollinger.stages(), stochastic.stages(),
+        drawdown.stages(), support.stages(), macd.stages(),
+    )

@@ -102,16 +102,19 @@ def exact_quantiles(
     return cum.groupBy(*by).agg(*cols) if by else cum.agg(*cols)
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Add the tie-averaged rank of `value` (1-based) to every row with a value.
+def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add the tie-averaged rank of `value` (1-based, within the `by` group) to every row with a
+    value. `by` has to be a fixed short list of groups, such as indicator names.
 
-    The rank table has one row per distinct value. Heavy values, at most HEAVY_SHARE by counting,
-    are matched by broadcast so that no join task receives all their rows; the rest is an ordinary
-    shuffled join with a bounded number of rows per key.
+    The rank table has one row per group and distinct value. Heavy values, at most HEAVY_SHARE per
+    group by counting, are matched by broadcast so that no join task receives all their rows; the
+    rest is an ordinary shuffled join with a bounded number of rows per key.
     """
-    cum = cumulative_counts(df, value)
+    by = list(by)
+    cum = cumulative_counts(df, value, by)
     key = f"_{out}_key"
     table = cum.select(
+        *by,
         F.col(value).alias(key),
         (F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias(out),
         (F.col("n") * F.lit(HEAVY_SHARE) > F.col("total")).alias("_heavy"),
@@ -120,8 +123,6 @@ def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     light = table.where(~F.col("_heavy")).drop("_heavy")
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull() & ~F.isnan(x)).withColumn(key, x + F.lit(0.0))
-    return (
-        rows.join(heavy, key)
-        .unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key))
-        .drop(key)
-    )
+    keys = [*by, key]
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys)
+    return rows.join(heavy, keys).unionByName(rest).drop(key)

@@ -2,10 +2,15 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, functions as F, types as T
+
+# executors get the functions themselves, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -52,7 +57,7 @@ def two_sided_p(r: float, n: float) -> float:
     return regularized_beta(df / 2.0, 0.5, df / (df + t2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([two_sided_p(a, b) for a, b in zip(r.astype(float), n.astype(float))])
 

@@ -64,7 +64,8 @@ de_listed_date string yes instrument vendor
 sector_code string yes instrument vendor
 industry_code string yes instrument vendor
 board_type string yes instrument vendor"""
-_FACTOR = """date string no temporal calculated
+# dates are real dates here; the stored text form is still accepted
+_FACTOR = """date date no temporal calculated
 factor_name string no factor calculated
 factor_value float64 yes factor calculated
 factor_category string yes factor calculated"""

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,10 @@ def materialised(df: DataFrame) -> DataFrame:
     """The frame behind a reliable checkpoint. Without a folder it is returned as it is: the result
     is the same, the passes recompute it."""
     return df.checkpoint() if checkpoint_ready(df.sparkSession) else df
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for tables that a job writes and reads back."""
+    if not checkpoint_ready(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"

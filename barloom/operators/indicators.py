@@ -68,13 +68,49 @@ def staged(make: Callable[..., Stages]) -> Callable[..., DataFrame]:
     return apply
 
 
+class RollingSums:
+    """Sums over the last n rows of one input, for several n, in two stages.
+
+    Each sum is put together from sums over a few rows: n / step lags of one short frame instead of
+    n updates per row and period. Nothing is subtracted, so no digits are lost. Whether all n inputs
+    are there follows from a running count, which costs one update per row.
+    """
+
+    def __init__(self, name: str, x: Column | str, periods: Sequence[int]):
+        self.name, self.x = name, as_col(x)
+        common = math.gcd(*periods)
+        self.step = {n: common if common > 1 else self._best_step(n) for n in periods}
+
+    @staticmethod
+    def _best_step(n: int) -> int:
+        return min((g for g in range(1, n + 1) if n % g == 0), key=lambda g: (g + n // g, -g))
+
+    def first(self) -> dict[str, Column]:
+        seen = by_symbol().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = {f"{TEMP}n_{self.name}": F.count(self.x).over(seen)}
+        for g in set(self.step.values()):
+            out[f"{TEMP}s{g}_{self.name}"] = F.sum(self.x).over(trailing(g))
+        return out
+
+    def total(self, n: int) -> Column:
+        g = self.step[n]
+        part, seen = f"{TEMP}s{g}_{self.name}", F.col(f"{TEMP}n_{self.name}")
+        pieces = [F.col(part)] + [previous(part, k) for k in range(g, n, g)]
+        before = F.lag(seen, n, 0).over(by_symbol())
+        return F.when(seen - before == n, sum(pieces[1:], pieces[0]))
+
+    def mean(self, n: int) -> Column:
+        return self.total(n) / F.lit(float(n))
+
+
 # ---------------------------------------------------------------- moving averages
 
 
 @staged
 def sma(periods: Sequence[int] = (5, 10, 20, 30, 60), of: str = "close",
         prefix: str = "sma") -> Stages:
-    return [{f"{prefix}_{n}": rolling(F.avg, of, n) for n in periods}]
+    sums = RollingSums(of, of, periods)
+    return [sums.first(), {f"{prefix}_{n}": sums.mean(n) for n in periods}]
 
 
 def _decay(span: int) -> float:
@@ -163,10 +199,11 @@ def rsi(periods: Sequence[int] = (14,), details: bool = False) -> Stages:
     change = F.col("close") - F.col(f"{TEMP}last")
     gain = F.when(change > 0, change).otherwise(F.lit(0.0))
     loss = F.when(change < 0, -change).otherwise(F.lit(0.0))
+    gains, losses = RollingSums("gain", gain, periods), RollingSums("loss", loss, periods)
     means, values = {}, {}
     for n in periods:
         g, l = f"{TEMP}gain_{n}", f"{TEMP}loss_{n}"
-        means.update({g: rolling(F.avg, gain, n), l: rolling(F.avg, loss, n)})
+        means.update({g: gains.mean(n), l: losses.mean(n)})
         rs = F.try_divide(F.col(g), F.col(l))
         values[f"rsi_{n}"] = F.when(
             rs.isNotNull(), F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + rs)
@@ -175,15 +212,17 @@ def rsi(periods: Sequence[int] = (14,), details: bool = False) -> Stages:
             values.update({f"avg_gain_{n}": F.col(g), f"avg_loss_{n}": F.col(l), f"rs_{n}": rs})
     if details:
         values.update({"price_change": change, "gain": gain, "loss": loss})
-    return [{f"{TEMP}last": previous("close")}, means, values]
+    return [{f"{TEMP}last": previous("close")}, {**gains.first(), **losses.first()}, means, values]
 
 
 @staged
 def bollinger(n: int = 20, width: float = 2.0, of: str = "close") -> Stages:
     """boll +- width sample deviations, with the position of the close inside the band."""
     mid, dev = F.col("boll"), F.col("boll_std")
+    sums = RollingSums(of, of, [n])
     return [
-        {"boll": rolling(F.avg, of, n), "boll_std": rolling(F.stddev_samp, of, n)},
+        {**sums.first(), "boll_std": rolling(F.stddev_samp, of, n)},
+        {"boll": sums.mean(n)},
         {
             "boll_up": mid + F.lit(width) * dev,
             "boll_down": mid - F.lit(width) * dev,
@@ -210,8 +249,9 @@ def true_range(n: int = 14) -> Stages:
     parts = {"hl": F.col("high") - F.col("low"), "hc": F.abs(F.col("high") - last),
              "lc": F.abs(F.col("low") - last)}
     widest = F.greatest(*parts.values())
+    sums = RollingSums("tr", widest, [n])
     return [{f"{TEMP}last": previous("close")},
-            {**parts, "true_range": widest, f"atr_{n}": rolling(F.avg, widest, n)}]
+            {**parts, "true_range": widest, **sums.first()}, {f"atr_{n}": sums.mean(n)}]
 
 
 # ---------------------------------------------------------------- volume and flow
@@ -219,12 +259,14 @@ def true_range(n: int = 14) -> Stages:
 
 @staged
 def volume_ratio(window: int = 10, out: str = "volume_ratio") -> Stages:
-    return [{out: F.try_divide(F.col("volume"), rolling(F.avg, "volume", window))}]
+    sums = RollingSums("volume", "volume", [window])
+    return [sums.first(), {out: F.try_divide(F.col("volume"), sums.mean(window))}]
 
 
 @staged
 def volume_means(periods: Sequence[int] = (5, 10, 20)) -> Stages:
-    return [{f"volume_ma{n}": rolling(F.avg, "volume", n) for n in periods}]
+    sums = RollingSums("volume", "volume", periods)
+    return [sums.first(), {f"volume_ma{n}": sums.mean(n) for n in periods}]
 
 
 @staged
@@ -236,8 +278,9 @@ def volume_trend() -> Stages:
         F.when(x > 1.1, "increasing").when(x >= 0.9, "stable").when(x >= 0.8, "intermittent")
         .when(x.isNotNull(), "decreasing")
     )
-    ratio = F.try_divide(rolling(F.avg, "volume", 5), rolling(F.avg, "volume", 20))
-    return [{f"{TEMP}vt": ratio}, {"volume_trend": label}]
+    sums = RollingSums("volume", "volume", (5, 20))
+    return [sums.first(), {f"{TEMP}vt": F.try_divide(sums.mean(5), sums.mean(20))},
+            {"volume_trend": label}]
 
 
 @staged
@@ -282,7 +325,8 @@ def ma_angles(periods: Sequence[int] = (5, 10, 20, 30, 60), mode: str = "atan")
         angles[f"ma{n}_angle"] = (
             F.degrees(F.atan(change * F.lit(100.0))) if mode == "atan"
             else F.tanh(change * F.lit(2.0)) * F.lit(45.0))
-    return [{f"{TEMP}sma_{n}": rolling(F.avg, "close", n) for n in periods}, angles]
+    sums = RollingSums("close", "close", periods)
+    return [sums.first(), {f"{TEMP}sma_{n}": sums.mean(n) for n in periods}, angles]
 
 
 @staged
@@ -294,42 +338,47 @@ def volatility(periods: Sequence[int] = (5, 10, 20)) -> Stages:
             {f"volatility_{n}d": rolling(F.stddev_samp, change, n) * year for n in periods}]
 
 
-def _extreme_before(short: str, rows: int, step: int, pick: Callable[..., Column]) -> Column:
-    """Extreme of the `rows` rows before the current one, from extremes over `step` rows.
+def _from_steps(short: str, first: int, rows: int, step: int, pick: Callable[..., Column]) -> Column:
+    """Extreme of `rows` rows that start `first` rows back, from the extremes over `step` rows.
 
     rows / step lags instead of `rows` updates per row; the last piece overlaps its neighbour.
     """
-    starts = [*range(1, rows - step + 2, step)]
-    if starts[-1] != rows - step + 1:
-        starts.append(rows - step + 1)
-    return pick(*[previous(short, k) for k in starts])
+    starts = [*range(first, first + rows - step + 1, step)]
+    if starts[-1] != first + rows - step:
+        starts.append(first + rows - step)
+    return pick(*[previous(short, k) if k else F.col(short) for k in starts])
 
 
 @staged
 def year_range(rows: int = 250, step: int = 16) -> Stages:
     """Highest high and lowest low of the rows before the current one."""
     return [
-        {f"{TEMP}top": F.max("high").over(trailing(step)),
-         f"{TEMP}bottom": F.min("low").over(trailing(step))},
-        {"year_high": _extreme_before(f"{TEMP}top", rows, step, F.greatest),
-         "year_low": _extreme_before(f"{TEMP}bottom", rows, step, F.least)},
+        {f"{TEMP}top_{step}": F.max("high").over(trailing(step)),
+         f"{TEMP}bottom_{step}": F.min("low").over(trailing(step))},
+        {"year_high": _from_steps(f"{TEMP}top_{step}", 1, rows, step, F.greatest),
+         "year_low": _from_steps(f"{TEMP}bottom_{step}", 1, rows, step, F.least)},
     ]
 
 
 @staged
-def drawdown(rows: int = 60) -> Stages:
-    top = F.max("high").over(trailing(rows))
-    return [{"drawdown_from_high": F.lit(1.0) - F.try_divide(F.col("close"), top)}]
+def drawdown(rows: int = 60, step: int = 16) -> Stages:
+    """Distance of the close below the highest high of the last rows."""
+    top = _from_steps(f"{TEMP}top_{step}", 0, rows, step, F.greatest)
+    return [{f"{TEMP}top_{step}": F.max("high").over(trailing(step))},
+            {"drawdown_from_high": F.lit(1.0) - F.try_divide(F.col("close"), top)}]
 
 
 @staged
 def support(rows: int = 20) -> Stages:
     """Distance to the recent low, whether it broke, and reward over risk to the recent high."""
-    w = by_symbol().rowsBetween(-rows, -1)
+    step = 16 if rows > 32 else max(rows // 2, 1)
     low, high = F.col(f"{TEMP}sup"), F.col(f"{TEMP}res")
     risk = F.col("close") - low
     return [
-        {f"{TEMP}sup": F.min("low").over(w), f"{TEMP}res": F.max("high").over(w)},
+        {f"{TEMP}top_{step}": F.max("high").over(trailing(step)),
+         f"{TEMP}bottom_{step}": F.min("low").over(trailing(step))},
+        {f"{TEMP}sup": _from_steps(f"{TEMP}bottom_{step}", 1, rows, step, F.least),
+         f"{TEMP}res": _from_steps(f"{TEMP}top_{step}", 1, rows, step, F.greatest)},
         {"distance_to_support": F.try_divide(risk, low),
          "support_broken": F.col("close") < low,
          "risk_reward_ratio": F.when(risk > 0, (high - F.col("close")) / risk)},

@@ -44,10 +44,10 @@ def trade_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the line items: grouped by the numeric key, the text code is added afterwards."""
+    # line numbers are one digit below 8, so order key and line number make one whole number
+    number = F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber")
     bars = daily_bars(
-        trade_ticks(spark, sf_dir), "l_suppkey", "date", "price", "size", "amount",
-        ["l_orderkey", "l_linenumber", "l_partkey", "amount", "size"],
-    )
+        trade_ticks(spark, sf_dir), "l_suppkey", "date", "price", "size", "amount", sequence=number)
     return bars.withColumn("order_book_id", symbol_code(F.col("order_book_id")))
 
 
@@ -117,7 +117,7 @@ SELECT {code_sql('l_suppkey')} AS order_book_id, CAST(l_shipdate AS DATE) AS dat
        floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price,
        l_quantity AS size, l_extendedprice AS amount,
        row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)
-         ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS rn,
+         ORDER BY l_orderkey, l_linenumber, floor(l_extendedprice / l_quantity * 100 + 0.5)) AS rn,
        count(*) OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS DATE)) AS cnt
 FROM lineitem""")
 cte("bars", """

@@ -15,6 +15,8 @@ def local_session(cpus: str | int = "*", app: str = "barloom") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "12g")
+        # long scoring expressions: methods above 8000 bytes are never compiled by the JVM
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )

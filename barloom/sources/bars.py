@@ -22,6 +22,9 @@ INSTRUMENT_DEFAULTS = {
 }
 
 
+PRICE_SPAN = 12  # digits kept for the price in a packed order key
+
+
 def daily_bars(
     ticks: DataFrame,
     symbol: Column | str,
@@ -29,14 +32,34 @@ def daily_bars(
     price: Column | str,
     size: Column | str,
     amount: Column | str,
-    order_by: Sequence[Column | str],
+    order_by: Sequence[Column | str] | None = None,
+    sequence: Column | str | None = None,
+    decimals: int = 2,
 ) -> DataFrame:
-    """OHLCV per symbol and day. `order_by` has to be a total order of the trades of a day.
+    """OHLCV per symbol and day.
 
-    Everything is a mergeable aggregate, so each map task sends one row per symbol and day however
-    many trades a symbol has; there is no sort of a symbol's trades.
+    Trades of a day are put in order either by `order_by`, a total order of any columns, or by
+    `sequence`, one whole number per trade, with equal numbers ordered by price. Everything is a
+    mergeable aggregate, so a map task sends one row per symbol and day however many trades a
+    symbol has. The second form packs number and price (on the tick grid) into one decimal, which
+    keeps the aggregation hash-based; a struct order makes Spark sort the trades of each task.
     """
-    order = F.struct(*[as_col(c) for c in order_by])
+    if (order_by is None) == (sequence is None):
+        raise ValueError("give either order_by or sequence")
+    if sequence is not None:
+        scale = 10**decimals
+        ticks_in_price = F.floor(as_col(price) * F.lit(float(scale)) + F.lit(0.5))
+        order = (as_col(sequence).cast("decimal(20,0)") * F.lit(10**PRICE_SPAN).cast(f"decimal({PRICE_SPAN + 1},0)")
+                 + ticks_in_price.cast(f"decimal({PRICE_SPAN},0)"))
+
+        def unpack(key: Column) -> Column:
+            part = key % F.lit(10**PRICE_SPAN).cast(f"decimal({PRICE_SPAN + 1},0)")
+            return part.cast("bigint") / F.lit(float(scale))
+
+        first, last = unpack(F.min("_o")), unpack(F.max("_o"))
+    else:
+        order = F.struct(*[as_col(c) for c in order_by])
+        first, last = F.min_by("_p", "_o"), F.max_by("_p", "_o")
     return (
         ticks.select(
             as_col(symbol).alias("order_book_id"),
@@ -48,10 +71,10 @@ def daily_bars(
         )
         .groupBy("order_book_id", "date")
         .agg(
-            F.min_by("_p", "_o").alias("open"),
+            first.alias("open"),
             F.max("_p").alias("high"),
             F.min("_p").alias("low"),
-            F.max_by("_p", "_o").alias("close"),
+            last.alias("close"),
             F.sum("_s").alias("volume"),
             to_tick(F.sum("_a")).alias("amount"),
             F.count(F.lit(1)).alias("trades"),

@@ -42,7 +42,8 @@ def cumulative_counts(
     k = ranges or _range_count(df)
     # a sketch over the rows as they are read, without a shuffle
     rows = df.select((F.col(value).cast("double") + F.lit(0.0)).alias(value))
-    cuts = rows.where(~F.isnan(value)).approxQuantile(value, [i / k for i in range(1, k)], 1.0 / (4 * k))
+    points = [i / k for i in range(1, k)]
+    cuts = rows.where(~F.isnan(value)).approxQuantile(value, points, 1.0 / (4 * k)) if points else []
     inner = sorted({c for c in cuts if c not in (float("inf"), float("-inf"))})
     splits = [float("-inf"), *inner, float("inf")]
     if len(splits) < 3:

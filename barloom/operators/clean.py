@@ -99,19 +99,27 @@ def valid_rsi(df: DataFrame, columns: Sequence[str] = ("rsi_6", "rsi_10", "rsi_1
 def steep_slopes(df: DataFrame, angle: str = "ma10_angle", days: int = 30,
                  steps: Sequence[float] = (1.0, 0.5)) -> DataFrame:
     """Rows near the last day with any slope whose angle exceeds the first threshold that still
-    has rows; without any such row, every row with a finite angle. The day and the counts are
-    single-row subqueries."""
-    finite = usable(angle)
-    moving = df.where(finite & (F.col(angle) != 0))
-    last = moving.agg(F.max(DATE).alias("d"))
-    recent = df.where(finite & (F.col(DATE) >= F.date_sub(last.scalar(), days))
-                      & (F.col(DATE) <= last.scalar()))
-    hits = recent.agg(F.array(*[F.count(F.when(F.col(angle) > s, 1)) for s in steps]).alias("h"))
-    pick = F.lit(None).cast("double")
+    has rows; without any such row, every row with a finite angle.
+
+    The day and the threshold come from one subquery over counts per day."""
+    finite = df.where(usable(angle))
+    over = [F.count(F.when(F.col(angle) > s, 1)) for s in steps]
+    per_day = finite.groupBy(DATE).agg(
+        F.count(F.when(F.col(angle) != 0, 1)).alias("moving"), F.array(*over).alias("over"))
+    one = per_day.agg(F.max(F.when(F.col("moving") > 0, F.col(DATE))).alias("last"),
+                      F.collect_list(F.struct(DATE, "over")).alias("all"))  # one entry per day
+
+    def has_rows(i: int) -> Column:
+        return F.exists("all", lambda x: x[DATE].between(F.date_sub("last", days), F.col("last"))
+                        & (x["over"][i] > 0))
+
+    cut = F.lit(None).cast("double")
     for i in reversed(range(len(steps))):
-        pick = F.when(F.get(hits.scalar(), F.lit(i)) > 0, F.lit(float(steps[i]))).otherwise(pick)
-    return recent.withColumn("_cut", pick).where(
-        F.col("_cut").isNull() | (F.col(angle) > F.col("_cut"))).drop("_cut")
+        cut = F.when(has_rows(i), F.lit(float(steps[i]))).otherwise(cut)
+    pick = one.select(F.struct("last", cut.alias("cut")).alias("p"))
+    return finite.withColumn("_p", pick.scalar()).where(
+        F.col(DATE).between(F.date_sub("_p.last", days), F.col("_p.last"))
+        & (F.col("_p.cut").isNull() | (F.col(angle) > F.col("_p.cut")))).drop("_p")
 
 
 def with_provenance(df: DataFrame, values: dict[str, str], total: str | None = None) -> DataFrame:

@@ -5,12 +5,11 @@ window by symbol), so nothing is joined and the work grows with the rows that ar
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from barloom.operators.clean import merge_update
 from barloom.operators.indicators import DATE, ID, by_symbol
+from barloom.sources.calendar import beside
 
 NOT_VALUES = (ID, DATE, "symbol", "exchange")
 
@@ -162,13 +161,14 @@ def missing_per_symbol(df: DataFrame, calendar: DataFrame) -> DataFrame:
     product is built. A row with day number 0 per symbol stands before the calendar, so that a
     symbol with bars outside trading days only misses every day."""
     last = calendar.agg(F.max("trade_seq").alias("m"))
-    seqs = df.select(ID, DATE).join(calendar, DATE).select(ID, "trade_seq")
+    seqs = df.select(ID, DATE).join(beside(calendar), DATE).select(ID, "trade_seq")
     start = df.select(ID).distinct().withColumn("trade_seq", F.lit(0).cast("bigint"))
     after = F.lead("trade_seq").over(Window.partitionBy(ID).orderBy("trade_seq"))
     gaps = seqs.unionByName(start).withColumn("_n", after).withColumn("_last", last.scalar())
     stop = F.coalesce(F.col("_n"), F.col("_last") + 1) - 1
     inner = F.when(stop > F.col("trade_seq"), F.sequence(F.col("trade_seq") + 1, stop))
-    return gaps.select(ID, F.explode(inner).alias("trade_seq")).join(calendar, "trade_seq").select(ID, DATE)
+    return (gaps.select(ID, F.explode(inner).alias("trade_seq"))
+            .join(beside(calendar), "trade_seq").select(ID, DATE))
 
 
 def completeness(df: DataFrame, calendar: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from barloom.functions.ranks import average_rank, exact_quantiles
 from barloom.functions.reuse import materialised
 from barloom.functions.student import correlation_p_value
 from barloom.operators.indicators import DATE, ID, by_symbol, previous
+from barloom.sources.calendar import beside
 
 # ---------------------------------------------------------------- returns
 
@@ -31,7 +32,7 @@ def forward_return(df: DataFrame, calendar: DataFrame, n: int = 5, out: str | No
     out = out or f"return_{n}d"
     w = Window.partitionBy(ID).orderBy("trade_seq").rangeBetween(n, n)
     later = F.first("close").over(w)
-    dated = df.join(calendar.select(DATE, "trade_seq"), DATE)
+    dated = df.join(beside(calendar.select(DATE, "trade_seq")), DATE)
     got = dated.withColumn(out, F.try_divide(later - F.col("close"), F.col("close"))).drop("trade_seq")
     return got.where(F.col(out).isNotNull()) if drop else got
 
@@ -73,7 +74,7 @@ def with_positions(positions: DataFrame, returns: DataFrame) -> DataFrame:
 def scores_with_prices(scores: DataFrame, bars: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
     """Scores with the price of their day and the price exactly n trading days later."""
     w = Window.partitionBy(ID).orderBy("trade_seq").rangeBetween(n, n)
-    priced = bars.join(calendar.select(DATE, "trade_seq"), DATE).select(
+    priced = bars.join(beside(calendar.select(DATE, "trade_seq")), DATE).select(
         ID, DATE, F.col("close").alias("price"), F.first("close").over(w).alias("future_price"))
     return scores.join(priced.where(F.col("future_price").isNotNull()), [ID, DATE])
 

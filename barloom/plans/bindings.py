@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.functions.numeric import to_tick
 from barloom.plans.registry import cte
 from barloom.sources.bars import daily_bars, large_order_ratio
+from barloom.sources.calendar import market_days, weekdays_of
 
 # fixed values: industry names of the demo instruments; the last one is outside the scorer's list
 INDUSTRIES = ["科技", "新能源", "医药", "消费", "金融", "资源", "其他", "综合"]
@@ -51,6 +52,16 @@ def trade_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.withColumn("order_book_id", symbol_code(F.col("order_book_id")))
 
 
+def trade_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with a trade, numbered: the same days the bars have, without building the bars."""
+    return market_days(trade_ticks(spark, sf_dir).select("date"))
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekday calendar over the span of the events."""
+    return weekdays_of(table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("date")))
+
+
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(
         "user_id", "ts", "event_id", "value", F.lit(1.0).alias("one"))

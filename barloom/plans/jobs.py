@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.numeric import usable
+from barloom.functions.reuse import materialised
 from barloom.operators import clean, complete, indicators, joins, research, schema, scoring
 from barloom.sources import tables
 
@@ -60,14 +61,23 @@ def daily_run(spark: SparkSession, base: str, bars: DataFrame, fundamentals: Dat
     return saved
 
 
+def signal_returns(scores: DataFrame, bars: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
+    """Scores with the return n trading days ahead, written once for the passes that follow."""
+    prices = research.forward_return(bars.select(ID, DATE, "close"), calendar, n)
+    return materialised(scores.join(prices.select(ID, DATE, f"return_{n}d"), [ID, DATE]))
+
+
 def signal_study(scores: DataFrame, bars: DataFrame, calendar: DataFrame, n: int,
                  categories: dict[str, Sequence[str]]) -> DataFrame:
-    """Forward returns -> discretised -> correlations by indicator, strongest first."""
-    prices = research.forward_return(bars.select(ID, DATE, "close"), calendar, n)
+    """Forward returns -> correlations by indicator, strongest first."""
+    joined = signal_returns(scores, bars, calendar, n)
+    return research.strongest(research.correlation_table(joined, categories, f"return_{n}d"))
+
+
+def signal_buckets(scores: DataFrame, bars: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
+    """Forward returns with their quantile number in `return_<n>d_bucket`."""
     target = f"return_{n}d"
-    joined = scores.join(prices.select(ID, DATE, target), [ID, DATE])
-    marked = research.discretise(joined, target, out=f"{target}_bucket")
-    return research.strongest(research.correlation_table(marked, categories, target))
+    return research.discretise(signal_returns(scores, bars, calendar, n), target, out=f"{target}_bucket")
 
 
 def decile_study(df: DataFrame, calendar: DataFrame, signal: str, n: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barloom.functions.numeric import rounded
 from barloom.operators import clean, complete, indicators as ind, joins, pools, quality, schema
 from barloom.plans.bindings import (
-    FACTOR_NAMES, INDUSTRIES, code_sql, event_bars, factors_long, instruments, symbol_code, table,
+    FACTOR_NAMES, INDUSTRIES, code_sql, event_bars, event_days, factors_long, instruments, symbol_code, table,
     trade_bars, trade_ticks)
-from barloom.plans.q_indicators import latest_scores, scored_bars
+from barloom.plans.q_indicators import scored_bars
 from barloom.plans.registry import cte, query, sql
 from barloom.plans.shape import shape
-from barloom.plans.sqltext import SYM, change, full, lag, rnd
+from barloom.plans.sqltext import full, lag, rnd
 from barloom.sources import bars as bar_source, calendar as cal, tables
 
 K = "order_book_id date"
@@ -279,7 +279,7 @@ cte("alldays", "SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_seri
 
 @query("calendar", "K1 A27 A28", sql("SELECT * FROM cal", "cal"))
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.weekdays_of(event_bars(spark, sf))
+    return event_days(spark, sf)
 
 
 @query("calendar_nth", "K2 K3 K4 K7", sql(

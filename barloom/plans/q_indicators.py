@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions import formulas
 from barloom.functions.numeric import rounded
+from barloom.functions.reuse import materialised
 from barloom.operators import indicators as ind, pools, scoring
 from barloom.plans.bindings import event_bars, instruments, order_size_share, trade_bars
 from barloom.plans.registry import cte, query, sql
@@ -444,7 +445,8 @@ for _n in pools.POOL_SIZES:
     """SELECT least(n, 100) AS basic_size, least(n, 50) AS watch_size, least(n, 20) AS core_size, least(n, 100) AS distinct_symbols
     FROM (SELECT count(*) AS n FROM latest_scores WHERE composite_score IS NOT NULL)""", "latest_scores"))
 def pool_stats(spark: SparkSession, sf: str) -> DataFrame:
-    s = latest_scores(spark, sf)
+    # three pools read the same latest scores
+    s = materialised(latest_scores(spark, sf).select("order_book_id", "composite_score"))
     return pools.pool_statistics({n: pools.pool(s, n) for n in pools.POOL_SIZES})
 
 

@@ -4,15 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.reuse import scratch_folder
-from barloom.operators import complete, indicators as ind
+from barloom.operators import indicators as ind
 from barloom.plans import jobs
-from barloom.plans.bindings import FACTOR_NAMES, event_bars, factors_long, instruments, trade_bars
-from barloom.plans.q_data import _stored, calendar, factor_pivot
-from barloom.plans.q_research import CATEGORIES
-from barloom.plans.registry import query, sql
+from barloom.plans.bindings import (
+    event_bars, event_days, factors_long, instruments, trade_bars, trade_days)
+from barloom.plans.q_data import _stored, factor_pivot
+from barloom.plans.registry import cte, query, sql
 from barloom.plans.shape import shape
-from barloom.plans.sqltext import rnd
-from barloom.sources import bars as bar_source, calendar as cal, tables
+from barloom.sources import bars as bar_source, tables
 
 KS = "order_book_id, date"
 BAR_SCHEMA = "order_book_id string, date date, close double, volume double"
@@ -156,7 +155,7 @@ def stock_analysis(spark: SparkSession, sf: str) -> DataFrame:
 def data_sync(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["order_book_id", "date", "close"]
     landed = event_bars(spark, sf).select(*cols).withColumn("close", F.col("close") * 2)
-    merged, _ = jobs.sync(_stored(spark, sf).select(*cols), landed, instruments(spark, sf), cal.weekdays_of(landed))
+    merged, _ = jobs.sync(_stored(spark, sf).select(*cols), landed, instruments(spark, sf), event_days(spark, sf))
     return merged
 
 
@@ -173,11 +172,27 @@ def daily_full_run(spark: SparkSession, sf: str) -> DataFrame:
     return shape(scored, "order_book_id date trend_score capital_score composite_score click")
 
 
-@query("signal_study", "L5 F13 F14 F15 F16")
+_STUDIED = {"rsi_14": "technical", "ma10_angle": "momentum", "volume_ratio": "volume"}
+_AVG_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+cte("studied", " UNION ALL ".join(
+    f"""SELECT '{cat}' AS category, '{c}' AS indicator, count(*) AS n, corr({c}, return_5d) AS pearson, corr(a, b) AS spearman FROM
+    (SELECT {c}, return_5d, {_AVG_RANK.format(c=c)} AS a, {_AVG_RANK.format(c="return_5d")} AS b FROM corrin WHERE {c} IS NOT NULL)""" for c, cat in _STUDIED.items()), "corrin")
+cte("rvals", """SELECT indicator, kind, n - 2 AS v, atan(abs(r) / sqrt((1 - r * r) / (n - 2)) / sqrt(n - 2)) AS th FROM
+ (SELECT indicator, 'p' AS kind, n, pearson AS r FROM studied UNION ALL SELECT indicator, 's', n, spearman FROM studied)""", "studied")
+cte("rterms", """SELECT indicator, kind, v, th, CAST(unnest(range(0, CASE WHEN v % 2 = 1 THEN (v - 1) // 2 ELSE v // 2 END)) AS DOUBLE) AS k FROM rvals""", "rvals")
+cte("rseries", """SELECT indicator, kind, CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * cos(th) * s) ELSE 1 - sin(th) * s END AS p FROM
+ (SELECT indicator, kind, any_value(v) AS v, any_value(th) AS th, sum(exp(CASE WHEN v % 2 = 1 THEN 2 * lgamma(k + 1) + k * ln(4) - lgamma(2 * k + 2)
+  ELSE lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4) END + 2 * k * ln(cos(th)))) AS s FROM rterms GROUP BY 1, 2)""", "rterms")
+
+
+@query("signal_study", "L5 F13 F14 F15 F16", sql(
+    """SELECT studied.category, studied.indicator, n, RND6(pearson) AS pearson, RND6(a.p) AS pearson_p, RND6(spearman) AS spearman, RND6(b.p) AS spearman_p,
+    CASE WHEN a.p < 1e-3 THEN '***' WHEN a.p < 1e-2 THEN '**' WHEN a.p < 5e-2 THEN '*' ELSE '' END AS stars
+    FROM studied JOIN rseries a ON a.indicator = studied.indicator AND a.kind = 'p' JOIN rseries b ON b.indicator = studied.indicator AND b.kind = 's'""", "studied", "rseries"))
 def signal_study(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows only: the Spearman p-value has no short SQL form (its parts are checked elsewhere)."""
     b = trade_bars(spark, sf)
     scores = ind.run(b, ind.rsi.stages((14,)), ind.volume_ratio.stages(), ind.ma_angles.stages((10,)))
     scores = scores.select("order_book_id", "date", "rsi_14", "volume_ratio", "ma10_angle")
-    return jobs.signal_study(scores, b, cal.market_days(b), 5, {
+    df = jobs.signal_study(scores, b, trade_days(spark, sf), 5, {
         "technical": ["rsi_14"], "momentum": ["ma10_angle"], "volume": ["volume_ratio"]})
+    return shape(df, "category indicator n pearson pearson_p spearman spearman_p stars", 6)

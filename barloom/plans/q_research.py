@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barloom.functions.reuse import materialised
 from barloom.operators import indicators as ind, pools, research as res
 from barloom.plans import jobs
-from barloom.plans.bindings import event_bars, trade_bars
+from barloom.plans.bindings import event_bars, trade_bars, trade_days
 from barloom.plans.q_indicators import latest_scores, scored_bars
 from barloom.plans.registry import cte, query, sql
 from barloom.plans.shape import shape
 from barloom.plans.sqltext import SYM, full, lag, rnd
-from barloom.sources import calendar as cal
 
 K = "order_book_id date"
 KS = "order_book_id, date"
@@ -28,12 +27,12 @@ FROM bseq a JOIN bseq b ON a.order_book_id = b.order_book_id AND b.trade_seq = a
 
 def forward(spark: SparkSession, sf: str, bars: DataFrame | None = None, n: int = 5) -> DataFrame:
     b = trade_bars(spark, sf)
-    return res.forward_return(b if bars is None else bars, cal.market_days(b), n)
+    return res.forward_return(b if bars is None else bars, trade_days(spark, sf), n)
 
 
 @query("market_calendar", "K1 F36", sql("SELECT * FROM tcal", "tcal"))
 def market_calendar(spark: SparkSession, sf: str) -> DataFrame:
-    return cal.market_days(trade_bars(spark, sf))
+    return trade_days(spark, sf)
 
 
 @query("forward_return", "G16", sql(f"SELECT {KS}, RND6(return_5d) AS return_5d FROM fwd", "fwd"))
@@ -46,7 +45,7 @@ def forward_return(spark: SparkSession, sf: str) -> DataFrame:
 def scores_with_prices(spark: SparkSession, sf: str) -> DataFrame:
     b = trade_bars(spark, sf).select("order_book_id", "date", "close")
     s = scored_bars(spark, sf).select("order_book_id", "date", "composite_score")
-    return res.scores_with_prices(s, b, cal.market_days(b), 5)
+    return res.scores_with_prices(s, b, trade_days(spark, sf), 5)
 
 
 @query("positions_with_returns", "E6", sql(
@@ -131,7 +130,7 @@ def _decile(signal: str) -> None:
 
     @query(f"decile_{signal}", rows, sql(f"SELECT quantile, count, {rnd(_DEC)} FROM dec_{signal}", f"dec_{signal}"))
     def build(spark: SparkSession, sf: str) -> DataFrame:
-        stats, _ = jobs.decile_study(step(trade_bars(spark, sf)), cal.market_days(trade_bars(spark, sf)), signal)
+        stats, _ = jobs.decile_study(step(trade_bars(spark, sf)), trade_days(spark, sf), signal)
         return shape(stats, f"quantile count {_DEC}")
 
 
@@ -146,7 +145,7 @@ cte("sig_vr_rsi", "SELECT volume_ratio * rsi_14 AS x, return_5d AS ret FROM ind
     arg_max(quantile, (mean_return_5d, quantile)) FILTER (min_signal >= 15e-1) AS best_high, arg_max(quantile, (mean_return_5d, quantile)) FILTER (max_signal <= 8e-1) AS best_low,
     arg_max(quantile, (mean_return_5d, quantile)) FILTER (quantile >= 8) AS best_extreme FROM dec_volume_ratio""", "dec_volume_ratio"))
 def best_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    _, best = jobs.decile_study(ind.volume_ratio(trade_bars(spark, sf)), cal.market_days(trade_bars(spark, sf)), "volume_ratio")
+    _, best = jobs.decile_study(ind.volume_ratio(trade_bars(spark, sf)), trade_days(spark, sf), "volume_ratio")
     return shape(best, "best best_return worst worst_return best_high best_low best_extreme")
 
 
@@ -232,7 +231,7 @@ def _signal_frame(spark: SparkSession, sf: str) -> DataFrame:
         ind.stochastic.stages(), ind.ma_angles.stages((5, 10)), ind.changes.stages(), ind.volatility.stages((5, 20)),
         ind.volume_ratio.stages(), ind.volume_means.stages((5,)), ind.money_flow.stages(), ind.drawdown.stages(),
         ind.support.stages())
-    return materialised(res.forward_return(df, cal.market_days(b), 5).select("return_5d", *_COLS))
+    return materialised(res.forward_return(df, trade_days(spark, sf), 5).select("return_5d", *_COLS))
 
 
 @query("pearson", "F12 F15", sql("SELECT indicator, n, RND6(pearson) AS pearson FROM corrs", "corrs"))

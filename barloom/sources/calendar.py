@@ -37,6 +37,13 @@ def numbered(days: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
         "date", F.row_number().over(Window.orderBy("date")).cast("bigint").alias("trade_seq"))
 
 
+def beside(days: DataFrame) -> DataFrame:
+    """A frame keyed by day, marked for broadcast. Unique days are bounded by the date type itself
+    (3.7 million, some 60 MB), and by a few thousand in any real calendar; so joining rows to their
+    day never shuffles the rows, and a day with very many rows is no hot key."""
+    return F.broadcast(days)
+
+
 def latest_day(calendar: DataFrame, as_of: str) -> DataFrame:
     """The newest trading day not after `as_of`."""
     return calendar.where(F.col("date") <= F.lit(as_of).cast("date")).agg(F.max("date").alias("date"))
@@ -101,7 +108,7 @@ def completed_day(df: DataFrame, ts: str, calendar: DataFrame, session: str = "0
     own = F.col("latest_trading") == F.col("date")
     day = F.when(~own, F.col("latest_trading")).when(
         bar_is_final(ts, session, settle_hours), F.col("date")).otherwise(F.col("_prev"))
-    out = df.withColumn("date", F.to_date(ts)).join(look, "date", "left")
+    out = df.withColumn("date", F.to_date(ts)).join(beside(look), "date", "left")
     return out.withColumn("completed_day", day).drop("latest_trading", "_prev")
 
 

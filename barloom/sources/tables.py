@@ -181,7 +181,7 @@ def clean_files(spark: SparkSession, paths: Sequence[str], out: str, doubles: Se
     df = clean(df.where(F.col(DATE).isNotNull()), order)
     for step in steps:
         df = step(df)
-    df.write.mode("overwrite").partitionBy("source_file").parquet(out)
+    df.hint("rebalance", "source_file").write.mode("overwrite").partitionBy("source_file").parquet(out)
 
 
 # ---------------------------------------------------------------- snapshots

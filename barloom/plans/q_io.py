@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.functions.reuse import scratch_folder
 from barloom.operators import indicators as ind
-from barloom.plans import jobs
+from barloom.plans import jobs, q_research  # noqa: F401  (SQL pieces of the study are used here)
 from barloom.plans.bindings import (
     event_bars, event_days, factors_long, instruments, trade_bars, trade_days)
 from barloom.plans.q_data import _stored, factor_pivot

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.functions.reuse import materialised
+
 MAX_RANGES = 8192  # edges held by the driver: at most this many doubles
 HEAVY_SHARE = 1000  # a value with more than total/HEAVY_SHARE rows is heavy: at most 1000 of them
 
@@ -22,28 +24,31 @@ def _range_count(df: DataFrame) -> int:
     return max(16, min(2 * parts, MAX_RANGES))
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct finite values with their number of rows."""
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (),
+                 weight: str | None = None) -> DataFrame:
+    """Distinct values (no null, no NaN) with their number of rows, or the sum of a row count that
+    an earlier aggregation left in `weight`."""
     x = F.col(value).cast("double")
+    n = F.col(weight) if weight else F.lit(1).cast("bigint")
     return (
-        df.select(*by, (x + F.lit(0.0)).alias(value))
-        .where(x.isNotNull() & ~F.isnan(x))
+        df.where(x.isNotNull() & ~F.isnan(x))
+        .select(*by, (x + F.lit(0.0)).alias(value), n.alias("n"))
         .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
 def cumulative_counts(
-    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None
+    df: DataFrame, value: str, by: Sequence[str] = (), ranges: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per distinct value: `n`, rows strictly `below` it, and the `total` of its group."""
     by = list(by)
-    counts = value_counts(df, value, by)
+    # read three times below (edges, range totals, ranks); the frame behind it only once
+    counts = materialised(value_counts(df, value, by, weight))
     k = ranges or _range_count(df)
-    # a sketch over the rows as they are read, without a shuffle
-    rows = df.select((F.col(value).cast("double") + F.lit(0.0)).alias(value))
     points = [i / k for i in range(1, k)]
-    cuts = rows.where(~F.isnan(value)).approxQuantile(value, points, 1.0 / (4 * k)) if points else []
+    cuts = counts.approxQuantile(value, points, 1.0 / (4 * k)) if points else []
     inner = sorted({c for c in cuts if c not in (float("inf"), float("-inf"))})
     splits = [float("-inf"), *inner, float("inf")]
     if len(splits) < 3:
@@ -105,14 +110,23 @@ def exact_quantiles(
     return cum.groupBy(*by).agg(*cols) if by else cum.agg(*cols)
 
 
-def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add the tie-averaged rank of `value` (1-based, within the `by` group) to every row with a
-    value. `by` has to be a fixed short list of groups, such as indicator names.
+def join_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join rows to a table with one row per key and a flag `_heavy` for keys with very many rows.
 
-    The rank table has one row per group and distinct value. Heavy values, at most HEAVY_SHARE per
-    group by counting, are matched by broadcast so that no join task receives all their rows; the
-    rest is an ordinary shuffled join with a bounded number of rows per key.
+    The flag may be set for at most HEAVY_SHARE keys per group (each holds more than one part in
+    HEAVY_SHARE of the rows), so those are matched by broadcast and no join task receives all rows
+    of such a key. The other keys join by shuffle with a bounded share of the rows each.
     """
+    keys = list(keys)
+    heavy = F.broadcast(table.where("_heavy").drop("_heavy"))
+    light = table.where(~F.col("_heavy")).drop("_heavy")
+    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys)
+    return rows.join(heavy, keys).unionByName(rest)
+
+
+def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add the tie-averaged rank of `value` (1-based, within the `by` group) to every row with a
+    value. `by` has to be a fixed short list of groups, such as indicator names."""
     by = list(by)
     cum = cumulative_counts(df, value, by)
     key = f"_{out}_key"
@@ -122,10 +136,6 @@ def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) ->
         (F.col("below") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias(out),
         (F.col("n") * F.lit(HEAVY_SHARE) > F.col("total")).alias("_heavy"),
     )
-    heavy = F.broadcast(table.where("_heavy").drop("_heavy"))
-    light = table.where(~F.col("_heavy")).drop("_heavy")
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull() & ~F.isnan(x)).withColumn(key, x + F.lit(0.0))
-    keys = [*by, key]
-    rest = rows.join(heavy.select(*keys), keys, "left_anti").join(light, keys)
-    return rows.join(heavy, keys).unionByName(rest).drop(key)
+    return join_lookup(rows, table, [*by, key]).drop(key)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.numeric import as_col, to_tick
+from barloom.functions.ranks import HEAVY_SHARE, cumulative_counts, join_lookup, quantile_columns
+from barloom.functions.reuse import materialised
 
 BAR_FIELDS = ["open", "high", "low", "close", "volume", "amount"]
 
@@ -143,15 +145,21 @@ def adjustment_check(dual: DataFrame) -> DataFrame:
 def large_order_ratio(ticks: DataFrame, prob: float = 0.9) -> DataFrame:
     """Per symbol and day: share of the amount from trades larger than the symbol's p90 size.
 
-    `ticks` needs order_book_id, date, size, amount. Trades of equal size collapse before the join.
+    `ticks` needs order_book_id, date, size, amount. Trades of equal size collapse before the join,
+    and symbols with a large share of what is left are matched by broadcast.
     """
-    from barloom.functions.ranks import exact_quantiles
-
-    cut = exact_quantiles(ticks, "size", [prob], ["_cut"], by=["order_book_id"])
-    small = ticks.groupBy("order_book_id", "date", "size").agg(F.sum("amount").alias("_a"))
+    small = materialised(
+        ticks.groupBy("order_book_id", "date", "size")
+        .agg(F.sum("amount").alias("_a"), F.count(F.lit(1)).alias("_n")))
+    cum = cumulative_counts(small, "size", ["order_book_id"], weight="_n")
+    cut = cum.groupBy("order_book_id").agg(quantile_columns("size", [prob])[0].alias("_cut"))
+    rows = small.groupBy("order_book_id").agg(F.count(F.lit(1)).alias("_rows"))
+    total = rows.agg(F.sum("_rows").alias("t")).scalar()
+    table = cut.join(rows, "order_book_id").select(
+        "order_book_id", "_cut", (F.col("_rows") * F.lit(HEAVY_SHARE) > total).alias("_heavy"))
     big = F.sum(F.when(F.col("size") > F.col("_cut"), F.col("_a")).otherwise(F.lit(0.0)))
     return (
-        small.join(cut, "order_book_id")
+        join_lookup(small.drop("_n"), table, ["order_book_id"])
         .groupBy("order_book_id", "date")
         .agg(F.try_divide(big, F.sum("_a")).alias("large_order_ratio"))
     )

@@ -6,30 +6,28 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
 
-def checkpoint_ready(spark: SparkSession) -> bool:
-    """Use the folder named by the session; make one only for a local master, as in tests."""
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Where it is unset, a local master
+    (tests, one machine) gets a folder of its own; a cluster has to name one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return True
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-        return True
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-        return True
-    return False
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get(SETTING, None)
+        if shared is None and not sc.master.startswith(("local[", "local,")) and sc.master != "local":
+            raise RuntimeError(f"set {SETTING} to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barloom-"))
+    return sc.getCheckpointDir()
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """The frame behind a reliable checkpoint. Without a folder it is returned as it is: the result
-    is the same, the passes recompute it."""
-    return df.checkpoint() if checkpoint_ready(df.sparkSession) else df
+    """The frame behind a reliable checkpoint. Spark removes the files with the frame if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, for tables that a job writes and reads back."""
-    if not checkpoint_ready(spark):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from barloom.llm.common import saved, table, utf8, word_blocks
 from barloom.llm.registry import query
 
-DEPTH = 6
-CONTEXTS = 1 << 13
+DEPTH = 5
+CONTEXTS = 1 << 14
 FREQUENT = 1 << 17
 LONGEST_FREQUENT = 64  # bytes; longer words are joined, so the broadcast words are bounded in bytes too
 MARK = 0xFF  # never a byte of UTF-8: before the first byte of a text and after its last
@@ -282,7 +282,7 @@ def _score(tree, frequent, missing: float):
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH,
                 contexts: int = CONTEXTS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte per row."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     counts = saved(count_training(docs, depth, "doc_id", "text"), "training-counts")
@@ -301,7 +301,6 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
         F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("_hits"),
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(below))).alias("_base"))
     rows = parts.where(F.col("word").isNull()).drop("word").join(rare, "row", "left")
-    n_bytes = None
     return rows.select(
         "doc_id", held_out("doc_id").alias("held_out"), F.col("n").alias("n_tokens"),
         (F.col("hits") + F.coalesce("_hits", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),

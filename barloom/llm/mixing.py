@@ -77,24 +77,26 @@ def poisson_steps(rate: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE,
-        doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The documents, each as often as drawn, with `replica` (from 0) and `shuffle_key`, dealt out and
-    sorted by that key."""
+        doc_id: str = "doc_id", source: str = "source", text: str = "text", marks: bool = True) -> DataFrame:
+    """The documents, each as often as drawn, dealt out and sorted by a random key; with `marks` also
+    `replica` (from 0) and that key, `shuffle_key`."""
     rate = saved(rates(docs, weights, temperature, source, text), "rates")
     found = rate.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
     steps = poisson_steps(rate)
-    rows = docs.select(*[c for c in docs.columns if c not in ("replica", "shuffle_key")]).withColumn(
-        "_source", F.coalesce(F.col(source), F.lit("")))
+    # the row travels as one struct, so that no name of its own can clash with those used here
+    rows = docs.select(F.coalesce(F.col(source), F.lit("")).alias("_source"), uniform(doc_id).alias("u"),
+                       _id(doc_id).alias("id"), F.struct(*docs.columns).alias("doc"))
     if found["n"] <= FEW_SOURCES:
         drawn = rows.join(F.broadcast(steps), "_source")
     else:  # then sources with over a thousandth of the rows, at most a thousand, are broadcast
         heavy = rate.select("_source", (F.col("rows") * HEAVY_SHARE > F.lit(found["rows"])).alias("_heavy"))
         drawn = join_lookup(rows, saved(steps.join(heavy, "_source"), "steps"), ["_source"])
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
-    drawn = drawn.withColumn("_u", uniform(doc_id)).withColumn("_n", count).where("_n > 0")
-    out = drawn.withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    out = out.withColumn("shuffle_key", _hash(_id(doc_id), F.col("replica").cast("string")))
-    return out.drop("_source", "cdf", "_u", "_n").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = drawn.withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    out = drawn.select("id", "doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("replica"))
+    out = out.select("doc", "replica", _hash(F.col("id"), F.col("replica").cast("string")).alias("shuffle_key"))
+    out = out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if not marks or c not in ("replica", "shuffle_key")]
+    return out.select(*own, "replica", "shuffle_key") if marks else out.select(*own)
 
 
 _ORACLE = f"""

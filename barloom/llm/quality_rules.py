@@ -253,6 +253,13 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return with_statistics(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
 
 
+def kept_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are kept, as they came, whatever the names of their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).alias("text"))
+    rules = learn_from(docs, labels, doc_id, text)
+    return with_statistics(rows).where(verdict(rules)).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(

@@ -182,6 +182,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", te
     return out.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_near_copies(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
+    """The rows, one of each component: that whose id names it. Of rows that repeat an id one stays; rows
+    without an id cannot be named and all stay."""
+    found = saved(near_duplicates(docs, radius, doc_id, text, size).select("doc_id", "component_id"), "components")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
+    out = docs.join(gone, doc_id, "left_anti")
+    if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(out.where(F.col(doc_id).isNull()))
+    return out
+
+
 @query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -4,28 +4,49 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 
-import numpy as np
-
-MEMO_ENTRIES = 600_000  # about 120 MB in a Python worker
+MEMO_ENTRIES = 400_000  # with as many older ones about 150 MB in a Python worker
 WHOLE_CHARS = 4096  # a piece without a space longer than this is encoded, not remembered
 
 # A space followed by a visible ASCII or Latin character always starts a pre-token of a byte-level
 # tokenizer, so a text may be cut before it: the ids of the parts are the ids of the whole.
 CUT = re.compile(r" (?=[!-~¡-ɏ])")
 
+# So may a piece after a run of Latin letters that ends at a mark or line end (but not at an apostrophe).
+WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+(?=[.,;:!?\n])")
+
 
 class _Memo(dict):
+    """Ids of pieces with the space before them. A full memo becomes the old one, which is asked before
+    the tokenizer, so pieces in use survive."""
+
     def __init__(self, encode) -> None:
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+
+    def _tail(self, tail: str) -> bytes:
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = self.encode(tail)
+            if len(self.tails) >= MEMO_ENTRIES // 4:
+                self.tails.clear()
+            self.tails[tail] = ids
+        return ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.asarray(self.encode(" " + piece), dtype="<u4").tobytes()
-        if len(piece) <= WHOLE_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[piece] = ids
+        if len(piece) > WHOLE_CHARS:
+            return self.encode(" " + piece)
+        ids = self.old.get(piece)
+        if ids is None:
+            word = WORD.match(piece)
+            ids = self[word[0]] + self._tail(piece[word.end():]) if word else self.encode(" " + piece)
+        if len(self) >= MEMO_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -41,8 +62,9 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = _Memo(self._encode)
 
-    def _encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _encode(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids. A text that holds an added special string is encoded as
@@ -50,10 +72,9 @@ class Encoder:
         if not text:
             return b""
         if any(a in text for a in self.added):
-            return np.asarray(self._encode(text), dtype="<u4").tobytes()
+            return self._encode(text)
         pieces = CUT.split(text)
-        head = np.asarray(self._encode(pieces[0]), dtype="<u4").tobytes()
-        return head + b"".join([self.memo[p] for p in pieces[1:]])
+        return self._encode(pieces[0]) + b"".join(map(self.memo.__getitem__, pieces[1:]))
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -6,7 +6,7 @@ import os
 import re
 import struct
 
-MEMO_ENTRIES = 400_000  # with as many older ones about 150 MB in a Python worker
+MEMO_ENTRIES = 320_000  # with as many older ones about 130 MB in a Python worker
 WHOLE_CHARS = 4096  # a piece without a space longer than this is encoded, not remembered
 
 # A space followed by a visible ASCII or Latin character always starts a pre-token of a byte-level

@@ -92,8 +92,8 @@ def _pack_local(path: str, end_id: int, capacity: int):
             return out
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = memoryview(enc.ids(text) + end)
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = memoryview(enc.ids(text.as_py()) + end)
                 for k, (start, length) in enumerate(cut_points(len(ids) // 4, capacity)):
                     rows.append((doc, k, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
                     if len(rows) >= BUFFER:

@@ -23,7 +23,7 @@ from barloom.llm.registry import query
 CACHE = "digest binary, tokenizer string, n_bytes long, n_tokens long"
 
 
-def _drop_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _new_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keep the first row of each digest in this task; what is held is one digest per row."""
     seen: set[bytes] = set()
     for batch in batches:
@@ -37,13 +37,15 @@ def _drop_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _encode_with(path: str, version: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in _new_rows(batches):
+            sizes, tokens = [], []
+            for text in batch.column("text"):  # one text at a time in Python's memory
+                t = text.as_py()
+                sizes.append(len(t.encode()))
+                tokens.append(len(enc.ids(t)) // 4)
             yield pa.RecordBatch.from_arrays([
-                batch.column("digest").cast(pa.binary()),
-                pa.array([version] * len(texts), pa.string()),
-                pa.array([len(t.encode()) for t in texts], pa.int64()),
-                pa.array([len(enc.ids(t)) // 4 for t in texts], pa.int64()),
+                batch.column("digest").cast(pa.binary()), pa.array([version] * len(sizes), pa.string()),
+                pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()),
             ], names=["digest", "tokenizer", "n_bytes", "n_tokens"])
 
     return encode
@@ -65,10 +67,9 @@ def extend_cache(docs: DataFrame, cache_path: str, tokenizer_path: str, text: st
     contents = docs.select(content_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = "digest binary, text string"
     misses = (
-        contents.mapInArrow(_drop_repeats, kind)
+        contents.mapInArrow(_new_rows, kind)
         .join(known.select("digest"), "digest", "left_anti")
         .repartition(F.col("digest"))
-        .mapInArrow(_drop_repeats, kind)
         .mapInArrow(_encode_with(tokenizer_path, version), CACHE)
     )
     misses.write.mode("append").parquet(cache_path)

@@ -187,7 +187,7 @@ def without_near_copies(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id"
     without an id cannot be named and all stay."""
     found = saved(near_duplicates(docs, radius, doc_id, text, size).select("doc_id", "component_id"), "components")
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    out = docs.join(gone, doc_id, "left_anti")
+    out = docs.join(gone.hint("shuffle_hash"), doc_id, "left_anti")  # the same plan at every size
     if not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         out = out.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(out.where(F.col(doc_id).isNull()))
     return out

@@ -154,6 +154,8 @@ def dedup(df: DataFrame, order: Sequence[Column | str], keep: str = "last",
     """One row per key, first or last by a total order. A mergeable aggregate, so copies collapse
     before the shuffle and a key with very many copies stays cheap."""
     keys = [k for k in keys if k in df.columns]
+    if not keys:
+        raise ValueError("none of the key columns is in the frame")
     rest = [c for c in df.columns if c not in keys]
     rank = F.struct(*[as_col(c) for c in order])
     pick = F.max_by if keep == "last" else F.min_by
@@ -175,11 +177,21 @@ def clean(df: DataFrame, order: Sequence[Column | str], remove_nulls: bool = Tru
     return dedup(df, order, keep="first") if remove_duplicates else df
 
 
-def merge_update(existing: DataFrame, new: DataFrame, keys: Sequence[str] = (ID, DATE)) -> DataFrame:
-    """Existing and new rows, the new one winning. Both sides have unique keys, so this is one
-    aggregate over the key."""
-    cols = [c for c in existing.columns if c not in keys]
+def merge_update(existing: DataFrame, new: DataFrame, keys: Sequence[str] = (ID, DATE),
+                 order: Sequence[str] = ()) -> DataFrame:
+    """Existing and new rows in one aggregate over the key, the new one winning; a column that only one
+    side has keeps that side's values. `order` (columns of both sides) settles repeated keys within a
+    side, the largest winning; without it such a key has to be unique."""
+    old_only = [c for c in existing.columns if c not in new.columns]
+    new_only = [c for c in new.columns if c not in existing.columns]
+    shared = [c for c in existing.columns if c in new.columns and c not in keys]
     both = existing.withColumn("_src", F.lit(0)).unionByName(
         new.withColumn("_src", F.lit(1)), allowMissingColumns=True)
-    one = both.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("_src")).alias("_r"))
-    return one.select(*keys, "_r.*").select(*existing.columns)
+    rank = F.struct("_src", *order)
+    picks = [(shared, rank), (old_only, F.when(F.col("_src") == 0, rank)), (new_only, F.when(F.col("_src") == 1, rank))]
+    picks = [(f"_r{i}", cols, by) for i, (cols, by) in enumerate(picks) if cols]
+    if not picks:
+        return both.select(*keys).distinct()
+    one = both.groupBy(*keys).agg(*[F.max_by(F.struct(*cols), by).alias(name) for name, cols, by in picks])
+    found = {c: F.col(name).getField(c).alias(c) for name, cols, _ in picks for c in cols}
+    return one.select(*[F.col(c) if c in keys else found[c] for c in [*existing.columns, *new_only]])

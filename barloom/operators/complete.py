@@ -31,21 +31,23 @@ def _first_date() -> Column:
     return F.min(DATE).over(Window.partitionBy(ID))
 
 
-def _within(days: Column, limit: Column) -> Column:
-    return F.filter(days, lambda d: d <= limit)
+def _within(days: Column, first: Column, max_fill_days: int | None) -> Column:
+    if max_fill_days is None:
+        return days
+    return F.filter(days, lambda d: d <= F.date_add(first, max_fill_days))
 
 
-def missing_dates(df: DataFrame, max_fill_days: int = 30) -> DataFrame:
-    """(symbol, missing weekday) between a symbol's first and last bar, at most `max_fill_days`
-    calendar days after the first."""
+def missing_dates(df: DataFrame, max_fill_days: int | None = None) -> DataFrame:
+    """(symbol, missing weekday) between a symbol's first and last bar; with `max_fill_days` only up to so
+    many calendar days after the first."""
     w = by_symbol()
     gaps = df.select(
         ID, F.col(DATE).alias("_d"), F.lead(DATE).over(w).alias("_n"), _first_date().alias("_f"))
-    days = _within(_weekdays_between(F.col("_d"), F.col("_n")), F.date_add(F.col("_f"), max_fill_days))
+    days = _within(_weekdays_between(F.col("_d"), F.col("_n")), F.col("_f"), max_fill_days)
     return gaps.select(ID, F.explode(days).alias(DATE))
 
 
-def complete(df: DataFrame, method: str = "forward", max_fill_days: int = 30) -> DataFrame:
+def complete(df: DataFrame, method: str = "forward", max_fill_days: int | None = None) -> DataFrame:
     """All rows plus one row per missing weekday; `is_filled` marks the added ones.
 
     forward copies the bar before the gap, backward the one after it, linear takes the middle of
@@ -75,7 +77,7 @@ def complete(df: DataFrame, method: str = "forward", max_fill_days: int = 30) ->
         fill = F.struct(*made)
     else:
         fill = here
-    days = _within(_weekdays_between(after, before), F.date_add(F.col("_f"), max_fill_days))
+    days = _within(_weekdays_between(after, before), F.col("_f"), max_fill_days)
     filled = F.transform(F.coalesce(days, F.array().cast("array<date>")), lambda d: F.struct(
         d.alias(DATE), F.lit(True).alias("is_filled")))
     own = F.array(F.struct(F.col(DATE).alias(DATE), F.lit(False).alias("is_filled")))
@@ -92,11 +94,11 @@ def _cells(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (DATE, "is_filled")]
 
 
-def fill_quality(df: DataFrame, completed: DataFrame, max_fill_days: int = 30) -> DataFrame:
+def fill_quality(df: DataFrame, completed: DataFrame) -> DataFrame:
     """Per symbol: (1 - share of null cells) x (added rows / missing days), between 0 and 1."""
     cells = _cells(completed)
     nulls = sum((F.col(c).isNull().cast("int") for c in cells[1:]), F.col(cells[0]).isNull().cast("int"))
-    want = missing_dates(df, max_fill_days).groupBy(ID).agg(F.count(F.lit(1)).alias("expected"))
+    want = missing_dates(df).groupBy(ID).agg(F.count(F.lit(1)).alias("expected"))
     have = completed.groupBy(ID).agg(
         F.count(F.lit(1)).alias("rows"), F.sum(nulls).alias("nulls"),
         F.count(F.when(F.col("is_filled"), 1)).alias("added"))
@@ -122,7 +124,7 @@ def continuity_quality(completed: DataFrame) -> DataFrame:
             F.least(F.greatest(q, F.lit(0.0)), F.lit(1.0))).alias("quality"))
 
 
-def complete_checked(df: DataFrame, method: str = "forward", max_fill_days: int = 30,
+def complete_checked(df: DataFrame, method: str = "forward", max_fill_days: int | None = None,
                      threshold: float = 0.8) -> DataFrame:
     """Fill every symbol; where the share of non-null cells is below the threshold keep only the
     original rows. Every missing day gets a row, so that share is the quality."""
@@ -135,10 +137,10 @@ def complete_checked(df: DataFrame, method: str = "forward", max_fill_days: int
         ~F.col("is_filled") | (F.col("quality") >= threshold))
 
 
-def completion_records(df: DataFrame, method: str = "forward", max_fill_days: int = 30,
+def completion_records(df: DataFrame, method: str = "forward", max_fill_days: int | None = None,
                        threshold: float = 0.8) -> DataFrame:
     """Result record per symbol: rows before, rows added, quality, success."""
-    q = fill_quality(df, complete(df, method, max_fill_days), max_fill_days)
+    q = fill_quality(df, complete(df, method, max_fill_days))
     return q.select(
         ID, (F.col("rows") - F.col("added")).alias("original_rows"), "expected", "added", "quality",
         (F.col("quality") >= threshold).alias("success"))
@@ -235,17 +237,16 @@ def sync_window(df: DataFrame, calendar: DataFrame, full_days: int = 30, fallbac
 
 
 def is_roughly_complete(df: DataFrame, symbols: DataFrame, days: int = 5, share: float = 0.8) -> DataFrame:
-    """Coarse gate: enough rows for `days` days of every symbol (one row)."""
+    """Coarse report: enough rows for `days` days of every symbol (one row)."""
     n = symbols.agg(F.count(F.lit(1)).alias("s"))
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("symbols", n.scalar()).withColumn(
         "complete", F.col("rows") >= F.lit(share) * F.lit(days) * F.col("symbols"))
 
 
-def top_up(df: DataFrame, fetched: DataFrame, symbols: DataFrame, days: int = 5,
-           share: float = 0.8) -> DataFrame:
-    """Merge the fetched rows unless the gate says the stored ones suffice."""
-    gate = is_roughly_complete(df, symbols, days, share).select("complete").scalar()
-    return merge_update(df, fetched.withColumn("_go", ~gate).where("_go").drop("_go"))
+def top_up(df: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Merge the fetched rows, however many are stored; `is_roughly_complete` reports whether a fetch
+    was due."""
+    return merge_update(df, fetched)
 
 
 def dates_without_future(df: DataFrame, as_of: str, days: int = 5) -> DataFrame:

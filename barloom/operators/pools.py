@@ -71,10 +71,10 @@ def resolve_codes(codes: DataFrame, known: DataFrame,
     return hits.groupBy("code").agg(F.min_by(ID, "priority").alias(ID))
 
 
-def search_codes(known: DataFrame, part: str, limit: int = 10) -> DataFrame:
-    """Ids that contain the text, ignoring case; the first ten by id."""
-    return (known.select(ID).distinct()
-            .where(F.lower(ID).contains(part.lower())).orderBy(ID).limit(limit))
+def search_codes(known: DataFrame, part: str, limit: int | None = None) -> DataFrame:
+    """Ids that contain the text, ignoring case; with a limit the first ones by id."""
+    found = known.select(ID).distinct().where(F.lower(ID).contains(part.lower()))
+    return found if limit is None else found.orderBy(ID).limit(limit)
 
 
 def sub_scores(scores: DataFrame, columns: Sequence[str]) -> DataFrame:

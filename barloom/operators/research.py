@@ -156,7 +156,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def correlation_table(df: DataFrame, categories: dict[str, Sequence[str]], target: str,
-                      at_least: int = 100, with_spearman: bool = True) -> DataFrame:
+                      at_least: int = 0, with_spearman: bool = True) -> DataFrame:
     """Per indicator: category, pairs, Pearson, Spearman, both p-values, stars."""
     columns = [c for cols in categories.values() for c in cols if c in df.columns]
     label = F.lit(None).cast("string")
@@ -175,9 +175,10 @@ def stars(p: Column) -> Column:
     return (F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise(""))
 
 
-def strongest(table: DataFrame, k: int = 20) -> DataFrame:
-    """The k indicators with the largest absolute Pearson correlation."""
-    return table.orderBy(F.desc(F.abs("pearson")), F.asc("indicator")).limit(k)
+def strongest(table: DataFrame, k: int | None = None) -> DataFrame:
+    """The indicators by absolute Pearson correlation; with k the first k."""
+    ordered = table.orderBy(F.desc(F.abs("pearson")), F.asc("indicator"))
+    return ordered if k is None else ordered.limit(k)
 
 
 def strength_label(r: Column, p: Column) -> Column:

@@ -49,13 +49,14 @@ def sync_factors(factors: DataFrame, names: Sequence[str]) -> DataFrame:
 def daily_run(spark: SparkSession, base: str, bars: DataFrame, fundamentals: DataFrame | None,
               stamp: str, market: str = "normal") -> DataFrame:
     """Indicators (saved) -> merge with fundamentals -> scores (saved twice: scores and the daily
-    result). The saved indicator snapshot is read back, so it is computed once."""
+    result). Its own indicator snapshot is read back, so it is computed once and a run for an earlier day
+    never takes another run's rows."""
     tables.write_snapshot(indicators.scorer_inputs(bars), base, "indicators", stamp)
-    ready = tables.latest_snapshot(spark, base, "indicators").drop("snapshot_ts")
+    ready = tables.snapshot(spark, base, "indicators", stamp)
     merged = joins.merge_all(ready, fundamentals)
     scored = scoring.score_bars(_scorer_ready(merged), market)
     tables.write_snapshot(scored, base, "scores", stamp)
-    saved = tables.latest_snapshot(spark, base, "scores").drop("snapshot_ts")
+    saved = tables.snapshot(spark, base, "scores", stamp)
     daily = saved.select(ID, DATE, "close", "composite_score", "score_level")
     tables.write_snapshot(daily, base, "daily_results", stamp)
     return saved

@@ -193,7 +193,7 @@ def q_merge_update(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- completion of event bars
 
 cte("miss", f"""
-SELECT order_book_id, CAST(d AS DATE) AS date FROM (SELECT order_book_id, unnest(generate_series(min(date), least(max(date), min(date) + 30), INTERVAL 1 DAY)) AS d
+SELECT order_book_id, CAST(d AS DATE) AS date FROM (SELECT order_book_id, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d
   FROM ebars GROUP BY order_book_id HAVING count(*) >= 2) WHERE isodow(d) < 6
 EXCEPT SELECT {KS} FROM ebars""", "ebars")
 cte("filled_f", f"""
@@ -378,8 +378,7 @@ def coarse_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query("top_up", "D19 L2", sql(f"SELECT {KS}, close FROM ebars", "ebars"))
 def top_up(spark: SparkSession, sf: str) -> DataFrame:
     cols = ["order_book_id", "date", "close"]
-    return complete.top_up(_stored(spark, sf).select(*cols), event_bars(spark, sf).select(*cols),
-                           instruments(spark, sf), days=100)
+    return complete.top_up(_stored(spark, sf).select(*cols), event_bars(spark, sf).select(*cols))
 
 
 @query("dates_without_future", "D20", sql(
@@ -566,7 +565,7 @@ def resolve_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("search_codes", "C11", sql(
-    "SELECT DISTINCT order_book_id FROM instruments WHERE lower(order_book_id) LIKE '%3.xs%' ORDER BY 1 LIMIT 10", "instruments"))
+    "SELECT DISTINCT order_book_id FROM instruments WHERE lower(order_book_id) LIKE '%3.xs%'", "instruments"))
 def search_codes(spark: SparkSession, sf: str) -> DataFrame:
     return pools.search_codes(instruments(spark, sf), "3.XS")
 
@@ -609,9 +608,15 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
     return quality.profile(trade_bars(spark, sf))
 
 
-@query("profile_approximate", "F36")
+@query("profile_approximate", "F36", sql("SELECT count(*) AS rows, true AS symbols_close, true AS dates_close FROM bars", "bars"))
 def profile_approximate(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.approximate_profile(trade_bars(spark, sf))
+    """Whether each sketch lies within four times its stated error of the exact count."""
+    bars = trade_bars(spark, sf)
+    exact = quality.profile(bars).select(F.col("symbols").alias("s"), F.col("dates").alias("d"))
+    both = quality.approximate_profile(bars, 0.02).withColumns({
+        "s": exact.select("s").scalar(), "d": exact.select("d").scalar()})
+    return both.select("rows", (F.abs(F.col("symbols") - F.col("s")) <= 0.08 * F.col("s")).alias("symbols_close"),
+                       (F.abs(F.col("dates") - F.col("d")) <= 0.08 * F.col("d")).alias("dates_close"))
 
 
 @query("symbol_summary", "F37", sql(

@@ -76,14 +76,15 @@ def table_retained(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("clean_files", "A18", sql(
-    f"SELECT {KS}, close, CAST(volume AS DOUBLE) AS volume FROM bars UNION ALL SELECT {KS}, close, volume FROM ebars", "bars", "ebars"))
+    f"SELECT {KS}, close, CAST(volume AS DOUBLE) AS volume FROM bars UNION ALL SELECT {KS}, close, volume FROM ebars UNION ALL SELECT {KS}, close, volume FROM ebars WHERE volume > 2", "bars", "ebars"))
 def clean_files(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_folder(spark, "batch")
     cols = ["order_book_id", "date", "close", "volume"]
-    for name, df in (("trades", trade_bars(spark, sf)), ("events", event_bars(spark, sf))):
+    events = event_bars(spark, sf)
+    for name, df in (("trades", trade_bars(spark, sf)), ("events", events), ("again", events.where("volume > 2"))):
         text = df.select("order_book_id", "date", "close", F.col("volume").cast("string").alias("volume"))
         text.write.parquet(f"{base}/{name}.parquet")
-    tables.clean_files(spark, [f"{base}/trades.parquet", f"{base}/events.parquet"], f"{base}/out", ["volume"])
+    tables.clean_files(spark, [f"{base}/{n}.parquet" for n in ("trades", "events", "again")], f"{base}/out", ["volume"])
     return spark.read.parquet(f"{base}/out").select(*cols)
 
 

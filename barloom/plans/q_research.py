@@ -242,13 +242,13 @@ def pearson(spark: SparkSession, sf: str) -> DataFrame:
 @query("corr_by_indicator", "F14 F15 F16 L5", sql(
     """SELECT category, indicator, n, RND6(pearson) AS pearson, RND6(pearson_p) AS pearson_p,
     CASE WHEN pearson_p < 1e-3 THEN '***' WHEN pearson_p < 1e-2 THEN '**' WHEN pearson_p < 5e-2 THEN '*' ELSE '' END AS stars
-    FROM ptail WHERE n >= 100 ORDER BY abs(pearson) DESC, indicator LIMIT 20""", "ptail"))
+    FROM ptail""", "ptail"))
 def corr_by_indicator(spark: SparkSession, sf: str) -> DataFrame:
     table = res.correlation_table(_signal_frame(spark, sf), CATEGORIES, "return_5d", with_spearman=False)
     return shape(res.strongest(table), "category indicator n pearson pearson_p stars", 6)
 
 
-_RANKED = ["rsi_14", "volume_ratio", "ma10_angle"]
+_RANKED = list(_COLS)
 _RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
 
 

@@ -24,9 +24,6 @@ INSTRUMENT_DEFAULTS = {
 }
 
 
-PRICE_SPAN = 12  # digits kept for the price in a packed order key
-
-
 def daily_bars(
     ticks: DataFrame,
     symbol: Column | str,
@@ -36,32 +33,25 @@ def daily_bars(
     amount: Column | str,
     order_by: Sequence[Column | str] | None = None,
     sequence: Column | str | None = None,
-    decimals: int = 2,
 ) -> DataFrame:
     """OHLCV per symbol and day.
 
     Trades of a day are put in order either by `order_by`, a total order of any columns, or by
-    `sequence`, one whole number per trade, with equal numbers ordered by price. Everything is a
-    mergeable aggregate, so a map task sends one row per symbol and day however many trades a
-    symbol has. The second form packs number and price (on the tick grid) into one decimal, which
-    keeps the aggregation hash-based; a struct order makes Spark sort the trades of each task.
+    `sequence`, one whole number per trade, with equal numbers ordered by price (steps of 1e-4, up to
+    4e13 either way). Everything is a mergeable aggregate, so a map task sends one row per symbol and
+    day however many trades a symbol has. The second form keeps the aggregation hash-based, since its
+    order is one decimal; a struct order makes Spark sort the trades of each task. Prices are never
+    rebuilt from the order.
     """
     if (order_by is None) == (sequence is None):
         raise ValueError("give either order_by or sequence")
     if sequence is not None:
-        scale = 10**decimals
-        ticks_in_price = F.floor(as_col(price) * F.lit(float(scale)) + F.lit(0.5))
-        order = (as_col(sequence).cast("decimal(20,0)") * F.lit(10**PRICE_SPAN).cast(f"decimal({PRICE_SPAN + 1},0)")
-                 + ticks_in_price.cast(f"decimal({PRICE_SPAN},0)"))
-
-        def unpack(key: Column) -> Column:
-            part = key % F.lit(10**PRICE_SPAN).cast(f"decimal({PRICE_SPAN + 1},0)")
-            return part.cast("bigint") / F.lit(float(scale))
-
-        first, last = unpack(F.min("_o")), unpack(F.max("_o"))
+        tie = F.floor(F.least(F.greatest(as_col(price), F.lit(-4e13)), F.lit(4e13)) * 1e4) + F.lit(5 * 10**17)
+        order = (as_col(sequence).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)")
+        order = (order + F.coalesce(tie, F.lit(0)).cast("decimal(18,0)")).cast("decimal(38,0)")
     else:
         order = F.struct(*[as_col(c) for c in order_by])
-        first, last = F.min_by("_p", "_o"), F.max_by("_p", "_o")
+    first, last = F.min_by("_p", "_o"), F.max_by("_p", "_o")
     return (
         ticks.select(
             as_col(symbol).alias("order_book_id"),

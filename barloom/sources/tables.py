@@ -6,12 +6,13 @@ executor can reach.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from barloom.operators.clean import clean, date_range, to_doubles
+from barloom.operators.clean import date_range, dedup, drop_null_rows, to_doubles
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json"}
 ZONES = ("raw", "processed", "metadata")
@@ -174,11 +175,16 @@ def route(spark: SparkSession, source: str | Sequence[str] | dict, base: str | N
 
 def clean_files(spark: SparkSession, paths: Sequence[str], out: str, doubles: Sequence[str] = (),
                 steps: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> None:
-    """Clean many parquet files in one job; the output keeps the source file as a partition."""
-    df = spark.read.parquet(*paths).withColumn("source_file", F.col("_metadata.file_name"))
+    """Clean many parquet inputs in one job, each for itself; the output keeps the input's last path part
+    as a partition."""
+    names = [p.rstrip("/").rsplit("/", 1)[-1] for p in paths]
+    if len(set(names)) < len(names):
+        raise ValueError("inputs need different names")
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        spark.read.parquet(p).withColumn("source_file", F.lit(n)) for p, n in zip(paths, names)])
     df = to_doubles(df, doubles) if doubles else df
     order = [c for c in df.columns if c not in (ID, DATE, "source_file")]
-    df = clean(df.where(F.col(DATE).isNotNull()), order)
+    df = dedup(drop_null_rows(df.where(F.col(DATE).isNotNull())), order, "first", (ID, DATE, "source_file"))
     for step in steps:
         df = step(df)
     df.hint("rebalance", "source_file").write.mode("overwrite").partitionBy("source_file").parquet(out)
@@ -195,6 +201,11 @@ def write_snapshot(df: DataFrame, base: str, table: str, stamp: str) -> None:
      .parquet(table_path(base, table)))
 
 
+def snapshot(spark: SparkSession, base: str, table: str, stamp: str) -> DataFrame:
+    """Rows of one snapshot; the stamp is a filter on the partition."""
+    return load_table(spark, base, table).where(F.col("snapshot_ts") == stamp).drop("snapshot_ts")
+
+
 def latest_snapshot(spark: SparkSession, base: str, table: str) -> DataFrame:
     """Rows of the newest snapshot; only its partition is read."""
     # text, not an inferred number: 20240131_093000 looks like a number to some readers
@@ -205,9 +216,15 @@ def latest_snapshot(spark: SparkSession, base: str, table: str) -> DataFrame:
 
 def latest_file(spark: SparkSession, pattern: str) -> DataFrame:
     """Rows of the newest among files whose names carry _YYYYmmdd_HHMMSS."""
-    df = spark.read.parquet(pattern).withColumn(
-        "_stamp", F.regexp_extract(F.col("_metadata.file_path"), r"(\d{8}_\d{6})", 1))
-    return df.where(F.col("_stamp") == df.agg(F.max("_stamp").alias("m")).scalar()).drop("_stamp")
+    # only names are listed here: the content column is pruned, so no file is opened
+    names = spark.read.format("binaryFile").load(pattern).select(
+        F.regexp_extract("path", r"^(.*_\d{8}_\d{6}[^/]*)", 1).alias("path"),
+        F.regexp_extract("path", r"_(\d{8}_\d{6})[^/]*(?:/[^/]*)?$", 1).alias("stamp")).where("stamp != ''")
+    newest = names.agg(F.max("stamp")).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no stamped file matches {pattern}")
+    paths = names.where(F.col("stamp") == newest).select("path").distinct().collect()  # of one stamp
+    return spark.read.parquet(*[r["path"] for r in paths])
 
 
 def profile_files(spark: SparkSession, pattern: str, symbol: str) -> DataFrame:

@@ -263,3 +263,59 @@ def test_samples_are_repeatable(spark):
 def test_rows_to_frames_of_no_result(spark):
     bad, = tables.batch_sql(spark, [("SELECT * FROM nowhere", None)])
     assert bad.columns == [] and np.isscalar(bad.count())
+
+
+def test_gaps_after_the_first_month_are_filled(spark):
+    bars = make_bars(spark, {"A": [1.0] * 90})
+    kept = bars.where((F.col("date") < "2024-01-10") | (F.col("date") > "2024-03-20"))
+    want = int(np.busday_count("2024-01-10", "2024-03-21"))
+    assert complete.missing_dates(kept).count() == want
+    done = complete.complete(kept)
+    assert done.where("is_filled").count() - done.where("is_filled and date > '2024-03-20'").count() == want
+    assert complete.fill_quality(kept, complete.complete(kept, max_fill_days=30)).first()["quality"] < 0.5
+
+
+def test_a_new_day_lands_on_a_full_store(spark):
+    bars = make_bars(spark, {"A": [float(i) for i in range(6)]})
+    stored, fetched = bars.where("date < '2024-01-06'"), bars.where("date = '2024-01-06'")
+    assert complete.top_up(stored, fetched).count() == 6
+
+
+def test_dedup_needs_a_key(spark):
+    with pytest.raises(ValueError):
+        clean.dedup(spark.range(5), ["id"])
+
+
+def test_merge_update_keeps_the_columns_of_both_sides(spark):
+    old = spark.createDataFrame([("A", 1, 2.0, 7.0), ("B", 1, 3.0, 8.0)], "order_book_id string, date int, close double, pe double")
+    new = spark.createDataFrame([("A", 1, 2.5, 9), ("A", 1, 2.25, 8), ("C", 1, 4.0, 7)], "order_book_id string, date int, close double, n int")
+    got = {r["order_book_id"]: tuple(r)[2:] for r in clean.merge_update(old, new, order=["close"]).collect()}
+    assert got == {"A": (2.5, 7.0, 9), "B": (3.0, 8.0, None), "C": (4.0, None, 7)}
+
+
+def test_files_are_cleaned_each_for_itself(spark, tmp_path):
+    bars = make_bars(spark, {"A": [1.0, 2.0]})
+    bars.write.parquet(f"{tmp_path}/one.parquet")
+    bars.unionByName(bars).write.parquet(f"{tmp_path}/two.parquet")
+    tables.clean_files(spark, [f"{tmp_path}/one.parquet", f"{tmp_path}/two.parquet"], f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert {r["source_file"]: r["count"] for r in out.groupBy("source_file").count().collect()} == {"one.parquet": 2, "two.parquet": 2}
+
+
+def test_an_older_snapshot_keeps_its_own_rows(spark, tmp_path):
+    bars = make_bars(spark, {"A": [1.0, 2.0]})
+    tables.write_snapshot(bars, str(tmp_path), "scores", "20240131_180000")
+    tables.write_snapshot(bars.limit(1), str(tmp_path), "scores", "20230110_180000")
+    assert tables.snapshot(spark, str(tmp_path), "scores", "20230110_180000").count() == 1
+    assert tables.latest_snapshot(spark, str(tmp_path), "scores").count() == 2
+
+
+def test_bars_keep_every_price(spark):
+    """Negative, finer than a tick, and very large prices."""
+    trades = spark.createDataFrame(
+        [("A", "2024-01-01", 2, -1.25), ("A", "2024-01-01", 1, 1.23456), ("A", "2024-01-01", 3, 2e10)],
+        "s string, d string, n long, p double").selectExpr("*", "1.0D AS one")
+    bar = bar_source.daily_bars(trades, "s", "d", "p", "one", "p", sequence="n")
+    row = bar.first()
+    assert (row["open"], row["high"], row["low"], row["close"]) == (1.23456, 2e10, -1.25, 2e10)
+    assert "SortAggregate" not in bar._jdf.queryExecution().executedPlan().toString()

@@ -76,7 +76,7 @@ def test_large_orders_with_a_hot_symbol_equal_brute_force(spark):
 
 
 def test_checkpoint_folder_is_ready(spark):
-    assert reuse.checkpoint_ready(spark)
+    assert reuse.checkpoint_folder(spark) == reuse.checkpoint_folder(spark)
     assert reuse.scratch_folder(spark, "x") != reuse.scratch_folder(spark, "x")
     df = reuse.materialised(spark.range(5))
     assert df.count() == 5

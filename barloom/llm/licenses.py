@@ -134,7 +134,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, st
     whole = F.coalesce(F.col(text), F.lit(""))
     paragraphs = F.split(whole, r"\n[ \t\r]*\n")
     blocks = F.when(F.size(paragraphs) > 1, F.concat(F.array(whole), paragraphs)).otherwise(F.array(whole))
-    passages = F.array_distinct(F.concat(F.split(whole, "\n"), blocks))
+    passages = F.array_distinct(F.transform(F.concat(F.split(whole, "\n"), blocks), lambda p: F.btrim(p, F.lit(" \t\n\r"))))
     found = F.flatten(F.transform(passages, lambda p: F.transform(
         passage_matches(p, use, threshold), lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"),
                                                                m["kind"].alias("kind"), p.alias("passage")))))
@@ -153,7 +153,7 @@ WITH templates AS (
   SELECT license, kind, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM (SELECT license, kind, string_split(words, ' ') AS w FROM (VALUES {rows}) AS t(license, kind, words))),
 passages AS (
-  SELECT DISTINCT doc_id, p FROM (
+  SELECT DISTINCT doc_id, trim(p, ' ' || chr(9) || chr(10) || chr(13)) AS p FROM (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM documents
     UNION ALL SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '\\n[ \\t\\r]*\\n')) FROM documents
     UNION ALL SELECT doc_id, coalesce(text, '') FROM documents)),

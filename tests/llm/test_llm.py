@@ -384,4 +384,5 @@ def test_pipeline_stages_take_odd_rows(spark, sf, docs, none, stage):
 
     odd = cp.STAGES[stage][1](spark, docs, sf)
     assert stage == 4 or odd.columns == docs.columns
-    assert odd.count() <= 10 * docs.count() and cp.STAGES[stage][1](spark, none, sf).count() == 0
+    assert stage >= 3 or odd.count() <= docs.count()  # small sources repeat often in the mixture
+    assert odd.count() > 0 and cp.STAGES[stage][1](spark, none, sf).count() == 0

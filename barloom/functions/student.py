@@ -12,6 +12,8 @@ from pyspark.sql import Column, functions as F, types as T
 # executors get the functions themselves, so the package need not be installed there
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+NORMAL_FROM = 1e7  # degrees of freedom
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (modified Lentz steps)."""
@@ -30,8 +32,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             h *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return h
+            return h
+    raise ArithmeticError(f"incomplete beta function does not converge at a={a}, b={b}, x={x}")
 
 
 def regularized_beta(a: float, b: float, x: float) -> float:
@@ -54,6 +56,8 @@ def two_sided_p(r: float, n: float) -> float:
         return 0.0
     df = n - 2.0
     t2 = r * r * df / (1.0 - r * r)
+    if df > NORMAL_FROM:  # log gammas lose digits there; the normal limit is right to order 1 / df**2
+        return math.erfc(math.sqrt(t2 / (2.0 + t2 / df)) * (1.0 - 0.25 / df))
     return regularized_beta(df / 2.0, 0.5, df / (df + t2))
 
 

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.functions.reuse import materialised
+
 ID, DATE = "order_book_id", "date"
 
 # fixed values: pool name -> (size)
@@ -33,9 +35,24 @@ def pool_statistics(pools: dict[str, DataFrame]) -> DataFrame:
 
 
 def rank_per_date(scores: DataFrame, score: str = "composite_score") -> DataFrame:
-    """Rank of every symbol among the symbols of its day."""
-    w = Window.partitionBy(DATE).orderBy(F.desc_nulls_last(score), F.asc(ID))
-    return scores.withColumn("day_rank", F.row_number().over(w).cast("bigint"))
+    """Rank of every symbol among the symbols of its day, ties by id.
+
+    Rows are sorted in ranges over (day, score, id), so a large day is spread over several tasks. The rank is
+    the place inside the range plus the day's rows in earlier ranges. The broadcast side has a row for each
+    day and range that meet, at most one a day plus one a range.
+    """
+    order = [F.asc(DATE), F.desc_nulls_last(score), F.asc(ID)]
+    # the places count from the start of a range and are kept, so that no later pass cuts other ranges
+    placed = materialised(scores.repartitionByRange(*order).sortWithinPartitions(*order)
+                          .withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)  # the id holds the partition above 33 bits of row number
+    earlier = Window.partitionBy(DATE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(DATE, part.alias("_part")).agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(F.col(DATE).alias("_day"), "_part",
+                           (F.col("_first") - F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - 1).alias("_zero"))
+    ranked = placed.join(F.broadcast(starts), (part == F.col("_part")) & F.col(DATE).eqNullSafe(F.col("_day")))
+    return ranked.select(*scores.columns, (F.col("_at") - F.col("_zero")).alias("day_rank"))
 
 
 def latest_per_symbol(df: DataFrame, columns: Sequence[str]) -> DataFrame:

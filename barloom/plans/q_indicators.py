@@ -454,8 +454,7 @@ def pool_stats(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT {KS}, composite_score, row_number() OVER (PARTITION BY date ORDER BY composite_score DESC NULLS LAST, order_book_id) AS day_rank FROM scores",
     "scores"))
 def rank_stocks(spark: SparkSession, sf: str) -> DataFrame:
-    return pools.rank_per_date(scored_bars(spark, sf)).select(
-        "order_book_id", "date", "composite_score", "day_rank")
+    return pools.rank_per_date(scored_bars(spark, sf).select("order_book_id", "date", "composite_score"))
 
 
 @query("screen_strong", "B11", sql(

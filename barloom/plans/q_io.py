@@ -72,7 +72,10 @@ def table_compacted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("table_retained", "A16", sql(f"SELECT {KS}, close, volume FROM ebars WHERE date >= DATE '2024-01-30' - 10", "ebars"))
 def table_retained(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.retained(_small(spark, sf), 10, "2024-01-30")
+    base = scratch_folder(spark, "retained")
+    tables.save_table(_small(spark, sf), base, "bars", partition_by=["date"])
+    tables.drop_expired(spark, base, "bars", 10, "2024-01-30")
+    return tables.load_table(spark, base, "bars")
 
 
 @query("clean_files", "A18", sql(

@@ -214,13 +214,23 @@ cte("corrin", f"SELECT {', '.join(_COLS)}, return_5d FROM ind JOIN fwd USING (or
 cte("corrs", " UNION ALL ".join(
     f"SELECT '{cat}' AS category, '{c}' AS indicator, count(*) AS n, corr({c}, return_5d) AS pearson FROM corrin WHERE {c} IS NOT NULL" for cat, cols in CATEGORIES.items() for c in cols), "corrin")
 # the two-sided tail as the finite series for whole degrees of freedom (v = n - 2)
-cte("pvals", """SELECT c.*, n - 2 AS v, atan(abs(pearson) / sqrt(1 - pearson * pearson)) AS th FROM corrs c""", "corrs")
-cte("pterms", """SELECT indicator, v, th, CAST(unnest(range(0, CASE WHEN v % 2 = 1 THEN (v - 1) // 2 ELSE v // 2 END)) AS DOUBLE) AS k FROM pvals""", "pvals")
-cte("pseries", """SELECT indicator, sum(exp(CASE WHEN v % 2 = 1 THEN 2 * lgamma(k + 1) + k * ln(4) - lgamma(2 * k + 2)
-  ELSE lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4) END + 2 * k * ln(cos(th)))) AS s FROM pterms GROUP BY 1""", "pterms")
-cte("ptail", """SELECT category, indicator, n, pearson,
-  CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * cos(th) * s) ELSE 1 - sin(th) * s END AS pearson_p
-FROM pvals JOIN pseries USING (indicator)""", "pvals", "pseries")
+_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+cte("spears", " UNION ALL ".join(
+    f"SELECT '{c}' AS indicator, count(*) AS n, corr(a, b) AS spearman FROM (SELECT {_RANK.format(c=c)} AS a, {_RANK.format(c='return_5d')} AS b FROM corrin WHERE {c} IS NOT NULL)" for c in _COLS), "corrin")
+
+
+def _tail_cte(r: str, source: str) -> None:
+    cte(f"{r}_v", f"SELECT indicator, n - 2 AS v, atan(abs({r}) / sqrt(1 - {r} * {r})) AS th FROM {source}", source)
+    cte(f"{r}_k", f"SELECT indicator, v, th, CAST(unnest(range(0, CASE WHEN v % 2 = 1 THEN (v - 1) // 2 ELSE v // 2 END)) AS DOUBLE) AS k FROM {r}_v", f"{r}_v")
+    cte(f"{r}_s", f"""SELECT indicator, sum(exp(CASE WHEN v % 2 = 1 THEN 2 * lgamma(k + 1) + k * ln(4) - lgamma(2 * k + 2)
+  ELSE lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4) END + 2 * k * ln(cos(th)))) AS s FROM {r}_k GROUP BY 1""", f"{r}_k")
+    cte(f"{r}_tail", f"""SELECT indicator, CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * cos(th) * s) ELSE 1 - sin(th) * s END AS {r}_p
+FROM {r}_v JOIN {r}_s USING (indicator)""", f"{r}_v", f"{r}_s")
+
+
+_tail_cte("pearson", "corrs")
+_tail_cte("spearman", "spears")
+cte("ptail", "SELECT category, indicator, n, pearson, pearson_p FROM corrs JOIN pearson_tail USING (indicator)", "corrs", "pearson_tail")
 
 
 def _signal_frame(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,22 +250,17 @@ def pearson(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("corr_by_indicator", "F14 F15 F16 L5", sql(
-    """SELECT category, indicator, n, RND6(pearson) AS pearson, RND6(pearson_p) AS pearson_p,
+    """SELECT category, indicator, p.n, RND6(pearson) AS pearson, RND6(pearson_p) AS pearson_p, RND6(spearman) AS spearman, RND6(spearman_p) AS spearman_p,
     CASE WHEN pearson_p < 1e-3 THEN '***' WHEN pearson_p < 1e-2 THEN '**' WHEN pearson_p < 5e-2 THEN '*' ELSE '' END AS stars
-    FROM ptail""", "ptail"))
+    FROM ptail p JOIN spears USING (indicator) JOIN spearman_tail USING (indicator)""", "ptail", "spears", "spearman_tail"))
 def corr_by_indicator(spark: SparkSession, sf: str) -> DataFrame:
-    table = res.correlation_table(_signal_frame(spark, sf), CATEGORIES, "return_5d", with_spearman=False)
-    return shape(res.strongest(table), "category indicator n pearson pearson_p stars", 6)
-
-
-_RANKED = list(_COLS)
-_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
+    table = res.correlation_table(_signal_frame(spark, sf), CATEGORIES, "return_5d")
+    return shape(res.strongest(table), "category indicator n pearson pearson_p spearman spearman_p stars", 6)
 
 
-@query("spearman_by_indicator", "F13 F15", sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS indicator, RND6(corr(a, b)) AS spearman FROM (SELECT {_RANK.format(c=c)} AS a, {_RANK.format(c='return_5d')} AS b FROM corrin WHERE {c} IS NOT NULL)" for c in _RANKED), "corrin"))
+@query("spearman_by_indicator", "F13 F15", sql("SELECT indicator, RND6(spearman) AS spearman FROM spears", "spears"))
 def spearman_by_indicator(spark: SparkSession, sf: str) -> DataFrame:
-    return shape(res.spearman_by_indicator(_signal_frame(spark, sf), _RANKED, "return_5d"), "indicator spearman", 6)
+    return shape(res.spearman_by_indicator(_signal_frame(spark, sf), _COLS, "return_5d"), "indicator spearman", 6)
 
 
 @query("spearman", "F13 F12", sql(

@@ -5,6 +5,7 @@ executor can reach.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from functools import reduce
 from pathlib import PurePosixPath
@@ -142,6 +143,26 @@ def retained(df: DataFrame, days: int = 90, as_of: str | None = None) -> DataFra
     return df.where(F.col(DATE) >= F.date_sub(end, days))
 
 
+def drop_expired(spark: SparkSession, base: str, table: str, days: int = 90, as_of: str | None = None,
+                 zone: str = "processed") -> list[str]:
+    """Delete the day partitions of a stored table that are older than `days` before `as_of` (today when
+    not given), and give their names. No file is read or written again; a table that is not partitioned
+    by day is refused."""
+    end = F.lit(as_of).cast("date") if as_of else F.current_date()
+    cut = f"{DATE}={spark.range(1).select(F.date_sub(end, days)).first()[0]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(base, table, zone))
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = {s.getPath().getName(): s.getPath() for s in fs.listStatus(path) if s.isDirectory()}
+    dated = sorted(f for f in folders if re.fullmatch(rf"{DATE}=\d{{4}}-\d\d-\d\d", f))
+    if not dated:
+        raise ValueError(f"{table} is not partitioned by {DATE}")
+    gone = [f for f in dated if f < cut]
+    for f in gone:
+        fs.delete(folders[f], True)
+    spark.catalog.refreshByPath(table_path(base, table, zone))
+    return gone
+
+
 def load_market_data(spark: SparkSession, base: str, symbols: Sequence[str] | None = None,
                      start: str | None = None, end: str | None = None, table: str = "bars") -> DataFrame:
     """Bars of some symbols in a date range; the filters reach the scan."""

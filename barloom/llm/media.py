@@ -95,9 +95,8 @@ def with_wav(docs: DataFrame, text: str = "text", multiple: int = 64) -> DataFra
                 data = utf8(t)
                 sizes.append(len(data))
                 media.append(to_wav(data + bytes(-len(data) % multiple if data else multiple)))
-            rest = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in rest] + [pa.array(sizes, pa.int64()), pa.array(media, pa.binary())],
+                batch.columns[:-1] + [pa.array(sizes, pa.int64()), pa.array(media, pa.binary())],
                 names=[*rest, "n_bytes", "media"])
 
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
@@ -114,13 +113,12 @@ def with_landmarks(stored: DataFrame, media: str = "media") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for m in batch.column("_media").to_pylist():
+            for m in batch.columns[-1].to_pylist():
                 p = from_wav(m)
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), landmarks(p)))
             cols = list(zip(*rows)) if rows else [()] * 6
-            rest = [n for n in batch.schema.names if n != "_media"]
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in rest] + [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[*rest, *names])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + [pa.array(list(c), k) for c, k in zip(cols, kinds)], names=[*rest, *names])
 
     rest = [c for c in stored.columns if c not in (media, *names)]
     schema = stored.select(*rest).schema

@@ -125,8 +125,9 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The frame with the statistics as columns. A generator keeps the optimiser from computing the
     struct once for each use. Names that clash with the frame's own get the statistics' values."""
     rest = [c for c in docs.columns if c not in STATISTICS]
-    made = docs.withColumn("_s", F.explode(F.array(statistics(text))))
-    return made.select(*rest, *[F.col(f"_s.{n}").alias(n) for n in STATISTICS])
+    own = next(n for n in ("_s", "_s1", "_s2") if n not in docs.columns)
+    made = docs.withColumn(own, F.explode(F.array(statistics(text))))
+    return made.select(*rest, *[F.col(own).getField(n).alias(n) for n in STATISTICS])
 
 
 def base_failed() -> Column:

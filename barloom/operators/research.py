@@ -272,7 +272,7 @@ def rsi_surface(grid: DataFrame, rsi: str = "rsi_14") -> DataFrame:
     return spread.join(mid, ["rsi_center", "n_days"])
 
 
-def best_buckets(stats: DataFrame, mean: str) -> DataFrame:
+def best_buckets(stats: DataFrame, mean: str, high: float = 1.5, low: float = 0.8) -> DataFrame:
     """One row: best and worst bucket, the best with a high, a low, and an extreme signal."""
     row = F.struct("quantile", F.col(mean).alias("mean_return"))
     order = F.struct(F.col(mean), F.col("quantile"))
@@ -282,8 +282,8 @@ def best_buckets(stats: DataFrame, mean: str) -> DataFrame:
 
     return stats.agg(
         F.max_by(row, order).alias("b"), F.min_by(row, order).alias("w"),
-        best(F.col("min_signal") >= 1.5).alias("best_high"),
-        best(F.col("max_signal") <= 0.8).alias("best_low"),
+        best(F.col("min_signal") >= high).alias("best_high"),
+        best(F.col("max_signal") <= low).alias("best_low"),
         best(F.col("quantile") >= 8).alias("best_extreme"),
     ).select(F.col("b.quantile").alias("best"), F.col("b.mean_return").alias("best_return"),
              F.col("w.quantile").alias("worst"), F.col("w.mean_return").alias("worst_return"),

@@ -43,12 +43,25 @@ def trade_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trade_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars of the line items: grouped by the numeric key, the text code is added afterwards."""
+def _keyed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the line items by the numeric key."""
     # line numbers are one digit below 8, so order key and line number make one whole number
     number = F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber")
-    bars = daily_bars(
+    return daily_bars(
         trade_ticks(spark, sf_dir), "l_suppkey", "date", "price", "size", "amount", sequence=number)
+
+
+def trade_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the line items: grouped by the numeric key, the text code is added afterwards."""
+    bars = _keyed_bars(spark, sf_dir)
+    return bars.withColumn("order_book_id", symbol_code(F.col("order_book_id")))
+
+
+def sized_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with the order-size share: both sides are grouped by the numeric key and day, so the join
+    needs no further shuffle, and it is done while the bars are narrow."""
+    share = large_order_ratio(tick_sizes(spark, sf_dir))
+    bars = _keyed_bars(spark, sf_dir).join(share, ["order_book_id", "date"], "left")
     return bars.withColumn("order_book_id", symbol_code(F.col("order_book_id")))
 
 

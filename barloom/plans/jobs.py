@@ -81,12 +81,14 @@ def signal_buckets(scores: DataFrame, bars: DataFrame, calendar: DataFrame, n: i
     return research.discretise(signal_returns(scores, bars, calendar, n), target, out=f"{target}_bucket")
 
 
-def decile_study(df: DataFrame, calendar: DataFrame, signal: str, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Return statistics by signal decile, and the best and worst bucket."""
+def decile_study(df: DataFrame, calendar: DataFrame, signal: str, n: int = 5, high: float = 1.5,
+                 low: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Return statistics by signal decile, and the best and worst bucket, also among those whose signal
+    is at least `high` or at most `low`."""
     r = f"return_{n}d"
     stats = research.decile_returns(
         research.forward_return(df.where(usable(signal)), calendar, n), signal, r)
-    return stats, research.best_buckets(stats, f"mean_{r}")
+    return stats, research.best_buckets(stats, f"mean_{r}", high, low)
 
 
 def validate_scores(scores: DataFrame, bars: DataFrame, dimensions: Sequence[str] = (

@@ -277,7 +277,7 @@ cte("cal", "SELECT CAST(d AS DATE) AS date, row_number() OVER (ORDER BY d) AS tr
 cte("alldays", "SELECT CAST(d AS DATE) AS date FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS d FROM cal)", "cal")
 
 
-@query("calendar", "K1 A27 A28", sql("SELECT * FROM cal", "cal"))
+@query("calendar", "K1", sql("SELECT * FROM cal", "cal"))
 def calendar(spark: SparkSession, sf: str) -> DataFrame:
     return event_days(spark, sf)
 
@@ -759,13 +759,26 @@ def sql_positional(spark: SparkSession, sf: str) -> DataFrame:
     return tables.run_sql(spark, "SELECT o_orderkey, o_totalprice FROM barloom_orders WHERE o_orderstatus = ?", ["F"])
 
 
-@query("table_stats", "B3 B4", sql(
+@query("table_stats", "B4", sql(
     "SELECT 'barloom_events' AS table, count(*) AS rows, 6 AS columns, 'event_id,ts,user_id,event_type,value,props' AS names FROM events"))
 def table_stats(spark: SparkSession, sf: str) -> DataFrame:
     tables.register(spark, "barloom_events", f"{sf}/events.parquet")
     return tables.describe_table(spark, "barloom_events")
 
 
+_EVENT_TYPES = {"event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string"}
+
+
+@query("table_types", "B3", sql(" UNION ALL ".join(
+    f"SELECT '{c}' AS field, '{t}' AS type, count({c}) AS filled FROM events" for c, t in _EVENT_TYPES.items())))
+def table_types(spark: SparkSession, sf: str) -> DataFrame:
+    tables.register(spark, "barloom_typed_events", f"{sf}/events.parquet")
+    types = tables.column_types(spark, "barloom_typed_events")
+    counted = spark.table("barloom_typed_events").agg(*[F.count(c).alias(c) for c in types])
+    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(t).alias("type"), F.col(c).alias("filled")) for c, t in types.items()])
+    return counted.select(F.inline(rows))
+
+
 @query("top_performers", "B14", sql(
     """SELECT date, n, RND4(mean_score) AS mean_score, max_score FROM (SELECT date, count(*) AS n, avg(composite_score) AS mean_score, max(composite_score) AS max_score FROM scores GROUP BY date HAVING count(*) >= 10)
     ORDER BY RND4(mean_score) DESC, date LIMIT 20""", "scores"))

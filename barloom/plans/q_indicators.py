@@ -1,13 +1,13 @@
 """Bars, indicators and scores over the trades of `lineitem` and `events`."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions import formulas
 from barloom.functions.numeric import rounded
 from barloom.functions.reuse import materialised
 from barloom.operators import indicators as ind, pools, scoring
-from barloom.plans.bindings import event_bars, instruments, order_size_share, trade_bars
+from barloom.plans.bindings import event_bars, instruments, order_size_share, sized_bars, trade_bars
 from barloom.plans.registry import cte, query, sql
 from barloom.plans.shape import shape
 from barloom.plans.sqltext import SYM, change, ewm, full, lag, rnd
@@ -16,7 +16,7 @@ K = "order_book_id date"
 KS = "order_book_id, date"
 
 
-@query("bars_daily", "A28 A22", sql("SELECT * FROM bars", "bars"))
+@query("bars_daily", "A28", sql("SELECT * FROM bars", "bars"))
 def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
     return trade_bars(spark, sf)
 
@@ -299,6 +299,14 @@ cte("scored3", """SELECT *, trend_score * 45e-2 + capital_score * 24e-2 + techni
 FROM scored2""", "scored2")
 cte("scores", """SELECT *, RND4(least(greatest(least(greatest(raw_composite, 0), 100) * factor, 0), 100)) AS composite_score FROM scored3""", "scored3")
 
+@query("catalog_names", "G43", sql(
+    f"""SELECT {KS}, RND4(macd_diff) AS macd, RND4(macd_dea) AS macd_signal, RND4(boll_up) AS bollinger_upper,
+    RND4(boll) AS bollinger_middle, RND4(boll_down) AS bollinger_lower FROM ind""", "ind"))
+def catalog_names(spark: SparkSession, sf: str) -> DataFrame:
+    df = ind.calculate_indicators(trade_bars(spark, sf), ["macd_signal", "bollinger_upper"])
+    return shape(ind.catalog_names(df), f"{K} macd macd_signal bollinger_upper bollinger_middle bollinger_lower")
+
+
 _DIMS = {
     "trend": ("H1 H2 H3 H4 H5", "score_arrangement score_slope score_position score_stability trend_score"),
     "capital": ("H6 H7 H8 H9 H10", "score_volume_price score_inflow score_institution score_volume_trend capital_score"),
@@ -308,20 +316,23 @@ _DIMS = {
 
 
 def scorer_frame(spark: SparkSession, sf: str) -> DataFrame:
-    """Bars with every scorer input: indicators, order-size share, industry and size."""
-    bars = ind.scorer_inputs(trade_bars(spark, sf))
-    share = order_size_share(spark, sf)
+    """Bars with every scorer input: order-size share, industry and size join the narrow bars, then one
+    exchange by symbol serves all indicators."""
     inst = instruments(spark, sf).select("order_book_id", "industry", "market_cap")
-    return bars.join(share, ["order_book_id", "date"], "left").join(inst, "order_book_id", "left")
+    return ind.scorer_inputs(sized_bars(spark, sf).join(inst, "order_book_id", "left"))
 
 
-def scored_bars(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored bars, the composite rounded to four digits so that thresholds and ranks are stable."""
-    df = scoring.score_bars(scorer_frame(spark, sf))
+def _scored(inputs: DataFrame) -> DataFrame:
+    """Scores of each row, the composite rounded to four digits so that thresholds and ranks are stable."""
+    df = scoring.score_bars(inputs)
     df = df.withColumn("composite_score", rounded("composite_score", 4))
     return scoring.levels(df)
 
 
+def scored_bars(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(scorer_frame(spark, sf))
+
+
 def _dimension(name: str, rows: str, cols: str) -> None:
     casted = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols.split())
 
@@ -421,10 +432,14 @@ cte("latest_scores", f"SELECT * FROM scores QUALIFY row_number() OVER (PARTITION
 
 
 def latest_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of each symbol's newest bar. A score depends on its own row only, so the newest rows are
+    taken first, by the order the indicators' windows leave behind, and only they are scored."""
     cols = [c for s in scoring.SUB_SCORES.values() for c in s]
-    return pools.latest_per_symbol(scored_bars(spark, sf), [
-        "close", "volume", "volume_ratio", "industry", "trend_score", "capital_score",
-        "technical_score", "risk_score", "composite_score", *cols])
+    later = F.lead("date").over(Window.partitionBy("order_book_id").orderBy("date"))
+    newest = scorer_frame(spark, sf).withColumn("_later", later).where("_later IS NULL")
+    return _scored(newest).select(
+        "order_book_id", "date", "close", "volume", "volume_ratio", "industry", "trend_score", "capital_score",
+        "technical_score", "risk_score", "composite_score", *cols)
 
 
 def _pool(name: str) -> None:

@@ -11,7 +11,7 @@ from barloom.plans.bindings import (
 from barloom.plans.q_data import _stored, factor_pivot
 from barloom.plans.registry import cte, query, sql
 from barloom.plans.shape import shape
-from barloom.sources import bars as bar_source, tables
+from barloom.sources import bars as bar_source, calendar, tables
 
 KS = "order_book_id, date"
 BAR_SCHEMA = "order_book_id string, date date, close double, volume double"
@@ -70,6 +70,33 @@ def table_compacted(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(tables.compact(spark, base, "bars"))
 
 
+@query("json_table", "A17", sql(f"SELECT {KS}, close, volume FROM ebars", "ebars"))
+def json_table(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_folder(spark, "lake")
+    _small(spark, sf).write.json(f"{base}/landed")
+    tables.json_to_table(spark, f"{base}/landed", base, "bars", lines=True)
+    return tables.load_table(spark, base, "bars").select(
+        "order_book_id", F.col("date").cast("date").alias("date"), "close", "volume")
+
+
+@query("trading_dates_json", "A27", sql("SELECT * FROM cal", "cal"))
+def trading_dates_json(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch_folder(spark, 'dates')}/days"
+    year = event_days(spark, sf).groupBy(F.year("date")).agg(  # a list is bounded by the days of a year
+        F.to_json(F.sort_array(F.collect_list(F.col("date").cast("string")))).alias("value"))
+    year.select("value").write.text(path)
+    return calendar.read_trading_dates(spark, path, lines=True)
+
+
+@query("table_symbols", "A25 A6", sql(
+    f"SELECT {KS}, close FROM bars WHERE order_book_id IN ('000003.XSHE', '000007.XSHG', '000008.XHKG')", "bars"))
+def table_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_folder(spark, "lake")
+    tables.save_table(trade_bars(spark, sf), base, "bars")
+    wanted = ["000003.XSHE", "000007.XSHG", "000008.XHKG"]
+    return tables.route(spark, {"symbols": wanted, "start": None, "end": None}, base).select("order_book_id", "date", "close")
+
+
 @query("table_retained", "A16", sql(f"SELECT {KS}, close, volume FROM ebars WHERE date >= DATE '2024-01-30' - 10", "ebars"))
 def table_retained(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_folder(spark, "retained")

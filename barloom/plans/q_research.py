@@ -113,8 +113,9 @@ _SIGNALS = {
 }
 
 
-def _decile_cte(signal: str) -> None:
-    cte(f"sig_{signal}", f"SELECT {signal} AS x, return_5d AS ret FROM ind JOIN fwd USING (order_book_id, date) WHERE {signal} IS NOT NULL", "ind", "fwd")
+def _decile_cte(signal: str, expression: str | None = None, forward_cte: str = "fwd", ret: str = "return_5d") -> None:
+    x = expression or signal
+    cte(f"sig_{signal}", f"SELECT {x} AS x, {ret} AS ret FROM ind JOIN {forward_cte} USING (order_book_id, date) WHERE {x} IS NOT NULL", "ind", forward_cte)
     hits = " + ".join(f"CAST(x >= q[{i}] AS BIGINT)" for i in range(1, 10))
     cte(f"dec_{signal}", f"""SELECT 1 + {hits} AS quantile, count(*) AS count, avg(ret) AS mean_return_5d, median(ret) AS median_return_5d, stddev_pop(ret) AS std_return_5d,
       min(x) AS min_signal, max(x) AS max_signal, avg(x) AS mean_signal FROM sig_{signal},
@@ -137,16 +138,62 @@ def _decile(signal: str) -> None:
 for _s in _SIGNALS:
     _decile(_s)
 
-cte("sig_vr_rsi", "SELECT volume_ratio * rsi_14 AS x, return_5d AS ret FROM ind JOIN fwd USING (order_book_id, date) WHERE volume_ratio * rsi_14 IS NOT NULL", "ind", "fwd")
+_BEST = "best best_return worst worst_return best_high best_low best_extreme"
 
 
-@query("best_buckets", "F34", sql(
-    """SELECT arg_max(quantile, (mean_return_5d, quantile)) AS best, RND4(max(mean_return_5d)) AS best_return, arg_min(quantile, (mean_return_5d, quantile)) AS worst, RND4(min(mean_return_5d)) AS worst_return,
-    arg_max(quantile, (mean_return_5d, quantile)) FILTER (min_signal >= 15e-1) AS best_high, arg_max(quantile, (mean_return_5d, quantile)) FILTER (max_signal <= 8e-1) AS best_low,
-    arg_max(quantile, (mean_return_5d, quantile)) FILTER (quantile >= 8) AS best_extreme FROM dec_volume_ratio""", "dec_volume_ratio"))
+def _best_sql(cte_name: str, high: str, low: str) -> str:
+    return sql(f"""SELECT arg_max(quantile, (mean_return_5d, quantile)) AS best, RND4(max(mean_return_5d)) AS best_return, arg_min(quantile, (mean_return_5d, quantile)) AS worst, RND4(min(mean_return_5d)) AS worst_return,
+    arg_max(quantile, (mean_return_5d, quantile)) FILTER (min_signal >= {high}) AS best_high, arg_max(quantile, (mean_return_5d, quantile)) FILTER (max_signal <= {low}) AS best_low,
+    arg_max(quantile, (mean_return_5d, quantile)) FILTER (quantile >= 8) AS best_extreme FROM {cte_name}""", cte_name)
+
+
+@query("best_buckets", "F34", _best_sql("dec_volume_ratio", "1.5e0", "0.8e0"))
 def best_buckets(spark: SparkSession, sf: str) -> DataFrame:
     _, best = jobs.decile_study(ind.volume_ratio(trade_bars(spark, sf)), trade_days(spark, sf), "volume_ratio")
-    return shape(best, "best best_return worst worst_return best_high best_low best_extreme")
+    return shape(best, _BEST)
+
+
+# volume ratio times RSI, and the volume ratio against the return ten trading days ahead
+
+
+def _composite(n: int) -> None:
+    signal = f"volume_ratio_rsi_{n}"
+    _decile_cte(signal, f"volume_ratio * rsi_{n}")
+
+    def study(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+        both = ind.run(trade_bars(spark, sf), ind.volume_ratio.stages(), ind.rsi.stages((n,)))
+        both = both.withColumn(signal, F.col("volume_ratio") * F.col(f"rsi_{n}"))
+        return jobs.decile_study(both, trade_days(spark, sf), signal, high=100.0, low=50.0)
+
+    @query(f"decile_{signal}", "F22 L6", sql(f"SELECT quantile, count, {rnd(_DEC)} FROM dec_{signal}", f"dec_{signal}"))
+    def deciles(spark: SparkSession, sf: str) -> DataFrame:
+        return shape(study(spark, sf)[0], f"quantile count {_DEC}")
+
+    @query(f"best_{signal}", "F34 L6", _best_sql(f"dec_{signal}", "100", "50"))
+    def best(spark: SparkSession, sf: str) -> DataFrame:
+        return shape(study(spark, sf)[1], _BEST)
+
+
+for _n in (6, 10, 14):
+    _composite(_n)
+
+cte("fwd10", """SELECT a.order_book_id, a.date, (b.close - a.close) / a.close AS return_10d
+FROM bseq a JOIN bseq b ON a.order_book_id = b.order_book_id AND b.trade_seq = a.trade_seq + 10""", "bseq")
+_decile_cte("volume_ratio_10d", "volume_ratio", "fwd10", "return_10d")
+
+
+@query("decile_volume_ratio_10d", "F22 L6", sql(
+    f"SELECT quantile, count, {rnd(_DEC)} FROM dec_volume_ratio_10d".replace("AS mean_return_5d", "AS mean_return_10d").replace(
+        "AS median_return_5d", "AS median_return_10d").replace("AS std_return_5d", "AS std_return_10d"), "dec_volume_ratio_10d"))
+def decile_volume_ratio_10d(spark: SparkSession, sf: str) -> DataFrame:
+    stats, _ = jobs.decile_study(ind.volume_ratio(trade_bars(spark, sf)), trade_days(spark, sf), "volume_ratio", 10)
+    return shape(stats, f"quantile count {_DEC.replace('5d', '10d')}")
+
+
+@query("best_volume_ratio_10d", "F34 L6", _best_sql("dec_volume_ratio_10d", "1.5e0", "0.8e0"))
+def best_volume_ratio_10d(spark: SparkSession, sf: str) -> DataFrame:
+    _, best = jobs.decile_study(ind.volume_ratio(trade_bars(spark, sf)), trade_days(spark, sf), "volume_ratio", 10)
+    return shape(best, _BEST)
 
 
 @query("distribution", "F11", sql(

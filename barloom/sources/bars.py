@@ -145,8 +145,9 @@ def large_order_ratio(ticks: DataFrame, prob: float = 0.9) -> DataFrame:
     cut = cum.groupBy("order_book_id").agg(quantile_columns("size", [prob])[0].alias("_cut"))
     rows = small.groupBy("order_book_id").agg(F.count(F.lit(1)).alias("_rows"))
     total = rows.agg(F.sum("_rows").alias("t")).scalar()
-    table = cut.join(rows, "order_book_id").select(
-        "order_book_id", "_cut", (F.col("_rows") * F.lit(HEAVY_SHARE) > total).alias("_heavy"))
+    # one row a symbol, read three times below
+    table = materialised(cut.join(rows, "order_book_id").select(
+        "order_book_id", "_cut", (F.col("_rows") * F.lit(HEAVY_SHARE) > total).alias("_heavy")))
     big = F.sum(F.when(F.col("size") > F.col("_cut"), F.col("_a")).otherwise(F.lit(0.0)))
     return (
         join_lookup(small.drop("_n"), table, ["order_book_id"])

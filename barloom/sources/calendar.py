@@ -113,9 +113,9 @@ def completed_day(df: DataFrame, ts: str, calendar: DataFrame, session: str = "0
 
 
 def read_trading_dates(spark: SparkSession, path: str, start: str | None = None,
-                       end: str | None = None) -> DataFrame:
-    """A JSON file with a list of dates (one list per line or file) -> numbered calendar."""
-    text = spark.read.text(path, wholetext=True)
+                       end: str | None = None, lines: bool = False) -> DataFrame:
+    """JSON files with a list of dates each, or with `lines` one list a line -> numbered calendar."""
+    text = spark.read.text(path, wholetext=not lines)
     days = text.select(F.explode(F.from_json("value", "array<string>")).alias("d"))
     days = days.select(F.to_date("d", "yyyy-MM-dd").alias("date")).where(F.col("date").isNotNull()).distinct()
     if start:

@@ -49,17 +49,18 @@ def save(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
     df.write.format(fmt).mode(mode).options(**options).save(path)
 
 
-def load_json(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records, one object, or one object of parallel lists -> rows."""
-    df = spark.read.option("multiLine", True).json(path)
+def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A list of records, one object, or one object of parallel lists -> rows. Such a file is read by one
+    task, which suits small landed files; with `lines` a file has a record a line and is split."""
+    df = spark.read.option("multiLine", not lines).json(path)
     if df.columns and all(isinstance(f.dataType, T.ArrayType) for f in df.schema.fields):
         zipped = F.arrays_zip(*[F.col(f"`{c}`") for c in df.columns])
         return df.select(F.inline(zipped))
     return df
 
 
-def json_to_table(spark: SparkSession, path: str, base: str, table: str) -> None:
-    save_table(load_json(spark, path), base, table)
+def json_to_table(spark: SparkSession, path: str, base: str, table: str, lines: bool = False) -> None:
+    save_table(load_json(spark, path, lines), base, table)
 
 
 # ---------------------------------------------------------------- named tables

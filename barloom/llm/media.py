@@ -91,7 +91,7 @@ def with_wav(docs: DataFrame, text: str = "text", multiple: int = 64) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, media = [], []
-            for t in batch.column("_text").to_pylist():
+            for t in batch.columns[-1].to_pylist():
                 data = utf8(t)
                 sizes.append(len(data))
                 media.append(to_wav(data + bytes(-len(data) % multiple if data else multiple)))
@@ -102,7 +102,8 @@ def with_wav(docs: DataFrame, text: str = "text", multiple: int = 64) -> DataFra
     rest = [c for c in docs.columns if c not in (text, "n_bytes", "media")]
     kept = docs.select(*rest)
     schema = kept.schema.add("n_bytes", "long").add("media", "binary")
-    return docs.select(*rest, F.col(text).alias("_text")).mapInArrow(run, schema)
+    # the text travels under a name longer than all others, which is therefore free
+    return docs.select(*rest, F.col(text).alias(max(rest, key=len, default="") + "_")).mapInArrow(run, schema)
 
 
 def with_landmarks(stored: DataFrame, media: str = "media") -> DataFrame:
@@ -124,7 +125,7 @@ def with_landmarks(stored: DataFrame, media: str = "media") -> DataFrame:
     schema = stored.select(*rest).schema
     for n, kind in zip(names, (T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.ArrayType(T.LongType()))):
         schema = schema.add(n, kind)
-    return stored.select(*rest, F.col(media).alias("_media")).mapInArrow(run, schema)
+    return stored.select(*rest, F.col(media).alias(max(rest, key=len, default="") + "_")).mapInArrow(run, schema)
 
 
 @query("op7_media")

@@ -382,7 +382,23 @@ def test_pipeline(spark, sf):
 def test_pipeline_stages_take_odd_rows(spark, sf, docs, none, stage):
     import corpus_pipeline as cp
 
+    # every other row of the fixture fails the base rule, so the first stage needs a clean one to keep
+    clean = " ".join(f"word{i} of{i}" for i in range(100))
+    docs = docs.unionByName(spark.createDataFrame([(13, clean, "en", "s1", 1, -5, 0.5, "x", "m", 7, "r", "d", 3)], SCHEMA))
     odd = cp.STAGES[stage][1](spark, docs, sf)
+    if stage == 0:
+        assert [r.doc_id for r in odd.collect()] == [13]
     assert stage == 4 or odd.columns == docs.columns
     assert stage >= 3 or odd.count() <= docs.count()  # small sources repeat often in the mixture
     assert odd.count() > 0 and cp.STAGES[stage][1](spark, none, sf).count() == 0
+
+
+def test_columns_named_like_the_operators_own(spark):
+    docs = spark.createDataFrame(
+        [(1, "a b c", 7, "s", "t", "m"), (2, None, 8, "s", "t", "m"), (3, "", 9, "s", None, "m")],
+        "doc_id long, text string, id long, _s string, _text string, _media string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality long")
+    assert {r["doc"]["id"] for r in resampling.resample(docs, labels).collect()} == {7, 8, 9}
+    assert [r["_s"] for r in quality_rules.with_statistics(docs).collect()] == ["s"] * 3
+    rows = media.with_landmarks(media.with_wav(docs)).select("id", "_text", "_media").collect()
+    assert sorted(map(tuple, rows), key=str) == [(7, "t", "m"), (8, "t", "m"), (9, None, "m")]

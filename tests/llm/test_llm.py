@@ -216,6 +216,33 @@ def test_context_tree_is_a_distribution_and_equals_the_recursion():
     assert (10.0 ** tree.log10p[node][128:]).sum() == pytest.approx(p1, rel=1e-4)
 
 
+@pytest.mark.parametrize("frequent", [1 << 21, 100, 0])
+def test_context_tree_keeps_every_context(spark, docs, rows, monkeypatch, frequent):
+    """Against the whole tree of all depths in one process, with rare grams broadcast or joined."""
+    monkeypatch.setattr(context_tree, "FREQUENT_GRAMS", frequent)
+    depth = context_tree.DEPTH
+    more = [(100 + i, f"common start {'xyzzy' if i == 49 else 'again'} {i % 3}") for i in range(50)]
+    levels = []
+    for d in range(depth + 1):
+        seen = Counter()
+        for i, t in rows + more:
+            if not context_tree.is_held_out(i):
+                data = bytes([255]) * depth + (t or "").encode().lower() + bytes([255])
+                seen.update((int.from_bytes(data[k - d:k], "big"), data[k]) for k in range(depth, len(data)))
+        names = np.array(sorted({c for c, _ in seen}))
+        counts = np.zeros((len(names), 256))
+        at = {c: k for k, c in enumerate(names.tolist())}
+        for (c, b), n in seen.items():
+            counts[at[c], b] = n
+        levels.append((names, counts))
+    tree = context_tree.weigh(levels)
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in context_tree.score_texts(both).collect())
+    want = sorted((i is None, i or 0, tree.score((t or "").encode().lower())) for i, t in rows + more)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and any(context_tree.is_held_out(i) for i, _ in rows + more)
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-5)
+
+
 def test_quality_statistics(docs, none, rows):
     def brute(t):
         w, t = split(t), t or ""

@@ -1,9 +1,10 @@
-"""Best-fit packing of token sequences by hierarchical residual packing.
+"""Best-fit packing of token sequences by residual packing.
 
 Every scan task encodes its documents, cuts those above the capacity into pieces, and packs its pieces
-best-fit decreasing. Bins that are nearly full are done. The fills of the others are items of the next
-round: tasks are merged in a tree, each packs the bins that reached it best-fit decreasing, and so on to the
-root. Only (bin, fill) rows move between rounds, never tokens.
+best-fit decreasing. Bins that are nearly full are done. The others, from all tasks, are items of a second
+best-fit decreasing, solved on the number of bins of each fill (at most one row a fill), so no task and not the
+driver holds the bins themselves. The solution is a short list of rules for ranges of equal fills; a bin finds
+its rule by its number among the bins of its fill. Only (bin, fill) rows move, never tokens.
 
 Edge cases: a null or empty text is a document of the end token alone; repeated rows and repeated ids are
 packed as often as they come; an empty table gives no rows; a document longer than the capacity becomes
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barloom.llm.common import saved, table
 from barloom.llm.encoding import encoder
@@ -26,8 +27,7 @@ from barloom.llm.registry import query
 CAPACITY = 1024
 NEARLY_FULL = 1016  # a bin with this fill or more is not looked at again
 BUFFER = 1 << 18  # pieces packed at a time in a task
-FAN_IN = 8  # tasks merged into one in a round
-ROUND_ITEMS = 1 << 16  # underfull bins a task of a later round gets, on average, at most
+MERGED = 1 << 62  # bins put together from several tasks' bins are numbered from here
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, place int, fill int, task int"
 
@@ -80,7 +80,7 @@ def _pack_local(path: str, end_id: int, capacity: int):
             doc, piece, start, length, crc = zip(*rows)
             sizes = np.asarray(length, np.int64)
             bins, places, fills = best_fit(sizes, capacity)
-            # at most 2**20 bins from each of 2**20 flushes in each of 2**23 tasks
+            # at most 2**20 bins from each of 2**20 flushes in each of 2**22 tasks
             out = pa.RecordBatch.from_arrays([
                 pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                 pa.array(sizes), pa.array(crc, pa.int64()),
@@ -104,25 +104,50 @@ def _pack_local(path: str, end_id: int, capacity: int):
     return pack
 
 
-def _pack_bins(round_no: int, capacity: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches, pa.schema([("bin", pa.int64()), ("fill", pa.int32()), ("task", pa.int32())]))
-        if not whole.num_rows:
-            return
-        whole = whole.sort_by("bin")  # what a task makes must not depend on the order rows arrive in
-        bins, places, fills = best_fit(whole.column("fill").to_numpy().astype(np.int64), capacity)
-        old = whole.column("bin").to_numpy()
-        head = np.full(len(fills), -1, np.int64)  # a bin goes by the name of its first member
-        first = places == 0
-        head[bins[first]] = old[first]
-        tasks = whole.column("task").to_numpy()
-        group = np.zeros(len(fills), np.int32)
-        group[bins[first]] = tasks[first]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(old), pa.array(head[bins]), pa.array(places), pa.array(fills[bins]), pa.array(group[bins]),
-        ], names=["bin", "into", "shift", "fill", "task"])
+def merge_rules(counts: dict[int, int], capacity: int) -> np.ndarray:
+    """Best-fit decreasing of `counts[fill]` items of each fill, as rows (fill, first item, first bin, items a bin,
+    place): from its first item on, up to the next rule of the fill, each `items a bin` items go to the next bin,
+    one behind the other from `place`. The smallest space that takes an item takes further equal ones until it
+    is too small, so all bins with the same space left are dealt with at once."""
+    spaces: dict[int, list[tuple[int, int]]] = {}  # what is left: ranges (first bin, bins)
+    rules, bins = [], 0
+    for fill in sorted(counts, reverse=True):
+        item, waiting = 0, counts[fill]
+        while waiting:
+            left = min((x for x in spaces if x >= fill), default=None)
+            if left is None:
+                left, first, n = capacity, bins, -(-waiting // (capacity // fill))
+                bins += n
+            else:
+                first, n = spaces[left].pop()
+                if not spaces[left]:
+                    del spaces[left]
+            each = left // fill
+            whole = min(n, waiting // each)
+            for at, many, per in ((first, whole, each), (first + whole, int(whole < n), min(waiting - whole * each, each))):
+                if many and per:
+                    rules.append((fill, item, at, per, capacity - left))
+                    item, waiting = item + many * per, waiting - many * per
+                    if left - per * fill:
+                        spaces.setdefault(left - per * fill, []).append((at, many))
+                    first, n = at + many, n - many
+            if n:
+                spaces.setdefault(left, []).append((first, n))
+    return np.asarray(rules, np.int64).reshape(-1, 5)
+
+
+def _follow(rules: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = rules[:, 0] << 48 | rules[:, 1]
+        order = np.argsort(starts)
+        for batch in batches:
+            fill, item = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 2))
+            _, begin, first, each, place = rules[order[np.searchsorted(starts[order], fill << 48 | item, "right") - 1]].T
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(MERGED + first + (item - begin) // each), pa.array(place + (item - begin) % each * fill),
+            ], names=["bin", "into", "shift"])
 
-    return pack
+    return run
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY,
@@ -132,33 +157,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     pieces = saved(
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         .mapInArrow(_pack_local(tokenizer_path, end_id, capacity), PIECES), "pieces")
-    is_open = F.col("fill") < full
-    still = pieces.where(is_open & (F.col("place") == 0)).select("bin", "fill", "task")
-    moved = None  # underfull bins of the first round: the bin each ended up in, and its place there
-    tasks = pieces.agg(F.max("task")).first()[0]
-    groups = 0 if tasks is None else tasks + 1
-    level, merged_any = 0, True
-    while groups > 1 and merged_any:
-        level += 1
-        waiting = still.count()
-        groups = max(-(-groups // FAN_IN), -(-waiting // ROUND_ITEMS), 1)
-        step = saved(
-            still.withColumn("task", (F.col("task") / FAN_IN).cast("int"))
-            .repartition(groups, F.col("task"))
-            .mapInArrow(_pack_bins(level, capacity), "bin long, into long, shift int, fill int, task int"), "bins")
-        merged_any = not step.where("shift > 0").isEmpty()
-        link = step.select("bin", "into", "shift")
-        if moved is None:
-            moved = link
-        else:
-            nxt = link.select(F.col("bin").alias("into"), F.col("into").alias("_to"), F.col("shift").alias("_by"))
-            moved = saved(moved.join(nxt, "into", "left").select(
-                "bin", F.coalesce("_to", "into").alias("into"), (F.col("shift") + F.coalesce("_by", F.lit(0))).alias("shift")), "moved")
-        still = step.where(is_open & (F.col("shift") == 0)).select(F.col("into").alias("bin"), "fill", "task")
-    out = pieces
-    if moved is not None:
-        out = pieces.join(moved, "bin", "left")
-        out = out.withColumn("bin", F.coalesce("into", "bin")).withColumn("place", F.col("place") + F.coalesce("shift", F.lit(0)))
+    still = saved(pieces.where((F.col("fill") < full) & (F.col("place") == 0)).select("bin", "fill", "task"), "open")
+    per_task = saved(still.groupBy("task", "fill").agg(F.count("*").alias("n")), "fills")
+    counts = {r["fill"]: r["n"] for r in per_task.groupBy("fill").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
+    before = Window.partitionBy("fill").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    base = per_task.select("task", "fill", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    of_task = Window.partitionBy("task", "fill").orderBy("bin")  # a part of one scan task's bins
+    items = still.withColumn("item", F.row_number().over(of_task) - 1).join(base, ["task", "fill"])
+    moved = items.select("bin", "fill", (F.col("base") + F.col("item")).alias("item")).mapInArrow(
+        _follow(merge_rules(counts, capacity)), "bin long, into long, shift long")
+    out = pieces.join(moved, "bin", "left")
+    out = out.withColumn("bin", F.coalesce("into", "bin")).withColumn("place", F.col("place") + F.coalesce("shift", F.lit(0)))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"),
                       F.col("place").cast("long").alias("offset"))
 

@@ -92,6 +92,43 @@ def test_best_fit_is_exact_on_places():
     assert (places[at][1:][same] == ends[:-1][same]).all() and (places[at][1:][~same] == 0).all()
 
 
+def test_open_bins_are_merged_by_counts():
+    """Same fills as best-fit decreasing of the single bins, each item once, whatever the number of bins."""
+    rng = np.random.default_rng(8)
+    many = [Counter(rng.integers(1, 1016, n).tolist()) for n in (1, 30, 3000)] + [Counter({320: 1000, 30: 7}), Counter({1: 5000}), Counter()]
+    for counts in many:
+        items, want = [f for f in counts for _ in range(counts[f])], []
+        bins = Counter()
+        ends = {}
+        rules = packing.merge_rules(counts, 1024)
+        for fill in counts:
+            own = [r for r in rules.tolist() if r[0] == fill]
+            for item in range(counts[fill]):
+                _, begin, first, each, place = [r for r in own if r[1] <= item][-1]
+                b = first + (item - begin) // each
+                ends.setdefault(b, []).append((place + (item - begin) % each * fill, fill))
+                bins[b] += fill
+        for held in ends.values():
+            at = 0
+            for place, fill in sorted(held):
+                assert place == at
+                at += fill
+        want = packing.best_fit(np.asarray(items, np.int64), 1024)[2].tolist()
+        assert sorted(bins.values()) == sorted(want)
+    rules = packing.merge_rules({320: 30_000_000, 500: 10_000_001}, 1024)
+    assert len(rules) < 10
+
+
+def test_equal_open_bins_of_many_tasks(spark):
+    text = " ".join(f"word{i % 7}" for i in range(150))
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(text).alias("text")).repartition(9)
+    got = packing.pack_documents(docs, TOKENIZER, 2).toPandas()
+    size = int(got.length.iloc[0])
+    assert size < 512 and sorted(got.doc_id) == list(range(600)) and got.sequence_id.nunique() == -(-600 // (1024 // size))
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == (g.length.cumsum() - g.length).tolist() and g.length.sum() <= 1024
+
+
 def test_token_counts_and_cache(spark, docs, none, rows, tmp_path):
     own, cache = encoding.Encoder(TOKENIZER), f"{tmp_path}/cache"
     assert token_counts.token_counts(none, cache, TOKENIZER).count() == 0

@@ -1,6 +1,8 @@
 """License scans: normalised passages compared with licence templates by Dice coefficient over word bigrams.
 
-A passage is a line, a paragraph (between blank lines), or the whole text. Text and templates are lower-cased,
+A passage is a line, a paragraph (between blank lines), the whole text, or, for a licence that none of these
+reaches, the best window of as many words as one of its templates. Windows are compared from each word pair that is in the template,
+and only where the text holds as many of the template's bigrams as the threshold takes. Text and templates are lower-cased,
 and everything but ASCII letters and digits becomes a space. For sets of bigrams A and B the coefficient
 2|A and B| / (|A| + |B|) reaches t only if |B| is between |A| t / (2 - t) and |A| (2 - t) / t; templates
 outside these bounds are not compared. The templates are one literal, so a scan is a narrow expression over
@@ -101,6 +103,44 @@ def _literal(templates: list[tuple[str, str, str]]) -> Column:
                      for name, kind, text in templates])
 
 
+def _words(passage: Column) -> Column:
+    return F.split(F.btrim(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " ")), " ")
+
+
+def _bigrams(words: Column) -> Column:
+    """In order, with repeats; none of a single word."""
+    return F.when(F.size(words) < 2, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))))
+
+
+def window_matches(text: Column, found: Column, templates: list[tuple[str, str, str]], threshold: float) -> Column:
+    """Array of (dice, license, kind, passage): the best window of each template whose licence is not in `found`."""
+    literal = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(kind).alias("kind"), F.lit(len(template_words(t)) - 1).alias("length"),
+                                 F.array(*[F.lit(b).cast("long") for b in _template_bigrams(t)]).alias("bigrams"))
+                        for name, kind, t in templates])
+    known = F.array(*[F.lit(b).cast("long") for b in sorted({b for _, _, t in templates for b in _template_bigrams(t)})])
+    share = threshold / (2 - threshold) - 1e-9  # of its bigrams a template shares with any window that reaches the threshold
+
+    def best(words: Column, own: Column, t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_contains(t["bigrams"], F.get(own, i)))
+
+        def score(i: Column) -> Column:
+            return _let(F.array_distinct(F.slice(own, i + 1, t["length"])), lambda b: F.struct(
+                (F.size(F.array_intersect(b, t["bigrams"])) * 2.0 / (F.size(b) + F.size(t["bigrams"]))).alias("dice"), (-i).alias("at")))
+
+        return _let(F.array_max(F.transform(starts, score)), lambda m: F.struct(
+            m["dice"].alias("dice"), t["license"].alias("license"), t["kind"].alias("kind"),
+            F.array_join(F.slice(words, 1 - m["at"], t["length"] + 1), " ").alias("passage")))
+
+    def of_bigrams(words: Column, own: Column) -> Column:
+        near = _let(F.array_intersect(own, known), lambda held: F.filter(literal, lambda t: (
+            F.size(F.array_intersect(held, t["bigrams"])) >= F.size(t["bigrams"]) * share)
+            & ~F.exists(found, lambda m: m["license"] == t["license"])))
+        return F.filter(F.transform(near, lambda t: best(words, own, t)), lambda m: m["dice"] >= threshold)
+
+    return _let(_words(text), lambda words: _let(_bigrams(words), lambda own: of_bigrams(words, own)))
+
+
 def passage_matches(passage: Column, templates: list[tuple[str, str, str]], threshold: float) -> Column:
     """Array of (dice, license, kind) of the templates that the passage reaches the threshold with."""
     sizes = [len(_template_bigrams(t)) for _, _, t in templates]
@@ -139,6 +179,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, st
         passage_matches(p, use, threshold), lambda m: F.struct(m["dice"].alias("dice"), m["license"].alias("license"),
                                                                m["kind"].alias("kind"), p.alias("passage")))))
 
+    found = _let(found, lambda f: F.concat(f, window_matches(whole, f, use, threshold)))
     best = F.array_sort(found, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1)
                         .when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1)
                         .when(a["passage"] < b["passage"], -1).when(a["passage"] > b["passage"], 1).otherwise(0))

@@ -425,6 +425,19 @@ def test_licenses(docs, none):
     assert one[0].license == "Apache-2.0" and 0.8 <= one[0].dice < 1
 
 
+def test_licenses_inside_longer_texts(spark):
+    mit, apache = licenses.TEMPLATES[17][2], licenses.TEMPLATES[3][2]
+    assert mit.startswith("Permission is hereby")
+    around = " ".join(f"other{i}" for i in range(120))
+    parts = mit.replace("\n", " ").replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    assert parts.count("\n\n") == 2
+    texts = [f"{around}\n\n{parts}\n\n{around}", f"{around} {apache} {around}", around, "one", None, f"{around}\nReleased under the MIT License.\n{around}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(m.license, round(m.dice, 3)) for m in r.matches] for r in licenses.scan(frame).collect()}
+    assert ("MIT", 1.0) in got[0] and ("Apache-2.0", 1.0) in got[1]
+    assert got[2] == got[3] == got[4] == [] and got[5] == [("MIT", 1.0)]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 

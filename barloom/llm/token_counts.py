@@ -6,7 +6,7 @@ is normalised only so far as counts allow: a null text is the empty text.
 
 Edge cases: null and empty texts have 0 bytes and 0 tokens; equal texts are encoded once, wherever they
 lie; repeated rows are returned as often as they come; an empty table gives no rows; other columns are
-ignored. A null id is returned as null.
+ignored. A null id is returned as null. A digest that the cache holds more than once counts once.
 """
 from __future__ import annotations
 
@@ -42,7 +42,7 @@ def _encode_with(path: str, version: str):
             for text in batch.column("text"):  # one text at a time in Python's memory
                 t = text.as_py()
                 sizes.append(len(t.encode()))
-                tokens.append(len(enc.ids(t)) // 4)
+                tokens.append(enc.count(t))
             yield pa.RecordBatch.from_arrays([
                 batch.column("digest").cast(pa.binary()), pa.array([version] * len(sizes), pa.string()),
                 pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()),
@@ -82,7 +82,9 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str, doc_id:
     cache = extend_cache(docs, cache_path, tokenizer_path, text)
     rows = saved(docs.select(F.col(doc_id).alias("doc_id"), content_digest(text).alias("digest")), "digests")
     sizes = rows.groupBy("digest").agg(F.count("*").alias("_rows"))
-    counts = cache.select("digest", "n_bytes", "n_tokens").join(sizes, "digest")
+    # two jobs that miss the same content side by side both append it
+    once = cache.groupBy("digest").agg(F.max("n_bytes").alias("n_bytes"), F.max("n_tokens").alias("n_tokens"))
+    counts = once.join(sizes, "digest")
     out = join_unique(rows, counts, "digest", "_rows", rows.count())
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 

@@ -38,6 +38,7 @@ from barloom.llm.registry import query
 
 DEPTH = 5
 UPPER = 2  # bytes of the contexts kept together on the driver
+DEEPEST = 6  # eight bits a byte and one byte more than the depth in a signed long
 FREQUENT_GRAMS = 1 << 21
 FIXED = 1 << 30  # a text of 2**31 bytes stays within a long
 SUBTREES = 1 << 17  # grams of whole subtrees a task works on at a time, or one subtree
@@ -364,8 +365,6 @@ def _predict(depth: int, upper):
 
 def predictions(grams: DataFrame, depth: int) -> DataFrame:
     """gram, log10p (times FIXED) for each of the distinct grams with their training counts `n`."""
-    if depth <= UPPER:
-        raise ValueError(f"the depth is above {UPPER}")
     # a subtree hangs below a context of UPPER + 1 bytes
     dealt = grams.select("gram", "n").repartition(F.shiftright("gram", 8 * (depth - UPPER))).sortWithinPartitions("gram")
     sums = dealt.mapInArrow(_upper_sums(depth), "node long, zeros double, ones double, below double")
@@ -448,6 +447,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dep
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score per row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if not UPPER < depth <= DEEPEST:
+        raise ValueError(f"the depth is above {UPPER} and at most {DEEPEST}")
     counts = saved(count_texts(docs, depth, "doc_id", "text"), "counts")
     words = counts.where(F.col("word").isNotNull()).select("word", "n")
     grams = counts.where(F.col("gram").isNotNull()).select("gram", "n", "unseen")

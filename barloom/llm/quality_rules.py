@@ -125,7 +125,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The frame with the statistics as columns. A generator keeps the optimiser from computing the
     struct once for each use. Names that clash with the frame's own get the statistics' values."""
     rest = [c for c in docs.columns if c not in STATISTICS]
-    own = next(n for n in ("_s", "_s1", "_s2") if n not in docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    own = next(f"_s{k}" for k in range(len(taken) + 1) if f"_s{k}" not in taken)
     made = docs.withColumn(own, F.explode(F.array(statistics(text))))
     return made.select(*rest, *[F.col(own).getField(n).alias(n) for n in STATISTICS])
 
@@ -249,7 +250,7 @@ def learn_from(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """The rows with their statistics, base_failed and kept."""
+    """The rows with their statistics, base_failed and kept, which replace columns of these names."""
     rules = learn_from(docs, labels, doc_id, text, sample=sample)
     return with_statistics(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", verdict(rules))
 

@@ -92,6 +92,32 @@ def test_best_fit_is_exact_on_places():
     assert (places[at][1:][same] == ends[:-1][same]).all() and (places[at][1:][~same] == 0).all()
 
 
+def test_rounds_place_every_bin_once(spark):
+    """Open bins of many tasks through all rounds: no overlap, no gap, near the lower bound, whatever their number."""
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    for tasks, each in ((1, 40), (70, 25), (600, 3)):
+        bins = pd.DataFrame({"task": np.repeat(np.arange(tasks), each), "fill": rng.integers(1, 1016, tasks * each)})
+        bins["bin"] = bins["task"] * (1 << 40) + np.tile(np.arange(each), tasks)
+        frame = spark.createDataFrame(bins.astype({"task": "int32", "fill": "int32"}))
+        per_task = spark.createDataFrame(bins.groupby(["task", "fill"]).size().reset_index(name="n"))
+        chain = None
+        solutions = packing._rounds(per_task, 1024, 1016)
+        for r, solved in enumerate(solutions):
+            own = per_task.select("task").distinct().withColumn("group", F.floor(F.col("task") / F.lit(8 ** (r + 1)))).join(
+                solved, "group").select("task", F.lit(r).alias("round"), "group", "bases", "rules", "parts")
+            chain = own if chain is None else chain.unionByName(own)
+        assert len(solutions) == {1: 1, 70: 3, 600: 4}[tasks]
+        got = frame.groupBy("task").cogroup(chain.groupBy("task")).applyInArrow(
+            packing._follow, "bin long, into long, shift long").toPandas().merge(bins, on="bin")
+        assert len(got) == len(bins)
+        for _, g in got.sort_values("shift").groupby("into"):
+            assert g["shift"].tolist() == (g["fill"].cumsum() - g["fill"]).tolist() and g["fill"].sum() <= 1024
+        flat = len(packing.best_fit(bins["fill"].to_numpy().astype(np.int64), 1024)[2])  # without a tree
+        assert got["into"].nunique() <= 1.03 * flat + 2
+
+
 def test_open_bins_are_merged_by_counts():
     """Same fills as best-fit decreasing of the single bins, each item once, whatever the number of bins."""
     rng = np.random.default_rng(8)
@@ -137,6 +163,9 @@ def test_token_counts_and_cache(spark, docs, none, rows, tmp_path):
         assert Counter(tuple(r) for r in got) == Counter(
             (i, len((t or "").encode()), len(own.ids(t)) // 4, len(own.ids(t)) // 4 > 1024) for i, t in rows)
     assert spark.read.parquet(cache).count() == len({t or "" for _, t in rows})
+    spark.read.parquet(cache).write.parquet(f"{tmp_path}/twice")
+    spark.read.parquet(cache).write.mode("append").parquet(f"{tmp_path}/twice")
+    assert token_counts.token_counts(docs, f"{tmp_path}/twice", TOKENIZER).count() == len(rows)
 
 
 def mark(text):
@@ -182,12 +211,49 @@ def test_simhash_long_lists(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(pairs))] == root
 
 
+def test_simhash_counts_filter_before_they_verify(spark, monkeypatch):
+    """Seeded pairs at 3 to 6 bits: those at 3 and 4 are linked, and each step sees fewer pairs."""
+    monkeypatch.setattr(simhash, "LIST", 64)
+    rng = np.random.default_rng(11)
+    marks, wanted = [], {}
+    for k in range(400):
+        base, bits = int(rng.integers(0, 1 << 62)), 3 + k % 4
+        other = base
+        for b in rng.choice(62, bits, replace=False):
+            other ^= 1 << int(b)
+        marks += [base, other]
+        wanted[2 * k + 1] = 2 * k if bits <= 4 else None
+    pairs = simhash.PairCounts(spark)
+    frame = spark.createDataFrame([(m, i) for i, m in enumerate(marks)], "mark long, rep long")
+    links = {max(r): min(r) for r in map(tuple, simhash.near_links(frame, pairs=pairs).collect())}
+    assert {k: links.get(k) for k in wanted} == wanted
+    assert pairs.compared.value > pairs.counted.value > pairs.verified.value >= 200
+
+
+def test_one_row_of_each_component_stays(spark):
+    long_a, long_b = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(3, long_b), (5, long_a), (5, long_b), (9, long_a), (None, long_a), (7, "only here"), (7, "only here"), (7, "only here"),
+            (None, "no id"), (None, "no id"), (11, None), (12, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, _key long")
+    got = simhash.without_near_copies(docs.repartition(4))
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([
+        (3, long_b), (5, long_a), (7, "only here"), (None, "no id"), (11, None)])
+    assert {r._key for r in got.collect() if r.doc_id == 7} <= {5, 6, 7}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(200, 201)], "a long, b long")
     got = dict(connected_components(edges).collect())
     assert {got[i] for i in range(101)} == {0} and got[201] == 200
 
 
+def test_context_tree_refuses_a_depth_without_room(docs):
+    for depth in (2, 7):
+        with pytest.raises(ValueError):
+            context_tree.score_texts(docs, depth=depth)
+
+
 def test_context_tree(docs, none, rows):
     got = context_tree.score_texts(docs).collect()
     train = Counter()
@@ -389,16 +455,19 @@ def test_media(docs, none, rows):
 def test_warc(spark, tmp_path, monkeypatch):
     big = "é<p>" * 5000
     pages = [(1, "http://a/", "x"), (2, "http://b/\r\nX: y", "x"), (3, None, None), (4, "u", ""), (5, "u", big), (6, "u", big),
-             (7, "u", "one\r\n\r\ntwo"), (7, "u", "one\r\n\r\ntwo"), (None, "u", "lost")]
+             (7, "u", "one\r\n\r\ntwo"), (7, "v", "one\r\n\r\ntwo"), (7, "u", "other payload"), (2, "u", "only here"),
+             (None, "u", "no id"), (None, "u", "no id"), (None, "u", "x"), (None, None, None), (8, "u", big), (8, "u", big)]
     frame = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, digest string")
     warc.write_archive(frame, f"{tmp_path}/w", chunk=512)
-    got = {r.page_id: tuple(r)[1:] for r in warc.read_archive(spark, f"{tmp_path}/w").collect()}
-    first, want = {}, {}
-    for i, _, h in pages[:-1]:
+    got = Counter(map(tuple, warc.read_archive(spark, f"{tmp_path}/w").collect()))
+    want = Counter()
+    for i, _, h in pages:
         data = (h or "").encode()
-        f = first.setdefault(data, i)
-        want[i] = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if f == i else "revisit", None if f == i else f)
-    assert got == want
+        first = min((j for j, _, x in pages if (x or "").encode() == data and j is not None), default=None)
+        named = (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        is_first = i == first and not want[(i, *named, "response", None)]
+        want[(i, *named, "response", None) if is_first else (i, *named, "revisit", first)] += 1
+    assert +want == got
     chunks = spark.read.parquet(f"{tmp_path}/w")
     assert chunks.agg(F.max(F.length("data"))).first()[0] <= 1024 and chunks.where("chunk_no > 5").count() > 0
     warc.write_archive(frame.where("page_id < 3"), f"{tmp_path}/l", least=5)
@@ -477,5 +546,7 @@ def test_columns_named_like_the_operators_own(spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality long")
     assert {r["doc"]["id"] for r in resampling.resample(docs, labels).collect()} == {7, 8, 9}
     assert [r["_s"] for r in quality_rules.with_statistics(docs).collect()] == ["s"] * 3
+    more = docs.withColumnsRenamed({"id": "_s0", "_text": "_S1", "_media": "_s2"})
+    assert [r["_s0"] for r in quality_rules.with_statistics(more).orderBy("doc_id").collect()] == [7, 8, 9]
     rows = media.with_landmarks(media.with_wav(docs)).select("id", "_text", "_media").collect()
     assert sorted(map(tuple, rows), key=str) == [(7, "t", "m"), (8, "t", "m"), (9, None, "m")]

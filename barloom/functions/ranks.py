@@ -139,3 +139,47 @@ def average_rank(df: DataFrame, value: str, out: str, by: Sequence[str] = ()) ->
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull() & ~F.isnan(x)).withColumn(key, x + F.lit(0.0))
     return join_lookup(rows, table, [*by, key]).drop(key)
+
+
+TIE_SHARE = 1 << 6  # salts for the rows of one value that is a range edge
+
+
+def range_edges(df: DataFrame, columns: Sequence[str], ranges: int) -> dict[str, list[float]]:
+    """Strictly rising edges of each column from a quantile sketch, for all columns in one pass. A value that
+    holds more than about two parts in `ranges` of the rows is an edge."""
+    probs = [k / ranges for k in range(1, ranges)]
+    one = df.agg(*[F.percentile_approx(c, probs, 10 * ranges).alias(c) for c in columns]).first()
+    return {c: sorted(set(one[c] or ())) for c in columns}
+
+
+def with_ranges(df: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """For each column the number of its range, in `_r_<column>`: odd between two edges, even for the values that
+    equal an edge, which are all ties."""
+    names = list(edges)
+    splits = [[float("-inf"), *(edges[c] or [0.0]), float("inf")] for c in names]
+    marked = Bucketizer(splitsArray=splits, inputCols=names, outputCols=[f"_b_{c}" for c in names], handleInvalid="keep").transform(df)
+    made = {}
+    for c, cut in zip(names, splits):
+        at = F.col(f"_b_{c}").cast("int")  # edges at or below the value
+        edge = F.get(F.array(*[F.lit(x) for x in cut[:-1]]), at)
+        made[f"_r_{c}"] = 2 * at + F.when(F.col(c) == edge, 0).otherwise(1)
+    return marked.withColumns(made).drop(*[f"_b_{c}" for c in names])
+
+
+def rank_in_ranges(df: DataFrame, by: str, value: str, part: str, out: str, counted: DataFrame | None = None) -> DataFrame:
+    """The tie-averaged rank of `value` within `by` as column `out`, where `part` is the value's range number from
+    `with_ranges`. The rows are shuffled once, by range; ranks inside a range come from its sorted rows and are
+    moved by the number of rows in the ranges before it. The rows of an edge value have the same rank, so they
+    may lie in any task. `counted` is a frame with the same ranges that is cheaper to read twice."""
+    head = Window.partitionBy(by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (df if counted is None else counted).groupBy(by, part).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(head), F.lit(0)))  # one row a range
+    tie = F.col(part) % 2 == 0
+    rest = [c for c in df.columns if c not in (by, part)]
+    salted = df.withColumn("_salt", F.when(tie, F.pmod(F.xxhash64(*rest, F.lit(5)), F.lit(TIE_SHARE))).otherwise(0))
+    inside = Window.partitionBy(by, part, "_salt").orderBy(value)
+    peers = F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow))
+    ranked = salted.withColumns({"_rank": F.rank().over(inside), "_peers": peers})
+    own = F.when(tie, (F.col("_n") + 1) / 2.0).otherwise(F.col("_rank") + (F.col("_peers") - 1) / 2.0)
+    return ranked.join(F.broadcast(totals), [by, part]).withColumn(out, F.col("_before") + own).drop(
+        "_salt", "_rank", "_peers", "_n", "_before", part)

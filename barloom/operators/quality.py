@@ -127,10 +127,15 @@ def abnormal_summary(df: DataFrame) -> DataFrame:
                    (hit / F.count(F.lit(1)) * F.lit(100.0)).alias("abnormal_pct"))
 
 
-def scorer_warnings(df: DataFrame, industries: Sequence[str], limit: float = 0.1) -> DataFrame:
+# fixed values: the columns whose nulls a scorer warns of, and the share that is too many
+WARNED = ("close", "high", "low", "open", "volume")
+NULL_LIMIT = 0.1
+
+
+def scorer_warnings(df: DataFrame, industries: Sequence[str], limit: float = NULL_LIMIT) -> DataFrame:
     """Warnings on a scorer input, as rows (kind, detail): missing close, empty frame, price or
     volume columns with too many nulls, industries outside the known list."""
-    fields = [c for c in ("close", "high", "low", "open", "volume") if c in df.columns]
+    fields = [c for c in WARNED if c in df.columns]
     one = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in fields])
     checks = [F.when(F.col("_n") == 0, F.struct(F.lit("empty").alias("kind"), F.lit("").alias("detail")))]
@@ -144,3 +149,17 @@ def scorer_warnings(df: DataFrame, industries: Sequence[str], limit: float = 0.1
         out = out.unionByName(odd.select(
             F.lit("unknown_industry").alias("kind"), F.col("industry").alias("detail")).distinct())
     return out
+
+
+def warning_count(df: DataFrame, industries: Sequence[str]) -> DataFrame:
+    """One row: how many warnings `scorer_warnings` gives, unknown industries being one together. A single
+    pass over a few narrow columns."""
+    fields = [c for c in WARNED if c in df.columns]
+    n = F.count(F.lit(1))
+    found = [F.when(n == 0, 1).otherwise(0)]
+    found += [F.when(F.try_divide(F.count(F.when(F.col(c).isNull(), 1)), n) > NULL_LIMIT, 1).otherwise(0) for c in fields]
+    if "industry" in df.columns:
+        odd = F.col("industry").isNotNull() & ~F.col("industry").isin(list(industries))
+        found.append(F.when(F.count(F.when(odd, 1)) > 0, 1).otherwise(0))
+    missing = 0 if "close" in df.columns else 1
+    return df.agg((sum(found[1:], found[0]) + F.lit(missing)).cast("bigint").alias("warnings"))

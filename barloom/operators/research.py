@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.numeric import usable, usable_or_null
-from barloom.functions.ranks import average_rank, exact_quantiles
+from barloom.functions.ranks import average_rank, exact_quantiles, range_edges, rank_in_ranges, with_ranges
 from barloom.functions.reuse import materialised
 from barloom.functions.student import correlation_p_value
 from barloom.operators.indicators import DATE, ID, by_symbol, previous
@@ -139,12 +139,22 @@ def pearson_by_indicator(df: DataFrame, columns: Sequence[str], target: str) ->
     return one.select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
 
 
-def spearman_by_indicator(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """(indicator, spearman): Pearson correlation of tie-averaged ranks within each indicator."""
-    long = materialised(indicators_long(df, columns, target))
-    ranked = materialised(average_rank(long, "value", "rank_x", ["indicator"]))
-    ranked = average_rank(ranked, target, "rank_y", ["indicator"])
-    return ranked.groupBy("indicator").agg(F.corr("rank_x", "rank_y").alias("spearman"))
+def spearman_by_indicator(df: DataFrame, columns: Sequence[str], target: str, ranges: int = 64) -> DataFrame:
+    """(indicator, spearman): Pearson correlation of tie-averaged ranks within each indicator.
+
+    Range edges of all columns come from one pass over the wide rows. The long rows (indicator, value, target) are
+    shuffled twice, once by the value's range and once by the target's, and ranked inside the ranges."""
+    zero = F.lit(0.0)  # so that -0.0 and 0.0 are one value
+    wide = df.select((usable_or_null(target) + zero).alias("_y"), *[(usable_or_null(c) + zero).alias(c) for c in columns])
+    wide = wide.where(F.col("_y").isNotNull())
+    wide = with_ranges(wide, range_edges(wide, [*columns, "_y"], ranges))
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("x"), F.col(f"_r_{c}").alias("xr")) for i, c in enumerate(columns)])
+    long = wide.select("_y", "_r__y", F.explode(cells).alias("c")).select(
+        F.col("c.i").alias("i"), F.col("c.x").alias("x"), F.col("c.xr").alias("xr"), F.col("_y").alias("y"), F.col("_r__y").alias("yr"),
+    ).where(F.col("x").isNotNull())
+    ranked = rank_in_ranges(rank_in_ranges(long, "i", "x", "xr", "rx").drop("x"), "i", "y", "yr", "ry", long)
+    names = F.array(*[F.lit(c) for c in columns])
+    return ranked.groupBy("i").agg(F.corr("rx", "ry").alias("spearman")).select(F.get(names, F.col("i")).alias("indicator"), "spearman")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -185,23 +185,24 @@ def levels(df: DataFrame, bounds: Sequence[float] | None = None) -> DataFrame:
     return df.withColumns({"score_level": label, "score_level_code": code})
 
 
-def stamp(df: DataFrame, market: str, warnings: str | None = None) -> DataFrame:
+def stamp(df: DataFrame, market: str, warnings: int | Column | None = None, count: int = 1) -> DataFrame:
+    """How the scores came about; `warnings` is the number of warnings on the input, `count` that of the run."""
     weights = ",".join(f"{d}={w:.4f}" for d, w in dimension_weights(market).items())
     return df.withColumns({
         "_scorer_version": F.lit(VERSION),
         "_calculation_timestamp": F.current_timestamp(),
         "_market_environment": F.lit(market),
         "_weights_used": F.lit(weights),
-        "_data_quality_warnings": F.lit(warnings).cast("string"),
-        "_calculation_count": F.lit(1).cast("bigint"),
+        "_data_quality_warnings": F.lit(warnings).cast("bigint"),
+        "_calculation_count": F.lit(count).cast("bigint"),
     })
 
 
-def score_bars(df: DataFrame, market: str = "normal", warnings: str | None = None) -> DataFrame:
+def score_bars(df: DataFrame, market: str = "normal", warnings: int | Column | None = None, count: int = 1) -> DataFrame:
     """Scorer inputs in, scored bars out."""
     for d in DIMENSIONS:
         df = dimension_score(df, d)
-    return stamp(levels(adjust(composite(df, market))), market, warnings)
+    return stamp(levels(adjust(composite(df, market))), market, warnings, count)
 
 
 def above(df: DataFrame, minimum: float = 65.0) -> DataFrame:

@@ -195,14 +195,6 @@ def factor_sync(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.sync_factors(factors_long(spark, sf), ["click", "view"])
 
 
-@query("daily_full_run", "L3 A20 E1", sql(
-    f"SELECT {KS}, trend_score, capital_score - score_institution + 1 AS capital_score, RND4({_PLAIN}) AS composite_score, CAST(NULL AS DOUBLE) AS click FROM scored2", "scored2"))
-def daily_full_run(spark: SparkSession, sf: str) -> DataFrame:
-    base = scratch_folder(spark, "daily")
-    scored = jobs.daily_run(spark, base, trade_bars(spark, sf), factor_pivot(spark, sf), "20240131_180000")
-    return shape(scored, "order_book_id date trend_score capital_score composite_score click")
-
-
 _STUDIED = {"rsi_14": "technical", "ma10_angle": "momentum", "volume_ratio": "volume"}
 _AVG_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
 cte("studied", " UNION ALL ".join(

@@ -37,31 +37,47 @@ def forward_return(df: DataFrame, calendar: DataFrame, n: int = 5, out: str | No
     return got.where(F.col(out).isNotNull()) if drop else got
 
 
+def forward_returns(df: DataFrame, calendar: DataFrame, steps: Sequence[int]) -> DataFrame:
+    """Returns to the bars exactly n trading days later for several n in one window pass, null where there is none."""
+    by_day = Window.partitionBy(ID).orderBy("trade_seq")
+    dated = df.join(beside(calendar.select(DATE, "trade_seq")), DATE)
+    later = {n: F.first("close").over(by_day.rangeBetween(n, n)) for n in steps}
+    return dated.withColumns({
+        f"return_{n}d": F.try_divide(x - F.col("close"), F.col("close")) for n, x in later.items()}).drop("trade_seq")
+
+
+def _bars_within(days: int, need: int) -> Column:
+    """Whether a bar and the next need - 1 of its symbol lie within `days` calendar days."""
+    return F.coalesce(F.lead(DATE, need - 1).over(by_symbol()) <= F.date_add(F.col(DATE), days), F.lit(False))
+
+
 def forward_grid(df: DataFrame, steps: int = 10, days: int = 30, need: int = 10,
-                 carry: Sequence[str] = ()) -> DataFrame:
-    """Long table of returns 1..steps rows ahead, within `days` calendar days, for bars that have at
-    least `need` bars (itself included) in that time."""
+                 carry: Sequence[str] = (), only_enough: bool = False) -> DataFrame:
+    """Long table of returns 1..steps rows ahead within `days` calendar days. `enough` tells whether a bar has at
+    least `need` bars (itself included) in that time; with `only_enough` the others go."""
     w = by_symbol()
     limit = F.date_add(F.col(DATE), days)
-    enough = F.lead(DATE, need - 1).over(w) <= limit
     ahead = [F.when(F.lead(DATE, k).over(w) <= limit, F.lead("close", k).over(w)).alias(str(k))
              for k in range(1, steps + 1)]
-    base = df.select(ID, DATE, "close", *carry, enough.alias("_ok"), *ahead).where("_ok")
-    long = base.unpivot([ID, DATE, "close", *carry], [str(k) for k in range(1, steps + 1)], "n_days", "later")
+    base = df.select(ID, DATE, "close", *carry, _bars_within(days, need).alias("enough"), *ahead)
+    if only_enough:
+        base = base.where("enough")
+    long = base.unpivot([ID, DATE, "close", "enough", *carry], [str(k) for k in range(1, steps + 1)], "n_days", "later")
     return long.where((F.col("close") > 0) & F.col("later").isNotNull() & (F.col("later") != 0)).select(
-        ID, DATE, *carry, F.col("n_days").cast("bigint").alias("n_days"),
+        ID, DATE, *carry, "enough", F.col("n_days").cast("bigint").alias("n_days"),
         ((F.col("later") - F.col("close")) / F.col("close")).alias("ret"))
 
 
-def short_returns(df: DataFrame, days: int = 30, need: int = 10, legacy_offset: bool = True) -> DataFrame:
-    """3- and 5-day returns by row offset. The legacy form counts the current bar as day one, so it
-    looks 2 and 4 rows ahead."""
+def short_returns(df: DataFrame, days: int = 30, need: int = 10, legacy_offset: bool = True,
+                  only_enough: bool = False) -> DataFrame:
+    """3- and 5-day returns by row offset, and `enough` as in `forward_grid`. The legacy form counts the current bar
+    as day one, so it looks 2 and 4 rows ahead."""
     w = by_symbol()
-    enough = F.lead(DATE, need - 1).over(w) <= F.date_add(F.col(DATE), days)
     shift = 1 if legacy_offset else 0
     made = {f"return_{n}d": F.try_divide(F.lead("close", n - shift).over(w) - F.col("close"), F.col("close"))
             for n in (3, 5)}
-    return df.withColumns({**made, "_ok": enough}).where(F.col("_ok") & (F.col("close") > 0)).drop("_ok")
+    out = df.withColumns({**made, "enough": _bars_within(days, need)}).where(F.col("close") > 0)
+    return out.where("enough") if only_enough else out
 
 
 def with_positions(positions: DataFrame, returns: DataFrame) -> DataFrame:
@@ -409,16 +425,18 @@ def daily_mean_returns(df: DataFrame) -> DataFrame:
 
 
 def symbol_returns(df: DataFrame, at_least: int = 20, edge: float = 0.05) -> DataFrame:
-    """First-to-last return per symbol with enough bars, and its class."""
+    """First-to-last return of every symbol and its class; `enough` tells whether it has at least so many bars."""
     ends = df.groupBy(ID).agg(
         F.count(F.lit(1)).alias("bars"), F.min_by("close", DATE).alias("first_close"),
-        F.max_by("close", DATE).alias("last_close")).where(F.col("bars") >= at_least)
+        F.max_by("close", DATE).alias("last_close"))
     r = F.try_divide(F.col("last_close") - F.col("first_close"), F.col("first_close"))
     kind = F.when(r > edge, "bullish").when(r < -edge, "bearish").otherwise("sideways")
-    return ends.withColumns({"total_return": r, "trend": kind})
+    return ends.withColumns({"total_return": r, "trend": kind, "enough": F.col("bars") >= at_least})
 
 
 def majority(returns: DataFrame) -> DataFrame:
+    """Classes of the symbols with enough bars, and the larger side."""
+    returns = returns.where("enough")
     up, down = F.count(F.when(F.col("trend") == "bullish", 1)), F.count(F.when(F.col("trend") == "bearish", 1))
     one = returns.agg(up.alias("bullish"), down.alias("bearish"),
                       F.count(F.when(F.col("trend") == "sideways", 1)).alias("sideways"))

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from barloom.functions.reuse import materialised
+
 ID, DATE = "order_book_id", "date"
 
 TYPES = {
@@ -32,62 +34,82 @@ class Field:
 
 
 # fixed values: the catalog (name, type, nullable, category, source), by group
-_PRICE = """open float64 no price vendor
-close float64 no price vendor
-high float64 no price vendor
-low float64 no price vendor
-volume int64 no volume vendor
-amount float64 yes volume vendor"""
-_FUNDAMENTAL = """pe_ratio float64 yes valuation vendor
-pb_ratio float64 yes valuation vendor
-ps_ratio float64 yes valuation vendor
-pcf_ratio float64 yes valuation vendor
-market_cap float64 yes market vendor
-circulating_market_cap float64 yes market vendor
-total_shares float64 yes market vendor
-float_shares float64 yes market vendor
-turnover_ratio float64 yes liquidity vendor
-float_turnover_ratio float64 yes liquidity vendor
-roe float64 yes profitability vendor
-roa float64 yes profitability vendor
-gross_profit_margin float64 yes profitability vendor
-net_profit_margin float64 yes profitability vendor
-debt_to_equity float64 yes solvency vendor
-current_ratio float64 yes solvency vendor"""
-_INSTRUMENT = """order_book_id string no instrument vendor
-symbol string no instrument vendor
-exchange string no instrument vendor
-type string no instrument vendor
-status string yes instrument vendor
-listed_date string yes instrument vendor
-de_listed_date string yes instrument vendor
-sector_code string yes instrument vendor
-industry_code string yes instrument vendor
-board_type string yes instrument vendor"""
+PRICE_FIELDS = [
+    Field("open", "float64", False, "price", "vendor"),
+    Field("close", "float64", False, "price", "vendor"),
+    Field("high", "float64", False, "price", "vendor"),
+    Field("low", "float64", False, "price", "vendor"),
+    Field("volume", "int64", False, "volume", "vendor"),
+    Field("amount", "float64", True, "volume", "vendor"),
+]
+FUNDAMENTAL_FIELDS = [
+    Field("pe_ratio", "float64", True, "valuation", "vendor"),
+    Field("pb_ratio", "float64", True, "valuation", "vendor"),
+    Field("ps_ratio", "float64", True, "valuation", "vendor"),
+    Field("pcf_ratio", "float64", True, "valuation", "vendor"),
+    Field("market_cap", "float64", True, "market", "vendor"),
+    Field("circulating_market_cap", "float64", True, "market", "vendor"),
+    Field("total_shares", "float64", True, "market", "vendor"),
+    Field("float_shares", "float64", True, "market", "vendor"),
+    Field("turnover_ratio", "float64", True, "liquidity", "vendor"),
+    Field("float_turnover_ratio", "float64", True, "liquidity", "vendor"),
+    Field("roe", "float64", True, "profitability", "vendor"),
+    Field("roa", "float64", True, "profitability", "vendor"),
+    Field("gross_profit_margin", "float64", True, "profitability", "vendor"),
+    Field("net_profit_margin", "float64", True, "profitability", "vendor"),
+    Field("debt_to_equity", "float64", True, "solvency", "vendor"),
+    Field("current_ratio", "float64", True, "solvency", "vendor"),
+]
+INSTRUMENT_FIELDS = [
+    Field("order_book_id", "string", False, "instrument", "vendor"),
+    Field("symbol", "string", False, "instrument", "vendor"),
+    Field("exchange", "string", False, "instrument", "vendor"),
+    Field("type", "string", False, "instrument", "vendor"),
+    Field("status", "string", True, "instrument", "vendor"),
+    Field("listed_date", "string", True, "instrument", "vendor"),
+    Field("de_listed_date", "string", True, "instrument", "vendor"),
+    Field("sector_code", "string", True, "instrument", "vendor"),
+    Field("industry_code", "string", True, "instrument", "vendor"),
+    Field("board_type", "string", True, "instrument", "vendor"),
+]
 # dates are real dates here; the stored text form is still accepted
-_FACTOR = """date date no temporal calculated
-factor_name string no factor calculated
-factor_value float64 yes factor calculated
-factor_category string yes factor calculated"""
-_TECHNICAL = """sma_5 sma_10 sma_20 sma_30 ema_5 ema_10 ema_20 ema_30 rsi_6 rsi_12 rsi_14 macd
-macd_signal macd_hist bollinger_upper bollinger_middle bollinger_lower stoch_k stoch_d atr_14
-vwap returns volume_ratio"""
-_TECHNICAL_PRICE = "price_change price_change_pct high_low_range avg_price"
-
-
-def _catalog() -> dict[str, Field]:
-    out = {}
-    for text in (_PRICE, _FUNDAMENTAL, _INSTRUMENT, _FACTOR):
-        for line in text.splitlines():
-            name, kind, null, category, source = line.split()
-            out[name] = Field(name, kind, null == "yes", category, source)
-    for text, category in ((_TECHNICAL, "technical"), (_TECHNICAL_PRICE, "price")):
-        for name in text.split():
-            out[name] = Field(name, "float64", True, category, "calculated")
-    return out
-
-
-FIELDS = _catalog()
+FACTOR_FIELDS = [
+    Field("date", "date", False, "temporal", "calculated"),
+    Field("factor_name", "string", False, "factor", "calculated"),
+    Field("factor_value", "float64", True, "factor", "calculated"),
+    Field("factor_category", "string", True, "factor", "calculated"),
+]
+TECHNICAL_FIELDS = [
+    Field("sma_5", "float64", True, "technical", "calculated"),
+    Field("sma_10", "float64", True, "technical", "calculated"),
+    Field("sma_20", "float64", True, "technical", "calculated"),
+    Field("sma_30", "float64", True, "technical", "calculated"),
+    Field("ema_5", "float64", True, "technical", "calculated"),
+    Field("ema_10", "float64", True, "technical", "calculated"),
+    Field("ema_20", "float64", True, "technical", "calculated"),
+    Field("ema_30", "float64", True, "technical", "calculated"),
+    Field("rsi_6", "float64", True, "technical", "calculated"),
+    Field("rsi_12", "float64", True, "technical", "calculated"),
+    Field("rsi_14", "float64", True, "technical", "calculated"),
+    Field("macd", "float64", True, "technical", "calculated"),
+    Field("macd_signal", "float64", True, "technical", "calculated"),
+    Field("macd_hist", "float64", True, "technical", "calculated"),
+    Field("bollinger_upper", "float64", True, "technical", "calculated"),
+    Field("bollinger_middle", "float64", True, "technical", "calculated"),
+    Field("bollinger_lower", "float64", True, "technical", "calculated"),
+    Field("stoch_k", "float64", True, "technical", "calculated"),
+    Field("stoch_d", "float64", True, "technical", "calculated"),
+    Field("atr_14", "float64", True, "technical", "calculated"),
+    Field("vwap", "float64", True, "technical", "calculated"),
+    Field("returns", "float64", True, "technical", "calculated"),
+    Field("volume_ratio", "float64", True, "technical", "calculated"),
+    Field("price_change", "float64", True, "price", "calculated"),
+    Field("price_change_pct", "float64", True, "price", "calculated"),
+    Field("high_low_range", "float64", True, "price", "calculated"),
+    Field("avg_price", "float64", True, "price", "calculated"),
+]
+
+FIELDS = {f.name: f for f in [*PRICE_FIELDS, *FUNDAMENTAL_FIELDS, *INSTRUMENT_FIELDS, *FACTOR_FIELDS, *TECHNICAL_FIELDS]}
 
 # fixed values: fields per kind of fetch and whether the kind is required
 FETCH_GROUPS = {
@@ -125,12 +147,12 @@ class TableSchema:
 
 TABLES = {
     "instruments": TableSchema(
-        "instruments", tuple(l.split()[0] for l in _INSTRUMENT.splitlines()), (ID,), ("exchange",)),
+        "instruments", tuple(f.name for f in INSTRUMENT_FIELDS), (ID,), ("exchange",)),
     "factors": TableSchema(
         "factors", (ID, "symbol", DATE, "factor_name", "factor_value", "factor_category"),
         (ID, DATE, "factor_name"), (DATE,)),
     "valuation": TableSchema(
-        "valuation", (ID, DATE, *[l.split()[0] for l in _FUNDAMENTAL.splitlines()]), (ID, DATE), (DATE,)),
+        "valuation", (ID, DATE, *[f.name for f in FUNDAMENTAL_FIELDS]), (ID, DATE), (DATE,)),
 }
 
 
@@ -223,12 +245,15 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def gate(df: DataFrame, check_rows: bool = True) -> DataFrame:
-    """Refuse a frame without symbol, date and numeric close, or without rows."""
+    """Refuse a frame without symbol, date and numeric close, or without rows. The rows are written once, so that
+    looking for one does not run the frame's plan a second time."""
     require_columns(df, [ID, DATE, "close"])
     if not isinstance(df.schema["close"].dataType, T.NumericType):
         raise ValueError("close is not numeric")
-    if check_rows and df.isEmpty():
-        raise ValueError("the frame has no rows")
+    if check_rows:
+        df = materialised(df)
+        if df.isEmpty():
+            raise ValueError("the frame has no rows")
     return df
 
 

@@ -193,7 +193,7 @@ def stamp(df: DataFrame, market: str, warnings: int | Column | None = None, coun
         "_calculation_timestamp": F.current_timestamp(),
         "_market_environment": F.lit(market),
         "_weights_used": F.lit(weights),
-        "_data_quality_warnings": F.lit(warnings).cast("bigint"),
+        "_data_quality_warnings": (warnings if isinstance(warnings, Column) else F.lit(warnings)).cast("bigint"),
         "_calculation_count": F.lit(count).cast("bigint"),
     })
 

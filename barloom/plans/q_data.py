@@ -1,7 +1,7 @@
 """Cleaning, completion, calendar, joins, quality, schema and SQL queries over the given tables."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.functions.numeric import rounded
 from barloom.operators import clean, complete, indicators as ind, joins, pools, quality, schema
@@ -76,16 +76,16 @@ def completed_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("abnormal_filter", "C8", sql(
-    f"SELECT {KS}, open, high, low, close FROM bars WHERE least(open, high, low, close) >= 1e-1 AND greatest(open, high, low, close) <= 10000", "bars"))
+    f"SELECT {KS}, open, high, low, close FROM bars WHERE least(open, high, low, close) >= 0.1e0 AND greatest(open, high, low, close) <= 10000", "bars"))
 def abnormal_filter(spark: SparkSession, sf: str) -> DataFrame:
     return clean.drop_abnormal(trade_bars(spark, sf)).select("order_book_id", "date", "open", "high", "low", "close")
 
 
 @query("abnormal_removed", "C8", sql(
     """SELECT order_book_id, CAST(count(*) AS BIGINT) AS bad_rows, concat_ws(',',
-      max(CASE WHEN open < 1e-1 OR open > 10000 THEN 'open' END), max(CASE WHEN high < 1e-1 OR high > 10000 THEN 'high' END),
-      max(CASE WHEN low < 1e-1 OR low > 10000 THEN 'low' END), max(CASE WHEN close < 1e-1 OR close > 10000 THEN 'close' END)) AS columns
-    FROM bars WHERE least(open, high, low, close) < 1e-1 OR greatest(open, high, low, close) > 10000 GROUP BY order_book_id""", "bars"))
+      max(CASE WHEN open < 0.1e0 OR open > 10000 THEN 'open' END), max(CASE WHEN high < 0.1e0 OR high > 10000 THEN 'high' END),
+      max(CASE WHEN low < 0.1e0 OR low > 10000 THEN 'low' END), max(CASE WHEN close < 0.1e0 OR close > 10000 THEN 'close' END)) AS columns
+    FROM bars WHERE least(open, high, low, close) < 0.1e0 OR greatest(open, high, low, close) > 10000 GROUP BY order_book_id""", "bars"))
 def abnormal_removed(spark: SparkSession, sf: str) -> DataFrame:
     return clean.removed_symbols(trade_bars(spark, sf))
 
@@ -248,21 +248,21 @@ cte("fillq", f"""SELECT order_book_id, count(*) - count(*) FILTER (is_filled) AS
 
 
 @query("fill_quality", "D10 D12", sql(
-    "SELECT order_book_id, original_rows, expected, added, RND6(quality) AS quality, quality >= 55e-2 AS success FROM fillq", "fillq"))
+    "SELECT order_book_id, original_rows, expected, added, RND6(quality) AS quality, quality >= 0.55e0 AS success FROM fillq", "fillq"))
 def fill_quality(spark: SparkSession, sf: str) -> DataFrame:
     df = complete.completion_records(factor_pivot(spark, sf), threshold=0.55)
     return shape(df, "order_book_id original_rows expected added quality success", 6)
 
 
 @query("complete_checked", "D12", sql(
-    f"SELECT {KS}, click, view, is_filled, RND6(quality) AS quality FROM wide_ff JOIN fillq USING (order_book_id) WHERE NOT is_filled OR quality >= 55e-2", "wide_ff", "fillq"))
+    f"SELECT {KS}, click, view, is_filled, RND6(quality) AS quality FROM wide_ff JOIN fillq USING (order_book_id) WHERE NOT is_filled OR quality >= 0.55e0", "wide_ff", "fillq"))
 def complete_checked(spark: SparkSession, sf: str) -> DataFrame:
     df = complete.complete_checked(factor_pivot(spark, sf), threshold=0.55)
     return shape(df, f"{K} click view is_filled quality", 6)
 
 
 @query("continuity", "D11", sql(
-    f"""SELECT order_book_id, rows, missing, RND6(cont) AS continuity, RND6(CASE WHEN missing = 0 THEN 1 ELSE 7e-1 * (1 - missing / rows::DOUBLE) + 3e-1 * cont END) AS quality
+    f"""SELECT order_book_id, rows, missing, RND6(cont) AS continuity, RND6(CASE WHEN missing = 0 THEN 1 ELSE 0.7e0 * (1 - missing / rows::DOUBLE) + 0.3e0 * cont END) AS quality
     FROM (SELECT order_book_id, count(*) AS rows, count(*) FILTER (is_filled) AS missing,
       coalesce(avg(CASE WHEN gap <= 3 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 1) AS cont
       FROM (SELECT *, date - {lag('date')} AS gap FROM filled_f) GROUP BY 1)""", "filled_f"))
@@ -305,11 +305,25 @@ def completed_day(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # the stored part of the event bars, as if the newest days had not arrived and one day was lost
-cte("stored", "SELECT * FROM ebars WHERE date <= DATE '2024-01-19' AND date <> DATE '2024-01-10'", "ebars")
+_LAST = "(SELECT max(CAST(ts AS DATE)) FROM events)"
+_LOST = "(SELECT max(date) FROM cal WHERE date <= (SELECT max(CAST(ts AS DATE)) FROM events) - 20)"
+cte("stored", f"SELECT * FROM ebars WHERE date <= {_LAST} - 11 AND date <> {_LOST}", "ebars", "cal")
+
+
+def _last_day(spark: SparkSession, sf: str, back: int = 0) -> Column:
+    """The newest day of the events, or some days before it."""
+    day = table(spark, sf, "events").agg(F.date_sub(F.max(F.col("ts").cast("date")), back).alias("d"))
+    return day.scalar()
 
 
 def _stored(spark: SparkSession, sf: str) -> DataFrame:
-    return event_bars(spark, sf).where((F.col("date") <= "2024-01-19") & (F.col("date") != "2024-01-10"))
+    """Without the newest eleven days and without one trading day twenty days back."""
+    lost = calendar(spark, sf).where(F.col("date") <= _last_day(spark, sf, 20)).agg(F.max("date").alias("d")).scalar()
+    return event_bars(spark, sf).where((F.col("date") <= _last_day(spark, sf, 11)) & (F.col("date") != lost))
+
+
+def _day_text(spark: SparkSession, sf: str, back: int) -> str:
+    return str(spark.range(1).select(_last_day(spark, sf, back).alias("d")).first()["d"])
 
 
 @query("missing_market_days", "D15 E10", sql(
@@ -319,14 +333,16 @@ def missing_market_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("completion_range", "D14", sql(
-    "SELECT (SELECT max(date) FROM stored) + 1 AS start_date, (SELECT max(date) FROM cal WHERE date <= DATE '2024-01-28') AS end_date", "cal", "stored"))
+    "SELECT (SELECT max(date) FROM stored) + 1 AS start_date, (SELECT max(date) FROM cal WHERE date <= " + _LAST + " - 2) AS end_date", "cal", "stored"))
 def completion_range(spark: SparkSession, sf: str) -> DataFrame:
-    return complete.completion_range(_stored(spark, sf), calendar(spark, sf), "2024-01-28")
+    return complete.completion_range(_stored(spark, sf), calendar(spark, sf), _day_text(spark, sf, 2))
 
 
-@query("completion_range_inside", "D14", sql("SELECT DATE '2024-01-10' AS start_date, DATE '2024-01-10' AS end_date"))
+@query("completion_range_inside", "D14", sql(
+    f"""SELECT min(date) AS start_date, max(date) AS end_date FROM cal
+    WHERE date BETWEEN (SELECT min(date) FROM stored) AND {_LAST} - 11 AND date NOT IN (SELECT date FROM stored)""", "cal", "stored"))
 def completion_range_inside(spark: SparkSession, sf: str) -> DataFrame:
-    return complete.completion_range(_stored(spark, sf), calendar(spark, sf), "2024-01-19")
+    return complete.completion_range(_stored(spark, sf), calendar(spark, sf), _day_text(spark, sf, 11))
 
 
 @query("missing_per_symbol", "D16", sql(
@@ -370,7 +386,7 @@ def sync_window_full(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("coarse_gate", "D19", sql(
-    "SELECT count(*) AS rows, (SELECT count(*) FROM instruments) AS symbols, count(*) >= 8e-1 * 5 * (SELECT count(*) FROM instruments) AS complete FROM stored", "stored", "instruments"))
+    "SELECT count(*) AS rows, (SELECT count(*) FROM instruments) AS symbols, count(*) >= 0.8e0 * 5 * (SELECT count(*) FROM instruments) AS complete FROM stored", "stored", "instruments"))
 def coarse_gate(spark: SparkSession, sf: str) -> DataFrame:
     return complete.is_roughly_complete(_stored(spark, sf), instruments(spark, sf))
 
@@ -382,10 +398,10 @@ def top_up(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("dates_without_future", "D20", sql(
-    """SELECT DISTINCT s.date, s.date + 5 AS target_date, CASE WHEN s.date + 5 <= DATE '2024-01-22' THEN 'past' ELSE 'future' END AS kind
+    """SELECT DISTINCT s.date, s.date + 5 AS target_date, CASE WHEN s.date + 5 <= """ + _LAST + """ - 8 THEN 'past' ELSE 'future' END AS kind
     FROM stored s WHERE s.date + 5 NOT IN (SELECT date FROM stored)""", "stored"))
 def dates_without_future(spark: SparkSession, sf: str) -> DataFrame:
-    return complete.dates_without_future(_stored(spark, sf), "2024-01-22")
+    return complete.dates_without_future(_stored(spark, sf), _day_text(spark, sf, 8))
 
 
 @query("still_missing", "D21", sql(
@@ -432,8 +448,8 @@ def side_by_side(spark: SparkSession, sf: str) -> DataFrame:
 
 # pre-adjusted bars: the same prices divided by a factor that changes at the turn of each quarter
 _FACTOR = "(1 + quarter(date) / 4.0::DOUBLE)"
-cte("dual", f"""SELECT b.*, p.close_pre, p.open_pre FROM ebars b LEFT JOIN (SELECT {KS}, floor(close / 125e-2 * 100 + 5e-1) / 100 AS close_pre,
- floor(open / 125e-2 * 100 + 5e-1) / 100 AS open_pre FROM ebars WHERE trades > 1) p USING (order_book_id, date)""", "ebars")
+cte("dual", f"""SELECT b.*, p.close_pre, p.open_pre FROM ebars b LEFT JOIN (SELECT {KS}, floor(close / 1.25e0 * 100 + 0.5e0) / 100 AS close_pre,
+ floor(open / 1.25e0 * 100 + 0.5e0) / 100 AS open_pre FROM ebars WHERE trades > 1) p USING (order_book_id, date)""", "ebars")
 
 
 def _pre(spark: SparkSession, sf: str) -> DataFrame:
@@ -484,7 +500,7 @@ def display_scores(spark: SparkSession, sf: str) -> DataFrame:
       RND4((greatest(a.close, b.close) - least(a.close, b.close)) / greatest(a.close, b.close) * 100) AS close_spread_pct,
       RND4(abs(a.volume - b.volume)) AS volume_spread, RND4(abs(a.amount - b.amount)) AS amount_spread
     FROM (SELECT * FROM ebars QUALIFY row_number() OVER (PARTITION BY order_book_id ORDER BY date DESC) = 1) a JOIN
-      (SELECT order_book_id, date, floor(close / 125e-2 * 100 + 5e-1) / 100 AS close, volume, amount FROM ebars WHERE trades > 1 QUALIFY row_number() OVER (PARTITION BY order_book_id ORDER BY date DESC) = 1) b
+      (SELECT order_book_id, date, floor(close / 1.25e0 * 100 + 0.5e0) / 100 AS close, volume, amount FROM ebars WHERE trades > 1 QUALIFY row_number() OVER (PARTITION BY order_book_id ORDER BY date DESC) = 1) b
     USING (order_book_id)""", "ebars"))
 def adjust_spread(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.operators import research
@@ -495,7 +511,7 @@ def adjust_spread(spark: SparkSession, sf: str) -> DataFrame:
                  "order_book_id types close_spread close_spread_pct volume_spread amount_spread")
 
 
-cte("twosrc", f"SELECT {KS}, close AS close_a, floor(amount / volume * 100 + 5e-1) / 100 AS close_b, amount AS amount_a, amount AS amount_b FROM bars", "bars")
+cte("twosrc", f"SELECT {KS}, close AS close_a, floor(amount / volume * 100 + 0.5e0) / 100 AS close_b, amount AS amount_a, amount AS amount_b FROM bars", "bars")
 
 
 def _second_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -505,14 +521,14 @@ def _second_source(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("reconcile", "E7", sql(
-    f"SELECT {KS}, close_a, close_b, RND4(abs(close_a - close_b)) AS close_diff, RND4(abs(close_a - close_b)) AS max_diff, abs(close_a - close_b) > 15e-3 AS differs FROM twosrc", "twosrc"))
+    f"SELECT {KS}, close_a, close_b, RND4(abs(close_a - close_b)) AS close_diff, RND4(abs(close_a - close_b)) AS max_diff, abs(close_a - close_b) > 0.015e0 AS differs FROM twosrc", "twosrc"))
 def reconcile(spark: SparkSession, sf: str) -> DataFrame:
     df = joins.reconcile(trade_bars(spark, sf), _second_source(spark, sf), ["close", "amount"], 0.015)
     return shape(df, f"{K} close_a close_b close_diff max_diff differs")
 
 
 @query("reconcile_summary", "E7", sql(
-    """SELECT order_book_id, CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (abs(close_a - close_b) > 15e-3) AS differing, RND4(max(abs(close_a - close_b))) AS largest,
+    """SELECT order_book_id, CAST(count(*) AS BIGINT) AS rows, count(*) FILTER (abs(close_a - close_b) > 0.015e0) AS differing, RND4(max(abs(close_a - close_b))) AS largest,
     arg_max(date, (abs(close_a - close_b), date)) AS largest_on FROM twosrc GROUP BY 1""", "twosrc"))
 def reconcile_summary(spark: SparkSession, sf: str) -> DataFrame:
     df = joins.reconcile(trade_bars(spark, sf), _second_source(spark, sf), ["close", "amount"], 0.015)
@@ -628,8 +644,8 @@ def symbol_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PRICES = " UNION ALL ".join(f"SELECT order_book_id, '{c}' AS price_column, {c} AS p FROM both_bars" for c in ("open", "high", "low", "close"))
-_RULES = [("too_high", "> 10000"), ("too_low", "< 1e-1"), ("not_positive", "<= 0")]
-cte("both_bars", f"SELECT {KS}, open, high, low, close FROM bars UNION ALL SELECT 'E' || order_book_id, date, open - 5e-1, high, low - 5e-1, close FROM ebars", "bars", "ebars")
+_RULES = [("too_high", "> 10000"), ("too_low", "< 0.1e0"), ("not_positive", "<= 0")]
+cte("both_bars", f"SELECT {KS}, open, high, low, close FROM bars UNION ALL SELECT 'E' || order_book_id, date, open - 0.5e0, high, low - 0.5e0, close FROM ebars", "bars", "ebars")
 cte("prices", _PRICES, "both_bars")
 cte("abnormal", " UNION ALL ".join(
     f"SELECT order_book_id, price_column, '{r}' AS rule, count(*) AS n, min(p) AS min_price, max(p) AS max_price, avg(p) AS mean_price FROM prices WHERE p {c} GROUP BY 1, 2" for r, c in _RULES), "prices")
@@ -656,7 +672,7 @@ def abnormal_totals(spark: SparkSession, sf: str) -> DataFrame:
     return quality.abnormal_totals(_both_bars(spark, sf))
 
 
-_BAD = "(greatest(open, high, low, close) > 10000 OR least(open, high, low, close) < 1e-1)"
+_BAD = "(greatest(open, high, low, close) > 10000 OR least(open, high, low, close) < 0.1e0)"
 
 
 @query("abnormal_symbols", "F8", sql(

@@ -1,12 +1,12 @@
 """Bars, indicators and scores over the trades of `lineitem` and `events`."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions import formulas
 from barloom.functions.numeric import rounded
 from barloom.functions.reuse import materialised
-from barloom.operators import indicators as ind, pools, scoring
+from barloom.operators import indicators as ind, pools, quality, scoring
 from barloom.plans.bindings import event_bars, instruments, order_size_share, sized_bars, trade_bars
 from barloom.plans.registry import cte, query, sql
 from barloom.plans.shape import shape
@@ -67,7 +67,7 @@ cte("i3", f"""
 SELECT *, {ewm('macd_diff', 9)} AS macd_dea, {full('avg', 'stoch_k', 3)} AS stoch_d,
   {", ".join(f"CASE WHEN al{n} > 0 THEN 100 - 100 / (1 + ag{n} / al{n}) WHEN al{n} = 0 AND ag{n} > 0 THEN 100 END AS rsi_{n}" for n in (6, 10, 12, 14))},
   CASE WHEN boll_std > 0 THEN (close - boll) / boll_std END AS boll_position,
-  CASE WHEN vt > 11e-1 THEN 'increasing' WHEN vt >= 9e-1 THEN 'stable' WHEN vt >= 8e-1 THEN 'intermittent'
+  CASE WHEN vt > 1.1e0 THEN 'increasing' WHEN vt >= 0.9e0 THEN 'stable' WHEN vt >= 0.8e0 THEN 'intermittent'
        WHEN vt IS NOT NULL THEN 'decreasing' END AS volume_trend
 FROM i2""", "i2")
 cte("ind", """SELECT *, 2 * (macd_diff - macd_dea) AS macd_hist, 3 * stoch_k - 2 * stoch_d AS stoch_j FROM i3""", "i3")
@@ -243,26 +243,26 @@ cte("scored1", f"""SELECT *,
  CASE WHEN sma_5 > sma_10 AND sma_10 > sma_20 THEN 30 WHEN sma_5 > sma_10 THEN 21 WHEN sma_5 > sma_20 THEN 12 ELSE 3 END AS score_arrangement,
  CASE WHEN ma10_angle >= 45 THEN 30 WHEN ma10_angle >= 15 THEN 25 WHEN ma10_angle >= 5 THEN 20 WHEN ma10_angle BETWEEN -5 AND 5 THEN 15
    WHEN ma10_angle >= -15 THEN 10 ELSE 5 END AS score_slope,
- CASE WHEN close > year_high THEN 25 WHEN close > year_high * 95e-2 THEN 20 WHEN close > year_high * 9e-1 THEN 15 WHEN close < year_low THEN 0 ELSE 8 END AS score_position,
- CASE WHEN volatility_20d < 15e-2 THEN 15 WHEN volatility_20d <= 25e-2 THEN 10 WHEN volatility_20d <= 35e-2 THEN 5 ELSE 0 END AS score_stability,
- CASE WHEN (pct_change > 0 AND volume_ratio > 15e-1 AND ma10_angle > 0) OR (pct_change < 0 AND volume_ratio < 7e-1 AND ma10_angle < 0) THEN 30
-   WHEN (pct_change > 0 AND volume_ratio > 12e-1 AND ma10_angle > 0) OR (pct_change < 0 AND volume_ratio < 8e-1 AND ma10_angle < 0) THEN 25
-   WHEN pct_change > 0 AND volume_ratio BETWEEN 1e0 AND 12e-1 AND ma10_angle > 0 THEN 20
-   WHEN pct_change < 0 AND volume_ratio BETWEEN 8e-1 AND 1e0 AND ma10_angle < 0 THEN 15
-   WHEN pct_change > 0 AND volume_ratio BETWEEN 8e-1 AND 1e0 AND ma10_angle > 0 THEN 12
+ CASE WHEN close > year_high THEN 25 WHEN close > year_high * 0.95e0 THEN 20 WHEN close > year_high * 0.9e0 THEN 15 WHEN close < year_low THEN 0 ELSE 8 END AS score_position,
+ CASE WHEN volatility_20d < 0.15e0 THEN 15 WHEN volatility_20d <= 0.25e0 THEN 10 WHEN volatility_20d <= 0.35e0 THEN 5 ELSE 0 END AS score_stability,
+ CASE WHEN (pct_change > 0 AND volume_ratio > 1.5e0 AND ma10_angle > 0) OR (pct_change < 0 AND volume_ratio < 0.7e0 AND ma10_angle < 0) THEN 30
+   WHEN (pct_change > 0 AND volume_ratio > 1.2e0 AND ma10_angle > 0) OR (pct_change < 0 AND volume_ratio < 0.8e0 AND ma10_angle < 0) THEN 25
+   WHEN pct_change > 0 AND volume_ratio BETWEEN 1e0 AND 1.2e0 AND ma10_angle > 0 THEN 20
+   WHEN pct_change < 0 AND volume_ratio BETWEEN 0.8e0 AND 1e0 AND ma10_angle < 0 THEN 15
+   WHEN pct_change > 0 AND volume_ratio BETWEEN 0.8e0 AND 1e0 AND ma10_angle > 0 THEN 12
    WHEN pct_change < 0 AND volume_ratio > 1e0 AND ma10_angle < 0 THEN 9 ELSE 3 END AS score_volume_price,
- {_trended('''main_net_inflow_ratio > 8e-2 => 25/15
-main_net_inflow_ratio BETWEEN 5e-2 AND 8e-2 => 20/12
-main_net_inflow_ratio BETWEEN 3e-2 AND 5e-2 => 15/9
-main_net_inflow_ratio BETWEEN 1e-2 AND 3e-2 => 12/6
-main_net_inflow_ratio BETWEEN -5e-3 AND 1e-2 => 6/3
-main_net_inflow_ratio BETWEEN -1e-2 AND -5e-3 => 3/1''', '0')} AS score_inflow,
- {_trended('''large_order_ratio > 4e-1 => 25/15
-large_order_ratio BETWEEN 3e-1 AND 4e-1 => 20/12
-large_order_ratio BETWEEN 2e-1 AND 3e-1 => 15/9
-large_order_ratio BETWEEN 15e-2 AND 2e-1 => 12/6
-large_order_ratio BETWEEN 1e-1 AND 15e-2 => 9/3
-large_order_ratio BETWEEN 5e-2 AND 1e-1 => 6/2''', '1')} AS score_institution,
+ {_trended('''main_net_inflow_ratio > 0.08e0 => 25/15
+main_net_inflow_ratio BETWEEN 0.05e0 AND 0.08e0 => 20/12
+main_net_inflow_ratio BETWEEN 0.03e0 AND 0.05e0 => 15/9
+main_net_inflow_ratio BETWEEN 0.01e0 AND 0.03e0 => 12/6
+main_net_inflow_ratio BETWEEN -0.005e0 AND 0.01e0 => 6/3
+main_net_inflow_ratio BETWEEN -0.01e0 AND -0.005e0 => 3/1''', '0')} AS score_inflow,
+ {_trended('''large_order_ratio > 0.4e0 => 25/15
+large_order_ratio BETWEEN 0.3e0 AND 0.4e0 => 20/12
+large_order_ratio BETWEEN 0.2e0 AND 0.3e0 => 15/9
+large_order_ratio BETWEEN 0.15e0 AND 0.2e0 => 12/6
+large_order_ratio BETWEEN 0.1e0 AND 0.15e0 => 9/3
+large_order_ratio BETWEEN 0.05e0 AND 0.1e0 => 6/2''', '1')} AS score_institution,
  {_trended('''volume_trend = 'increasing' => 20/10
 volume_trend = 'intermittent' => 15/8
 volume_trend = 'stable' => 10/5''', '3')} AS score_volume_trend,
@@ -278,12 +278,12 @@ stoch_k < stoch_d => 5/2''', '0')} AS score_kdj,
  {_trended('''close > boll AND boll_up - boll_down > 2 * boll_std => 20/10
 close > boll => 15/8
 close > boll_down => 10/5''', '3')} AS score_boll,
- {_trended('''drawdown_from_high < 1e-1 => 40/20
-drawdown_from_high BETWEEN 1e-1 AND 2e-1 => 25/10
-drawdown_from_high BETWEEN 2e-1 AND 3e-1 => 10/5''', '0')} AS score_drawdown,
- {_trended('''distance_to_support > 15e-2 => 35/20
-distance_to_support BETWEEN 5e-2 AND 15e-2 => 25/15
-distance_to_support < 5e-2 => 10/5''', 'CASE WHEN support_broken THEN 0 ELSE 15 END')} AS score_support,
+ {_trended('''drawdown_from_high < 0.1e0 => 40/20
+drawdown_from_high BETWEEN 0.1e0 AND 0.2e0 => 25/10
+drawdown_from_high BETWEEN 0.2e0 AND 0.3e0 => 10/5''', '0')} AS score_drawdown,
+ {_trended('''distance_to_support > 0.15e0 => 35/20
+distance_to_support BETWEEN 0.05e0 AND 0.15e0 => 25/15
+distance_to_support < 0.05e0 => 10/5''', 'CASE WHEN support_broken THEN 0 ELSE 15 END')} AS score_support,
  {_trended('''risk_reward_ratio > 3 => 25/15
 risk_reward_ratio BETWEEN 2 AND 3 => 20/12
 risk_reward_ratio BETWEEN 1 AND 2 => 15/8''', '5')} AS score_rr_ratio
@@ -293,9 +293,9 @@ cte("scored2", """SELECT *,
  CAST(score_volume_price + score_inflow + score_institution + score_volume_trend AS DOUBLE) AS capital_score,
  CAST(score_rsi + score_macd + score_kdj + score_boll AS DOUBLE) AS technical_score,
  CAST(score_drawdown + score_support + score_rr_ratio AS DOUBLE) AS risk_score FROM scored1""", "scored1")
-cte("scored3", """SELECT *, trend_score * 45e-2 + capital_score * 24e-2 + technical_score * 18e-2 + risk_score * 15e-2 AS raw_composite,
- CASE industry WHEN '科技' THEN 115e-2 WHEN '新能源' THEN 115e-2 WHEN '医药' THEN 105e-2 WHEN '消费' THEN 105e-2 WHEN '金融' THEN 95e-2
-   WHEN '资源' THEN 95e-2 ELSE 1e0 END * CASE WHEN market_cap > 5e10 THEN 95e-2 WHEN market_cap BETWEEN 1e10 AND 5e10 THEN 1e0 ELSE 11e-1 END AS factor
+cte("scored3", """SELECT *, trend_score * 0.45e0 + capital_score * 0.24e0 + technical_score * 0.18e0 + risk_score * 0.15e0 AS raw_composite,
+ CASE industry WHEN '科技' THEN 1.15e0 WHEN '新能源' THEN 1.15e0 WHEN '医药' THEN 1.05e0 WHEN '消费' THEN 1.05e0 WHEN '金融' THEN 0.95e0
+   WHEN '资源' THEN 0.95e0 ELSE 1e0 END * CASE WHEN market_cap > 5e10 THEN 0.95e0 WHEN market_cap BETWEEN 1e10 AND 5e10 THEN 1e0 ELSE 1.1e0 END AS factor
 FROM scored2""", "scored2")
 cte("scores", """SELECT *, RND4(least(greatest(least(greatest(raw_composite, 0), 100) * factor, 0), 100)) AS composite_score FROM scored3""", "scored3")
 
@@ -322,9 +322,9 @@ def scorer_frame(spark: SparkSession, sf: str) -> DataFrame:
     return ind.scorer_inputs(sized_bars(spark, sf).join(inst, "order_book_id", "left"))
 
 
-def _scored(inputs: DataFrame) -> DataFrame:
+def _scored(inputs: DataFrame, warnings: Column | None = None) -> DataFrame:
     """Scores of each row, the composite rounded to four digits so that thresholds and ranks are stable."""
-    df = scoring.score_bars(inputs)
+    df = scoring.score_bars(inputs, warnings=warnings)
     df = df.withColumn("composite_score", rounded("composite_score", 4))
     return scoring.levels(df)
 
@@ -349,20 +349,29 @@ _LEVEL = """CASE WHEN composite_score >= 85 THEN '强势股' WHEN composite_scor
  WHEN composite_score >= 40 THEN '弱势股' ELSE '高风险股' END AS score_level"""
 
 
-@query("composite_score", "H13 H14 H15 H16 H17 H18 B9 B17", sql(
-    f"SELECT {KS}, trend_score, capital_score, technical_score, risk_score, composite_score, {_LEVEL}, '1.0' AS _scorer_version, 'normal' AS _market_environment FROM scores",
-    "scores"))
+cte("listed", "SELECT b.*, i.industry FROM bars b LEFT JOIN instruments i USING (order_book_id)", "bars", "instruments")
+cte("warned", "SELECT CAST((count(*) = 0)::INT + " + " + ".join(
+    f"coalesce((count(*) FILTER ({c} IS NULL) > 0.1 * count(*))::INT, 0)" for c in quality.WARNED)
+    + " + (count(*) FILTER (industry NOT IN (" + ", ".join(f"'{i}'" for i in scoring.INDUSTRY_FACTORS) + ")) > 0)::INT AS BIGINT) AS n FROM listed", "listed")
+
+
+@query("composite_score", "H13 H14 H15 H16 H17 H18 B9 B17 J7", sql(
+    f"""SELECT {KS}, trend_score, capital_score, technical_score, risk_score, composite_score, {_LEVEL}, '1.0' AS _scorer_version, 'normal' AS _market_environment,
+    (SELECT n FROM warned) AS _data_quality_warnings, CAST(1 AS BIGINT) AS _calculation_count FROM scores""", "scores", "warned"))
 def composite_score(spark: SparkSession, sf: str) -> DataFrame:
-    return scored_bars(spark, sf).select(
+    """With the number of warnings on the bars, which one narrow aggregation over them counts."""
+    listed = trade_bars(spark, sf).join(instruments(spark, sf).select("order_book_id", "industry"), "order_book_id", "left")
+    warnings = quality.warning_count(listed, list(scoring.INDUSTRY_FACTORS)).scalar()
+    return _scored(scorer_frame(spark, sf), warnings).select(
         "order_book_id", "date", "trend_score", "capital_score", "technical_score", "risk_score",
-        "composite_score", "score_level", "_scorer_version", "_market_environment")
+        "composite_score", "score_level", "_scorer_version", "_market_environment", "_data_quality_warnings", "_calculation_count")
 
 
 @query("score_markets", "H13 H14", sql(
     f"""SELECT {KS},
-    RND4(least(trend_score * (45e-2 * 1e0) + capital_score * (2e-1 * 14e-1) + technical_score * (2e-1 * 9e-1) + risk_score * (15e-2 * 8e-1), 100)) AS bull,
-    RND4(least(trend_score * (45e-2 * 8e-1) + capital_score * (2e-1 * 13e-1) + technical_score * (2e-1 * 9e-1) + risk_score * (15e-2 * 13e-1), 100)) AS bear,
-    RND4(least(trend_score * (45e-2 * 9e-1) + capital_score * (2e-1 * 15e-1) + technical_score * (2e-1 * 1e0) + risk_score * (15e-2 * 1e0), 100)) AS volatile
+    RND4(least(trend_score * (0.45e0 * 1e0) + capital_score * (0.2e0 * 1.4e0) + technical_score * (0.2e0 * 0.9e0) + risk_score * (0.15e0 * 0.8e0), 100)) AS bull,
+    RND4(least(trend_score * (0.45e0 * 0.8e0) + capital_score * (0.2e0 * 1.3e0) + technical_score * (0.2e0 * 0.9e0) + risk_score * (0.15e0 * 1.3e0), 100)) AS bear,
+    RND4(least(trend_score * (0.45e0 * 0.9e0) + capital_score * (0.2e0 * 1.5e0) + technical_score * (0.2e0 * 1e0) + risk_score * (0.15e0 * 1e0), 100)) AS volatile
     FROM scored2""", "scored2"))
 def score_markets(spark: SparkSession, sf: str) -> DataFrame:
     df = scorer_frame(spark, sf)
@@ -387,8 +396,8 @@ def score_threshold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("score_simple", "H19", sql(
-    f"""SELECT {KS}, CAST(t AS DOUBLE) AS simple_trend, CAST(c AS DOUBLE) AS simple_capital, RND4(t * 3e-1 + c * 3e-1 + 5 + 225e-2) AS simple_score,
-    CASE WHEN t * 3e-1 + c * 3e-1 + 5 + 225e-2 >= 22 THEN '高风险股' WHEN t * 3e-1 + c * 3e-1 + 5 + 225e-2 >= 18 THEN '中等风险股' ELSE '低风险股' END AS simple_level
+    f"""SELECT {KS}, CAST(t AS DOUBLE) AS simple_trend, CAST(c AS DOUBLE) AS simple_capital, RND4(t * 0.3e0 + c * 0.3e0 + 5 + 2.25e0) AS simple_score,
+    CASE WHEN t * 0.3e0 + c * 0.3e0 + 5 + 2.25e0 >= 22 THEN '高风险股' WHEN t * 0.3e0 + c * 0.3e0 + 5 + 2.25e0 >= 18 THEN '中等风险股' ELSE '低风险股' END AS simple_level
     FROM (SELECT {KS}, CASE WHEN ch > 5 THEN 24 WHEN ch > 2 THEN 18 WHEN ch > 0 THEN 12 WHEN ch > -2 THEN 6 ELSE 0 END AS t,
       CASE WHEN volume > 1e7 THEN 30 WHEN volume > 5e6 THEN 24 WHEN volume > 2e6 THEN 18 WHEN volume > 1e6 THEN 12 ELSE 6 END AS c
       FROM (SELECT {KS}, volume * 100000 AS volume, CASE WHEN open > 0 THEN (close - open) / open * 100 ELSE 0 END AS ch FROM bars))""",
@@ -399,7 +408,7 @@ def score_simple(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("score_explain", "H20", sql(
-    f"""SELECT {KS}, RND4(trend_score * 45e-2) AS weighted_trend, RND4(capital_score * 24e-2) AS weighted_capital,
+    f"""SELECT {KS}, RND4(trend_score * 0.45e0) AS weighted_trend, RND4(capital_score * 0.24e0) AS weighted_capital,
     RND4(raw_composite) AS raw_composite, RND4(composite_score / nullif(raw_composite, 0)) AS implied_factor,
     concat_ws(',', CASE WHEN trend_score < 70 THEN 'trend' END, CASE WHEN capital_score < 50 THEN 'capital' END,
       CASE WHEN technical_score < 50 THEN 'technical' END, CASE WHEN risk_score < 50 THEN 'risk' END) AS weak_dimensions FROM scores""",
@@ -410,7 +419,7 @@ def score_explain(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("rule_score", "J13", sql(
-    f"""SELECT {KS}, RND4(((trend_score * 2) + (risk_score * 1) + (CASE WHEN volume_ratio > 1 THEN 100 ELSE 0 END) * 5e-1) / 35e-1) AS rule_score FROM scores""",
+    f"""SELECT {KS}, RND4(((trend_score * 2) + (risk_score * 1) + (CASE WHEN volume_ratio > 1 THEN 100 ELSE 0 END) * 0.5e0) / 3.5e0) AS rule_score FROM scores""",
     "scores"))
 def rule_score(spark: SparkSession, sf: str) -> DataFrame:
     rules = [(F.col("trend_score"), 2.0), (F.col("risk_score"), 1.0),
@@ -473,7 +482,7 @@ def rank_stocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("screen_strong", "B11", sql(
-    "SELECT order_book_id, date, close, composite_score FROM latest_scores WHERE composite_score >= 40 AND volume_ratio > 5e-1 ORDER BY composite_score DESC, order_book_id LIMIT 20",
+    "SELECT order_book_id, date, close, composite_score FROM latest_scores WHERE composite_score >= 40 AND volume_ratio > 0.5e0 ORDER BY composite_score DESC, order_book_id LIMIT 20",
     "latest_scores"))
 def screen_strong(spark: SparkSession, sf: str) -> DataFrame:
     return pools.screen(latest_scores(spark, sf), "composite_score >= 40 AND volume_ratio > 0.5D",

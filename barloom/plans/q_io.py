@@ -166,7 +166,7 @@ def vendor_bars(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- whole jobs
 
 # without order-size share, industry and size: that sub-score is 1 and no factor applies
-_PLAIN = "trend_score * 45e-2 + (capital_score - score_institution + 1) * 24e-2 + technical_score * 18e-2 + risk_score * 15e-2"
+_PLAIN = "trend_score * 0.45e0 + (capital_score - score_institution + 1) * 0.24e0 + technical_score * 0.18e0 + risk_score * 0.15e0"
 
 
 @query("stock_analysis", "L1 B9", sql(f"SELECT {KS}, trend_score, risk_score, RND4({_PLAIN}) AS composite_score FROM scored2", "scored2"))
@@ -195,27 +195,11 @@ def factor_sync(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.sync_factors(factors_long(spark, sf), ["click", "view"])
 
 
-_STUDIED = {"rsi_14": "technical", "ma10_angle": "momentum", "volume_ratio": "volume"}
-_AVG_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
-cte("studied", " UNION ALL ".join(
-    f"""SELECT '{cat}' AS category, '{c}' AS indicator, count(*) AS n, corr({c}, return_5d) AS pearson, corr(a, b) AS spearman FROM
-    (SELECT {c}, return_5d, {_AVG_RANK.format(c=c)} AS a, {_AVG_RANK.format(c="return_5d")} AS b FROM corrin WHERE {c} IS NOT NULL)""" for c, cat in _STUDIED.items()), "corrin")
-cte("rvals", """SELECT indicator, kind, n - 2 AS v, atan(abs(r) / sqrt((1 - r * r) / (n - 2)) / sqrt(n - 2)) AS th FROM
- (SELECT indicator, 'p' AS kind, n, pearson AS r FROM studied UNION ALL SELECT indicator, 's', n, spearman FROM studied)""", "studied")
-cte("rterms", """SELECT indicator, kind, v, th, CAST(unnest(range(0, CASE WHEN v % 2 = 1 THEN (v - 1) // 2 ELSE v // 2 END)) AS DOUBLE) AS k FROM rvals""", "rvals")
-cte("rseries", """SELECT indicator, kind, CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (th + sin(th) * cos(th) * s) ELSE 1 - sin(th) * s END AS p FROM
- (SELECT indicator, kind, any_value(v) AS v, any_value(th) AS th, sum(exp(CASE WHEN v % 2 = 1 THEN 2 * lgamma(k + 1) + k * ln(4) - lgamma(2 * k + 2)
-  ELSE lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4) END + 2 * k * ln(cos(th)))) AS s FROM rterms GROUP BY 1, 2)""", "rterms")
-
-
-@query("signal_study", "L5 F13 F14 F15 F16", sql(
-    """SELECT studied.category, studied.indicator, n, RND6(pearson) AS pearson, RND6(a.p) AS pearson_p, RND6(spearman) AS spearman, RND6(b.p) AS spearman_p,
-    CASE WHEN a.p < 1e-3 THEN '***' WHEN a.p < 1e-2 THEN '**' WHEN a.p < 5e-2 THEN '*' ELSE '' END AS stars
-    FROM studied JOIN rseries a ON a.indicator = studied.indicator AND a.kind = 'p' JOIN rseries b ON b.indicator = studied.indicator AND b.kind = 's'""", "studied", "rseries"))
+@query("signal_study", "L5 F13 F14 F15 F16", sql(q_research.CORRELATIONS, "ptail", "spears", "spearman_tail"))
 def signal_study(spark: SparkSession, sf: str) -> DataFrame:
+    """The job over the indicators of the catalogue, all that have a category."""
     b = trade_bars(spark, sf)
-    scores = ind.run(b, ind.rsi.stages((14,)), ind.volume_ratio.stages(), ind.ma_angles.stages((10,)))
-    scores = scores.select("order_book_id", "date", "rsi_14", "volume_ratio", "ma10_angle")
-    df = jobs.signal_study(scores, b, trade_days(spark, sf), 5, {
-        "technical": ["rsi_14"], "momentum": ["ma10_angle"], "volume": ["volume_ratio"]})
+    wanted = [c for cols in q_research.CATEGORIES.values() for c in cols]
+    scores = ind.calculate_indicators(b).select("order_book_id", "date", *wanted)
+    df = jobs.signal_study(scores, b, trade_days(spark, sf), 5, q_research.CATEGORIES)
     return shape(df, "category indicator n pearson pearson_p spearman spearman_p stars", 6)

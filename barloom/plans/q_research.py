@@ -21,8 +21,6 @@ cte("tcal", "SELECT date, row_number() OVER (ORDER BY date) AS trade_seq FROM (S
 cte("bseq", f"SELECT {KS}, close, trade_seq FROM bars JOIN tcal USING (date)", "bars", "tcal")
 cte("fwd", f"""SELECT a.order_book_id, a.date, a.close AS price, b.close AS future_price, (b.close - a.close) / a.close AS return_5d
 FROM bseq a JOIN bseq b ON a.order_book_id = b.order_book_id AND b.trade_seq = a.trade_seq + 5""", "bseq")
-cte("fwd2", f"""SELECT a.order_book_id, a.date, (b.close - a.close) / a.close AS return_2d
-FROM bseq a JOIN bseq b ON a.order_book_id = b.order_book_id AND b.trade_seq = a.trade_seq + 2""", "bseq")
 
 
 def forward(spark: SparkSession, sf: str, bars: DataFrame | None = None, n: int = 5) -> DataFrame:
@@ -61,26 +59,27 @@ def positions_with_returns(spark: SparkSession, sf: str) -> DataFrame:
 cte("ersi", f"""SELECT *, CASE WHEN al > 0 THEN 100 - 100 / (1 + ag / al) WHEN al = 0 AND ag > 0 THEN 100 END AS rsi_14 FROM
  (SELECT *, {full('avg', 'g', 14)} AS ag, {full('avg', 'l', 14)} AS al FROM
  (SELECT *, greatest(coalesce(close - {lag('close')}, 0), 0) AS g, greatest(coalesce({lag('close')} - close, 0), 0) AS l FROM ebars))""", "ebars")
-cte("egrid", f"""SELECT a.order_book_id, a.date, a.rsi_14, CAST(n AS BIGINT) AS n_days, (b.close - a.close) / a.close AS ret
+cte("egridall", f"""SELECT a.order_book_id, a.date, a.rsi_14, CAST(n AS BIGINT) AS n_days, (b.close - a.close) / a.close AS ret, coalesce(a.d9 <= a.date + 30, false) AS enough
 FROM (SELECT *, row_number() OVER ({SYM}) AS r, lead(date, 9) OVER ({SYM}) AS d9 FROM ersi) a CROSS JOIN (SELECT unnest(range(1, 11)) AS n) k
 JOIN (SELECT order_book_id, date, close, row_number() OVER ({SYM}) AS r FROM ebars) b ON b.order_book_id = a.order_book_id AND b.r = a.r + n
-WHERE a.d9 <= a.date + 30 AND b.date <= a.date + 30 AND a.close > 0""", "ersi", "ebars")
+WHERE b.date <= a.date + 30 AND a.close > 0""", "ersi", "ebars")
+cte("egrid", "SELECT * FROM egridall WHERE enough", "egridall")
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    return res.forward_grid(ind.rsi(event_bars(spark, sf), (14,)), carry=["rsi_14"])
+    return res.forward_grid(ind.rsi(event_bars(spark, sf), (14,)), carry=["rsi_14"], only_enough=True)
 
 
-@query("forward_return_grid", "G17", sql(f"SELECT {KS}, n_days, RND4(rsi_14) AS rsi_14, RND4(ret) AS ret FROM egrid", "egrid"))
+@query("forward_return_grid", "G17", sql(f"SELECT {KS}, enough, n_days, RND4(rsi_14) AS rsi_14, RND4(ret) AS ret FROM egridall", "egridall"))
 def forward_return_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return shape(_grid(spark, sf), f"{K} n_days rsi_14 ret")
+    return shape(res.forward_grid(ind.rsi(event_bars(spark, sf), (14,)), carry=["rsi_14"]), f"{K} enough n_days rsi_14 ret")
 
 
 @query("short_returns", "G17", sql(
-    f"""SELECT {KS}, RND4((c2 - close) / close) AS return_3d, RND4((c4 - close) / close) AS return_5d FROM
-    (SELECT *, lead(close, 2) OVER ({SYM}) AS c2, lead(close, 4) OVER ({SYM}) AS c4, lead(date, 9) OVER ({SYM}) AS d9 FROM ebars) WHERE d9 <= date + 30""", "ebars"))
+    f"""SELECT {KS}, RND4((c2 - close) / close) AS return_3d, RND4((c4 - close) / close) AS return_5d, coalesce(d9 <= date + 30, false) AS enough FROM
+    (SELECT *, lead(close, 2) OVER ({SYM}) AS c2, lead(close, 4) OVER ({SYM}) AS c4, lead(date, 9) OVER ({SYM}) AS d9 FROM ebars) WHERE close > 0""", "ebars"))
 def short_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return shape(res.short_returns(event_bars(spark, sf)), f"{K} return_3d return_5d")
+    return shape(res.short_returns(event_bars(spark, sf)), f"{K} return_3d return_5d enough")
 
 
 @query("rsi_surface", "F25", sql(
@@ -99,7 +98,7 @@ cte("eshort", f"""SELECT * FROM (SELECT {KS}, rsi_14, (lead(close, 2) OVER ({SYM
     RND4(avg(return_5d)) AS mean_return_5d, RND4(median(return_5d)) AS median_return_5d, RND4(stddev_pop(return_5d)) AS std_return_5d
     FROM (SELECT * FROM eshort), (SELECT quantile_cont(rsi_14, [0.2, 0.4, 0.6, 0.8]) AS q FROM eshort) GROUP BY 1""", "eshort"))
 def rsi_quintiles(spark: SparkSession, sf: str) -> DataFrame:
-    df = res.short_returns(ind.rsi(event_bars(spark, sf), (14,)))
+    df = res.short_returns(ind.rsi(event_bars(spark, sf), (14,)), only_enough=True)
     out = res.quintile_returns(df, "rsi_14", ["return_3d", "return_5d"])
     return shape(out, "quantile count mean_return_3d median_return_3d std_return_3d mean_return_5d median_return_5d std_return_5d")
 
@@ -200,7 +199,7 @@ def best_volume_ratio_10d(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT count(*) AS count, " + ", ".join(f"RND4({e}) AS {n}" for n, e in [
         ("mean", "avg(x)"), ("median", "median(x)"), ("std", "stddev_pop(x)"), ("min", "min(x)"), ("max", "max(x)"),
         *[(f"p{p}", f"quantile_cont(x, {p / 100})") for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)]]) + """,
-    RND4(avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 15e-1)) AS skew, RND4(avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) - 3) AS kurtosis
+    RND4(avg(pow(x - m, 3)) / pow(avg(pow(x - m, 2)), 1.5e0)) AS skew, RND4(avg(pow(x - m, 4)) / pow(avg(pow(x - m, 2)), 2) - 3) AS kurtosis
     FROM (SELECT boll_position AS x, avg(boll_position) OVER () AS m FROM ind WHERE boll_position IS NOT NULL)""", "ind"))
 def distribution(spark: SparkSession, sf: str) -> DataFrame:
     df = res.distribution(ind.bollinger(trade_bars(spark, sf)), "boll_position")
@@ -296,10 +295,12 @@ def pearson(spark: SparkSession, sf: str) -> DataFrame:
     return shape(res.pearson_by_indicator(_signal_frame(spark, sf), _COLS, "return_5d"), "indicator n pearson", 6)
 
 
-@query("corr_by_indicator", "F14 F15 F16 L5", sql(
-    """SELECT category, indicator, p.n, RND6(pearson) AS pearson, RND6(pearson_p) AS pearson_p, RND6(spearman) AS spearman, RND6(spearman_p) AS spearman_p,
-    CASE WHEN pearson_p < 1e-3 THEN '***' WHEN pearson_p < 1e-2 THEN '**' WHEN pearson_p < 5e-2 THEN '*' ELSE '' END AS stars
-    FROM ptail p JOIN spears USING (indicator) JOIN spearman_tail USING (indicator)""", "ptail", "spears", "spearman_tail"))
+CORRELATIONS = """SELECT category, indicator, p.n, RND6(pearson) AS pearson, RND6(pearson_p) AS pearson_p, RND6(spearman) AS spearman, RND6(spearman_p) AS spearman_p,
+    CASE WHEN pearson_p < 0.001e0 THEN '***' WHEN pearson_p < 0.01e0 THEN '**' WHEN pearson_p < 0.05e0 THEN '*' ELSE '' END AS stars
+    FROM ptail p JOIN spears USING (indicator) JOIN spearman_tail USING (indicator)"""
+
+
+@query("corr_by_indicator", "F14 F15 F16 L5", sql(CORRELATIONS, "ptail", "spears", "spearman_tail"))
 def corr_by_indicator(spark: SparkSession, sf: str) -> DataFrame:
     table = res.correlation_table(_signal_frame(spark, sf), CATEGORIES, "return_5d")
     return shape(res.strongest(table), "category indicator n pearson pearson_p spearman spearman_p stars", 6)
@@ -318,7 +319,7 @@ def spearman(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("strength_labels", "F17", sql(
-    """SELECT indicator, CASE WHEN abs(pearson) > 5e-1 THEN 'strong' WHEN abs(pearson) > 3e-1 THEN 'moderate' ELSE 'weak' END || CASE WHEN pearson_p < 5e-2 THEN ', significant' ELSE ', not significant' END AS label FROM ptail""", "ptail"))
+    """SELECT indicator, CASE WHEN abs(pearson) > 0.5e0 THEN 'strong' WHEN abs(pearson) > 0.3e0 THEN 'moderate' ELSE 'weak' END || CASE WHEN pearson_p < 0.05e0 THEN ', significant' ELSE ', not significant' END AS label FROM ptail""", "ptail"))
 def strength_labels(spark: SparkSession, sf: str) -> DataFrame:
     t = res.correlation_table(_signal_frame(spark, sf), CATEGORIES, "return_5d", with_spearman=False)
     return t.select("indicator", res.strength_label(F.col("pearson"), F.col("pearson_p")).alias("label"))
@@ -343,8 +344,8 @@ def score_return_corr(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("score_thresholds", "F28 L7", sql(
     """SELECT p AS prob, threshold, count(*) AS rows, RND4(avg(return_10d)) AS mean_return FROM val,
-      (SELECT p, (SELECT list(composite_score ORDER BY composite_score) FROM val)[CAST(floor(p * ((SELECT count(*) FROM val) - 1) + 5e-1) AS BIGINT) + 1] AS threshold
-       FROM (SELECT unnest([1e-1, 25e-2, 5e-1, 75e-2, 9e-1]) AS p)) WHERE composite_score >= threshold GROUP BY 1, 2""", "val"))
+      (SELECT p, (SELECT list(composite_score ORDER BY composite_score) FROM val)[CAST(floor(p * ((SELECT count(*) FROM val) - 1) + 0.5e0) AS BIGINT) + 1] AS threshold
+       FROM (SELECT unnest([0.1e0, 0.25e0, 0.5e0, 0.75e0, 0.9e0]) AS p)) WHERE composite_score >= threshold GROUP BY 1, 2""", "val"))
 def score_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return shape(_validation(spark, sf)["thresholds"], "prob threshold rows mean_return")
 
@@ -409,7 +410,7 @@ def market_change(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("regime", "F30", sql(
-    """SELECT RND4(m) AS mean_return, n, CASE WHEN m < -1e-3 THEN 'bear' WHEN m > 1e-3 THEN 'bull' ELSE 'sideways' END AS regime FROM (SELECT avg(pct_change) AS m, count(pct_change) AS n FROM ind)""", "ind"))
+    """SELECT RND4(m) AS mean_return, n, CASE WHEN m < -0.001e0 THEN 'bear' WHEN m > 0.001e0 THEN 'bull' ELSE 'sideways' END AS regime FROM (SELECT avg(pct_change) AS m, count(pct_change) AS n FROM ind)""", "ind"))
 def regime(spark: SparkSession, sf: str) -> DataFrame:
     return shape(res.regime(trade_bars(spark, sf)), "mean_return n regime")
 
@@ -420,25 +421,32 @@ def daily_mean_returns(spark: SparkSession, sf: str) -> DataFrame:
     return shape(res.daily_mean_returns(trade_bars(spark, sf)), "date avg_return stock_count")
 
 
-cte("symret", """SELECT order_book_id, n AS bars, a AS first_close, b AS last_close, (b - a) / a AS total_return, CASE WHEN (b - a) / a > 5e-2 THEN 'bullish' WHEN (b - a) / a < -5e-2 THEN 'bearish' ELSE 'sideways' END AS trend
-FROM (SELECT order_book_id, count(*) AS n, arg_min(close, date) AS a, arg_max(close, date) AS b FROM bars GROUP BY 1 HAVING count(*) >= 20)""", "bars")
+cte("symret", """SELECT order_book_id, n AS bars, a AS first_close, b AS last_close, (b - a) / a AS total_return, CASE WHEN (b - a) / a > 0.05e0 THEN 'bullish' WHEN (b - a) / a < -0.05e0 THEN 'bearish' ELSE 'sideways' END AS trend, n >= 20 AS enough
+FROM (SELECT order_book_id, count(*) AS n, arg_min(close, date) AS a, arg_max(close, date) AS b FROM bars GROUP BY 1)""", "bars")
 
 
-@query("symbol_returns", "F31", sql("SELECT order_book_id, bars, first_close, last_close, RND4(total_return) AS total_return, trend FROM symret", "symret"))
+@query("symbol_returns", "F31", sql("SELECT order_book_id, bars, first_close, last_close, RND4(total_return) AS total_return, trend, enough FROM symret", "symret"))
 def symbol_returns(spark: SparkSession, sf: str) -> DataFrame:
-    return shape(res.symbol_returns(trade_bars(spark, sf)), "order_book_id bars first_close last_close total_return trend", 4, "first_close last_close")
+    return shape(res.symbol_returns(trade_bars(spark, sf)), "order_book_id bars first_close last_close total_return trend enough", 4, "first_close last_close")
 
 
 @query("majority", "F31", sql(
     """SELECT *, CASE WHEN bullish > bearish THEN 'BULLISH' WHEN bearish > bullish THEN 'BEARISH' ELSE 'MIXED' END AS verdict FROM
-    (SELECT count(*) FILTER (trend = 'bullish') AS bullish, count(*) FILTER (trend = 'bearish') AS bearish, count(*) FILTER (trend = 'sideways') AS sideways FROM symret)""", "symret"))
+    (SELECT count(*) FILTER (trend = 'bullish') AS bullish, count(*) FILTER (trend = 'bearish') AS bearish, count(*) FILTER (trend = 'sideways') AS sideways FROM symret WHERE enough)""", "symret"))
 def majority(spark: SparkSession, sf: str) -> DataFrame:
     return res.majority(res.symbol_returns(trade_bars(spark, sf)))
 
 
+cte("fwds", "SELECT a.order_book_id, a.date, " + ", ".join(
+    f"(b{n}.close - a.close) / a.close AS return_{n}d" for n in (5, 10, 20)) + " FROM bseq a " + " ".join(
+    f"LEFT JOIN bseq b{n} ON b{n}.order_book_id = a.order_book_id AND b{n}.trade_seq = a.trade_seq + {n}" for n in (5, 10, 20)), "bseq")
+
+
 @query("mean_returns", "F35", sql(
-    """SELECT RND4(avg(return_2d)) AS mean_return_2d, RND4(avg(return_2d) FILTER (volume_ratio > 1)) AS cohort_return_2d, RND4(avg(CAST(coalesce(volume_ratio > 1, false) AS DOUBLE))) AS cohort_share
-    FROM ind JOIN fwd2 USING (order_book_id, date)""", "ind", "fwd2"))
+    "SELECT " + ", ".join(f"RND4(avg(return_{n}d)) AS mean_return_{n}d, RND4(avg(return_{n}d) FILTER (volume_ratio > 1)) AS cohort_return_{n}d" for n in (5, 10, 20))
+    + ", RND4(avg(CAST(coalesce(volume_ratio > 1, false) AS DOUBLE))) AS cohort_share FROM ind JOIN fwds USING (order_book_id, date)", "ind", "fwds"))
 def mean_returns(spark: SparkSession, sf: str) -> DataFrame:
-    df = forward(spark, sf, ind.volume_ratio(trade_bars(spark, sf)), 2)
-    return shape(res.mean_returns(df, ["return_2d"], F.col("volume_ratio") > 1), "mean_return_2d cohort_return_2d cohort_share")
+    steps = (5, 10, 20)
+    df = res.forward_returns(ind.volume_ratio(trade_bars(spark, sf)), trade_days(spark, sf), steps)
+    out = res.mean_returns(df, [f"return_{n}d" for n in steps], F.col("volume_ratio") > 1)
+    return shape(out, " ".join(f"mean_return_{n}d cohort_return_{n}d" for n in steps) + " cohort_share")

@@ -38,7 +38,8 @@ def daily_bars(
 
     Trades of a day are put in order either by `order_by`, a total order of any columns, or by
     `sequence`, one whole number per trade, with equal numbers ordered by price (steps of 1e-4, up to
-    4e13 either way). Everything is a mergeable aggregate, so a map task sends one row per symbol and
+    4e13 either way); among trades equal in both any one is taken, so such an open or close is known to 1e-4.
+    Everything is a mergeable aggregate, so a map task sends one row per symbol and
     day however many trades a symbol has. The second form keeps the aggregation hash-based, since its
     order is one decimal; a struct order makes Spark sort the trades of each task. Prices are never
     rebuilt from the order.

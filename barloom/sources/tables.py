@@ -13,6 +13,7 @@ from pathlib import PurePosixPath
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from barloom.functions import files
 from barloom.operators.clean import date_range, dedup, drop_null_rows, to_doubles
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json"}
@@ -91,12 +92,7 @@ def load_table(spark: SparkSession, base: str, table: str, zone: str = "processe
 
 def list_tables(spark: SparkSession, base: str, zone: str = "processed") -> list[str]:
     """Names of the tables in a zone, through the file system of the base path."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{zone}")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
+    return sorted(files.folders(spark, f"{base.rstrip('/')}/{zone}"))
 
 
 def table_info(spark: SparkSession, base: str, table: str, zone: str = "processed") -> DataFrame:
@@ -147,21 +143,23 @@ def retained(df: DataFrame, days: int = 90, as_of: str | None = None) -> DataFra
 def drop_expired(spark: SparkSession, base: str, table: str, days: int = 90, as_of: str | None = None,
                  zone: str = "processed") -> list[str]:
     """Delete the day partitions of a stored table that are older than `days` before `as_of` (today when
-    not given), and give their names. No file is read or written again; a table that is not partitioned
-    by day is refused."""
+    not given), and give their names. No file is read or written again. A table without day partitions has one
+    age, that of its newest file: if that is older, the whole table goes and its name is given. Rows of month
+    tables are cut by `store.drop_before`."""
     end = F.lit(as_of).cast("date") if as_of else F.current_date()
-    cut = f"{DATE}={spark.range(1).select(F.date_sub(end, days)).first()[0]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(base, table, zone))
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    folders = {s.getPath().getName(): s.getPath() for s in fs.listStatus(path) if s.isDirectory()}
-    dated = sorted(f for f in folders if re.fullmatch(rf"{DATE}=\d{{4}}-\d\d-\d\d", f))
-    if not dated:
-        raise ValueError(f"{table} is not partitioned by {DATE}")
-    gone = [f for f in dated if f < cut]
-    for f in gone:
-        fs.delete(folders[f], True)
-    spark.catalog.refreshByPath(table_path(base, table, zone))
-    return gone
+    edge = spark.range(1).select(F.date_sub(end, days).alias("d")).select("d", F.unix_timestamp(F.col("d").cast("timestamp")).alias("s")).first()
+    path, cut = table_path(base, table, zone), f"{DATE}={edge['d']}"
+    held = files.folders(spark, path)
+    dated = sorted(f for f in held if re.fullmatch(rf"{DATE}=\d{{4}}-\d\d-\d\d", f))
+    if dated:
+        gone = {f: held[f] for f in dated if f < cut}
+    else:
+        changed = files.newest_change(spark, path)
+        gone = {table: path} if changed is not None and changed < edge["s"] else {}
+    for place in gone.values():
+        files.delete(spark, place)
+    spark.catalog.refreshByPath(path)
+    return sorted(gone)
 
 
 def load_market_data(spark: SparkSession, base: str, symbols: Sequence[str] | None = None,
@@ -229,11 +227,13 @@ def snapshot(spark: SparkSession, base: str, table: str, stamp: str) -> DataFram
 
 
 def latest_snapshot(spark: SparkSession, base: str, table: str) -> DataFrame:
-    """Rows of the newest snapshot; only its partition is read."""
-    # text, not an inferred number: 20240131_093000 looks like a number to some readers
-    df = load_table(spark, base, table)
-    newest = df.select(F.max("snapshot_ts").alias("m"))
-    return df.where(F.col("snapshot_ts") == newest.scalar())
+    """Rows of the newest snapshot. Stamps are folder names, so only the newest snapshot's files are opened."""
+    path = table_path(base, table)
+    stamps = [f.removeprefix("snapshot_ts=") for f in files.folders(spark, path) if f.startswith("snapshot_ts=")]
+    if not stamps:
+        raise FileNotFoundError(f"no snapshot of {table}")
+    newest = max(stamps)
+    return spark.read.parquet(f"{path}/snapshot_ts={newest}").withColumn("snapshot_ts", F.lit(newest))
 
 
 def latest_file(spark: SparkSession, pattern: str) -> DataFrame:

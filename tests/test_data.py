@@ -7,8 +7,9 @@ import pytest
 from conftest import day, make_bars
 from pyspark.sql import functions as F
 
+import samples
 from barloom.operators import clean, complete, joins, pools, quality, schema
-from barloom.sources import bars as bar_source, calendar as cal, samples, tables
+from barloom.sources import bars as bar_source, calendar as cal, tables
 
 
 def gap3(spark):

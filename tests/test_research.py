@@ -72,10 +72,12 @@ def test_forward_return_by_calendar_not_by_row(spark):
 
 def test_forward_grid(spark):
     bars = make_bars(spark, {"A": [float(i) for i in range(10, 22)], "B": [1.0] * 9})
-    grid = research.forward_grid(bars).collect()
+    grid = research.forward_grid(bars, only_enough=True).collect()
     first = {r.n_days: r.ret for r in grid if r.date.day == 1}
     assert first == {n: pytest.approx(n / 10) for n in range(1, 11)}
     assert {r.order_book_id for r in grid} == {"A"}  # nine bars are not enough
+    every = research.forward_grid(bars)
+    assert every.where("order_book_id = 'B' AND enough").isEmpty() and every.where("order_book_id = 'B'").count() == 36
     short = research.short_returns(bars).where("order_book_id = 'A'").orderBy("date").first()
     assert (short.return_3d, short.return_5d) == (pytest.approx(0.2), pytest.approx(0.4))
 

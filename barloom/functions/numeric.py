@@ -48,3 +48,10 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 def pct_change(now: Column, before: Column) -> Column:
     return F.try_divide(now - before, before)
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows that have both, null where one of them does not vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.numeric import usable, usable_or_null
+from barloom.functions.numeric import correlation, usable, usable_or_null
 from barloom.functions.ranks import average_rank, exact_quantiles, range_edges, rank_in_ranges, with_ranges
 from barloom.functions.reuse import materialised
 from barloom.functions.student import correlation_p_value
@@ -150,7 +150,7 @@ def pearson_by_indicator(df: DataFrame, columns: Sequence[str], target: str) ->
     one = df.agg(*[
         F.struct(F.lit(c).alias("indicator"),
                  F.count(F.when(usable(c) & usable(target), 1)).alias("n"),
-                 F.corr(usable_or_null(c), y).alias("pearson")).alias(c)
+                 correlation(usable_or_null(c), y).alias("pearson")).alias(c)
         for c in columns])
     return one.select(F.inline(F.array(*[F.col(f"`{c}`") for c in columns])))
 
@@ -170,7 +170,7 @@ def spearman_by_indicator(df: DataFrame, columns: Sequence[str], target: str, ra
     ).where(F.col("x").isNotNull())
     ranked = rank_in_ranges(rank_in_ranges(long, "i", "x", "xr", "rx").drop("x"), "i", "y", "yr", "ry", long)
     names = F.array(*[F.lit(c) for c in columns])
-    return ranked.groupBy("i").agg(F.corr("rx", "ry").alias("spearman")).select(F.get(names, F.col("i")).alias("indicator"), "spearman")
+    return ranked.groupBy("i").agg(correlation(F.col("rx"), F.col("ry")).alias("spearman")).select(F.get(names, F.col("i")).alias("indicator"), "spearman")
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

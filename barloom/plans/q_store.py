@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from barloom.functions.formulas import fundamental_ratios
 from barloom.functions.numeric import rounded
 from barloom.functions.reuse import scratch_folder
+from barloom.operators import indicators, sketches
 from barloom.operators.asof import asof_join
 from barloom.plans import daily
 from barloom.plans.bindings import event_bars, instruments, symbol_code, table, trade_bars, trade_days
 from barloom.plans.q_io import _PLAIN
 from barloom.plans.registry import cte, query, sql
 from barloom.plans.shape import shape
-from barloom.sources import store
+from barloom.plans.sqltext import full
+from barloom.sources import landings, store, tables
+from barloom.sources.bars import dual_adjusted
 
 K = "order_book_id date"
 KS = "order_book_id, date"
@@ -153,6 +156,90 @@ def store_retained(spark: SparkSession, sf: str) -> DataFrame:
     return store.read(spark, base, "bars")
 
 
+# ---------------------------------------------------------------- buckets, sketches, deliveries
+
+_SMA5 = full("avg", "close", 5)
+
+
+def _bucketed(df: DataFrame, kind: str) -> DataFrame:
+    spark = df.sparkSession
+    path = scratch_folder(spark, "bucketed")
+    name = f"{kind}_{path[-12:]}"
+    tables.save_bucketed(df, name, path, 8)
+    return spark.table(name)
+
+
+@query("bucketed_sma", "A3 A4 G1", sql(f"SELECT {KS}, close, RND4({_SMA5}) AS sma_5 FROM bars", "bars"))
+def bucketed_sma(spark: SparkSession, sf: str) -> DataFrame:
+    bars = _bucketed(trade_bars(spark, sf).select("order_book_id", "date", "close"), "bars")
+    return shape(indicators.sma(bars, (5,)), f"{K} close sma_5", 4, "close")
+
+
+@query("bucketed_dual_adjust", "A3 A4 E4", sql(f"SELECT {KS}, close, close / 2 AS close_pre FROM bars", "bars"))
+def bucketed_dual_adjust(spark: SparkSession, sf: str) -> DataFrame:
+    bars = trade_bars(spark, sf).select("order_book_id", "date", "close")
+    post, pre = _bucketed(bars, "post"), _bucketed(bars.withColumn("close", F.col("close") / 2), "pre")
+    return dual_adjusted(post, pre)
+
+
+@query("many_symbols", "A25", sql(f"""SELECT {KS}, close FROM landed WHERE order_book_id IN
+ (SELECT order_book_id FROM instruments WHERE market_cap > 0) AND order_book_id <> '000003.XSHE'""", "landed", "instruments"))
+def many_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    base = scratch_folder(spark, "lake")
+    bars = trade_bars(spark, sf).select("order_book_id", "date", "close")
+    tables.save_table(bars, base, "bars")
+    wanted = [r[0] for r in instruments(spark, sf).where("market_cap > 0").select("order_book_id").collect()]  # the list of a user
+    cut = str(bars.agg(F.date_sub(F.max("date"), 400)).first()[0])
+    return tables.load_market_data(spark, base, [s for s in wanted if s != "000003.XSHE"], end=cut)
+
+
+_PROFILED = ("close", "volume", "order_book_id")
+
+
+@query("sketched_files", "A29 F36", sql(" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(count(*) AS BIGINT) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, {e} AS low, {h} AS high,
+    CAST(count(DISTINCT {c}) AS BIGINT) AS exact_distinct, true AS distinct_near, true AS median_near FROM bars"""
+    for c, e, h in (("close", "min(close)", "max(close)"), ("volume", "min(volume)", "max(volume)"),
+                    ("order_book_id", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)"))), "bars"))
+def sketched_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of even years are sketched first, then those of the others; the united sketches beside exact values: distinct
+    counts within four standard deviations, and the rank of the median within the stated error."""
+    base = scratch_folder(spark, "drops")
+    bars = trade_bars(spark, sf).select("order_book_id", "date", "close", "volume").withColumn("year", F.year("date"))
+    bars.write.partitionBy("year").parquet(f"{base}/bars")
+    sketches.sketch_new_files(spark, f"{base}/bars/year=???[02468]/*.parquet", f"{base}/sketches", _PROFILED)
+    sketches.sketch_new_files(spark, f"{base}/bars/year=*/*.parquet", f"{base}/sketches", _PROFILED)
+    found = sketches.united(spark, f"{base}/sketches")
+    back = spark.read.parquet(f"{base}/bars")
+    middle = found.groupBy().agg(*[F.max(F.when(F.col("column") == c, F.col("p50"))).alias(c) for c in ("close", "volume")])
+    m = middle.select(F.struct("close", "volume").alias("m")).scalar()
+    exact = back.withColumn("m", m).agg(
+        *[F.countDistinct(c).alias(f"d_{c}") for c in _PROFILED],
+        *[F.avg((F.col(c) <= F.col(f"m.{c}")).cast("double")).alias(f"at_{c}") for c in ("close", "volume")],
+        *[F.avg((F.col(c) < F.col(f"m.{c}")).cast("double")).alias(f"below_{c}") for c in ("close", "volume")])
+    rank = lambda c: (F.col(f"below_{c}") <= 0.5 + sketches.RANK_ERROR) & (F.col(f"at_{c}") >= 0.5 - sketches.RANK_ERROR)
+    one = exact.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"d_{c}").alias("exact_distinct"),
+        (rank(c) if c != "order_book_id" else F.lit(True)).alias("median_near")) for c in _PROFILED])))
+    near = F.abs(F.col("distinct") - F.col("exact_distinct")) <= 4 * sketches.DISTINCT_ERROR * F.col("exact_distinct")
+    return found.join(one, "column").select(
+        "column", "rows", "nulls", "low", "high", "exact_distinct", near.alias("distinct_near"), "median_near")
+
+
+@query("bars_landed", "A28", sql("SELECT * FROM ebars", "ebars"))
+def bars_landed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third event lands late, one delivery is sent twice."""
+    base = scratch_folder(spark, "landed")
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "value", F.lit(1.0).alias("one"))
+    late = F.col("event_id") % 3 == 0
+    for k, (name, part) in enumerate((("first", events.where(~late)), ("late", events.where(late)), ("first", events.where(~late)))):
+        commit = store.Commit(spark, base, f"2024013{k}_180000")
+        landings.land(commit, name, landings.partial_bars(part, "user_id", "ts", "value", "one", "value", ["ts", "event_id"])
+                      .withColumn("order_book_id", symbol_code(F.col("order_book_id"))))
+        commit.publish()
+    return landings.finished(store.read(spark, base, "partial_bars"))
+
+
 # ---------------------------------------------------------------- the daily job
 
 cte("members", """SELECT order_book_id FROM instruments WHERE status = 'Active' AND NOT regexp_matches(order_book_id, 'XHKG')

@@ -162,13 +162,36 @@ def drop_expired(spark: SparkSession, base: str, table: str, days: int = 90, as_
     return sorted(gone)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, buckets: int, by: Sequence[str] = (ID,),
+                  sort: Sequence[str] = (ID, DATE)) -> None:
+    """A catalogue table at `path` in buckets by symbol, one sorted file each. Windows by symbol and joins of two
+    such tables with equally many buckets need no exchange (joins by symbol and day, if the session sets
+    spark.sql.requireAllClusterKeysForCoPartition to false). A symbol's bars are bounded by the calendar, so a bucket
+    holds about its share of the symbols."""
+    (df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*sort).mode("overwrite").option("path", path)
+     .option("compression", "snappy").saveAsTable(name))
+
+
+LISTED = 32  # a longer symbol list is joined instead of written into the filter
+
+
+def of_symbols(df: DataFrame, symbols: Sequence[str] | None) -> DataFrame:
+    """Rows of some symbols. A short list reaches the scan as a filter; a longer one is a broadcast semi-join, since
+    a filter of thousands of literals is planned and sent with every task. The list comes from the driver, which
+    bounds it."""
+    if not symbols:
+        return df
+    wanted = sorted(set(symbols))
+    if len(wanted) <= LISTED:
+        return df.where(F.col(ID).isin(wanted))
+    listed = df.sparkSession.createDataFrame([(s,) for s in wanted], f"{ID} string")
+    return df.where(F.col(ID).between(wanted[0], wanted[-1])).join(F.broadcast(listed), ID, "left_semi")
+
+
 def load_market_data(spark: SparkSession, base: str, symbols: Sequence[str] | None = None,
                      start: str | None = None, end: str | None = None, table: str = "bars") -> DataFrame:
     """Bars of some symbols in a date range; the filters reach the scan."""
-    df = load_table(spark, base, table)
-    if symbols:
-        df = df.where(F.col(ID).isin(list(symbols)))
-    return date_range(df, start, end)
+    return date_range(of_symbols(load_table(spark, base, table), symbols), start, end)
 
 
 def route(spark: SparkSession, source: str | Sequence[str] | dict, base: str | None = None) -> DataFrame:

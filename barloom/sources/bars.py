@@ -3,11 +3,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions.numeric import as_col, to_tick
-from barloom.functions.ranks import HEAVY_SHARE, cumulative_counts, join_lookup, quantile_columns
-from barloom.functions.reuse import materialised
 
 BAR_FIELDS = ["open", "high", "low", "close", "volume", "amount"]
 
@@ -133,25 +131,35 @@ def adjustment_check(dual: DataFrame) -> DataFrame:
     )
 
 
+SIZE_RANGES = 32
+
+
 def large_order_ratio(ticks: DataFrame, prob: float = 0.9) -> DataFrame:
     """Per symbol and day: share of the amount from trades larger than the symbol's p90 size.
 
-    `ticks` needs order_book_id, date, size, amount. Trades of equal size collapse before the join,
-    and symbols with a large share of what is left are matched by broadcast.
+    `ticks` needs order_book_id, date, size, amount. A trade is larger than the (interpolated) quantile exactly if
+    more than floor(prob * (n - 1)) of the symbol's n trades are smaller, so the quantile itself is never looked
+    up. Trades of equal size and day collapse before the shuffle. The numbers of smaller trades are prefix sums in
+    ranges of sizes, moved by the ranges before them, so that a symbol with a third of all trades is worked off in
+    as many tasks as there are ranges.
     """
-    small = materialised(
-        ticks.groupBy("order_book_id", "date", "size")
-        .agg(F.sum("amount").alias("_a"), F.count(F.lit(1)).alias("_n")))
-    cum = cumulative_counts(small, "size", ["order_book_id"], weight="_n")
-    cut = cum.groupBy("order_book_id").agg(quantile_columns("size", [prob])[0].alias("_cut"))
-    rows = small.groupBy("order_book_id").agg(F.count(F.lit(1)).alias("_rows"))
-    total = rows.agg(F.sum("_rows").alias("t")).scalar()
-    # one row a symbol, read three times below
-    table = materialised(cut.join(rows, "order_book_id").select(
-        "order_book_id", "_cut", (F.col("_rows") * F.lit(HEAVY_SHARE) > total).alias("_heavy")))
-    big = F.sum(F.when(F.col("size") > F.col("_cut"), F.col("_a")).otherwise(F.lit(0.0)))
-    return (
-        join_lookup(small.drop("_n"), table, ["order_book_id"])
-        .groupBy("order_book_id", "date")
-        .agg(F.try_divide(big, F.sum("_a")).alias("large_order_ratio"))
-    )
+    known = ticks.where(F.col("size").isNotNull() & ~F.isnan(F.col("size").cast("double")))
+    probs = [k / SIZE_RANGES for k in range(1, SIZE_RANGES)]
+    edges = sorted(set(known.agg(F.percentile_approx(F.col("size").cast("double"), probs, 1000)).first()[0] or ()))
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("size"))) if edges else F.lit(0)
+    small = (ticks.groupBy("order_book_id", "date", "size").agg(F.sum("amount").alias("_a"), F.count(F.lit(1)).alias("_n"))
+             .withColumn("_part", part))
+    counted = F.when(F.col("size").isNotNull() & ~F.isnan(F.col("size").cast("double")), F.col("_n")).otherwise(0)
+    inside = Window.partitionBy("order_book_id", "_part").orderBy("size").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = small.withColumn("_n", counted).withColumn("_upto", F.sum("_n").over(inside))
+    same = Window.partitionBy("order_book_id", "_part", "size")
+    ranked = ranked.withColumn("_below", F.col("_upto") - F.sum("_n").over(same))
+    ranges = small.groupBy("order_book_id", "_part").agg(F.sum(counted).alias("_k"))
+    head = Window.partitionBy("order_book_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("order_book_id", "_part", F.coalesce(F.sum("_k").over(head), F.lit(0)).alias("_before"),
+                            F.sum("_k").over(Window.partitionBy("order_book_id")).alias("_total"))
+    rank = F.floor(F.lit(float(prob)) * (F.col("_total") - 1).cast("double"))
+    is_big = F.col("size").isNotNull() & (F.col("_before") + F.col("_below") > rank)
+    big = F.sum(F.when(is_big, F.col("_a")).otherwise(F.lit(0.0)))
+    return ranked.join(offsets, ["order_book_id", "_part"]).groupBy("order_book_id", "date").agg(
+        F.try_divide(big, F.sum("_a")).alias("large_order_ratio"))

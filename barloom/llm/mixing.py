@@ -14,6 +14,7 @@ the text ''; an empty table gives no rows; columns named replica or shuffle_key
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -24,7 +25,9 @@ from barloom.llm.registry import query
 
 TEMPERATURE = 0.5
 SEED = 17
-FEW_SOURCES = 5_000  # up to here the table of distributions is broadcast
+DEVIATIONS = 12  # a distribution is tabulated so many standard deviations around its mean
+BROADCAST_STEPS = 1 << 22  # so many numbers (32 MB) of all distributions together are broadcast, more are joined
+LEAST_START = 50  # a table starts above zero only from here on, where Stirling's series is exact to 1e-15
 HEX = 12  # digits of a hash that make a uniform number: 48 bits
 
 
@@ -64,16 +67,30 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, temperatu
         F.col("_w") / F.lit(float(total["all"])) * F.lit(float(total["total"])) / F.col("size")).alias("rate"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """Stirling's series."""
+    x = n.cast("double")
+    return (x * F.log(x) - x + F.lit(0.5) * F.log(F.lit(2 * math.pi) * x) + F.lit(1 / 12) / x - F.lit(1 / 360) / (x * x * x)
+            + F.lit(1 / 1260) / (x * x * x * x * x))
+
+
+def _bounds(rate: Column) -> tuple[Column, Column]:
+    spread = F.lit(DEVIATIONS) * F.sqrt(rate) + F.lit(20)
+    low = F.floor(rate - spread)
+    return F.when(low < LEAST_START, F.lit(0)).otherwise(low).cast("long"), F.ceil(rate + spread).cast("long")
+
+
 def poisson_steps(rate: DataFrame) -> DataFrame:
-    """Per source the ascending values of its distribution function, up to far beyond the mean; logs
-    keep large means from underflow."""
-    most = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    steps = rate.where("rate > 0").withColumn("k", F.explode(F.sequence(F.lit(0), most)))
+    """Per source the count `start` and the ascending values `cdf` of its distribution function from there on, as far
+    as the function can be told from 0 and 1; logs keep large means from underflow."""
+    low, high = _bounds(F.col("rate"))
+    steps = rate.where("rate > 0").withColumn("start", low).withColumn("k", F.explode(F.sequence(low, high)))
     so_far = Window.partitionBy("_source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    factorial = F.sum(F.when(F.col("k") > 0, F.log(F.col("k").cast("double"))).otherwise(0.0)).over(so_far)
+    further = F.sum(F.when(F.col("k") > F.col("start"), F.log(F.col("k").cast("double"))).otherwise(0.0)).over(so_far)
+    factorial = further + F.when(F.col("start") > 0, _log_factorial(F.greatest("start", F.lit(1)))).otherwise(0.0)
     p = F.exp(F.col("k") * F.log("rate") - F.col("rate") - factorial)
     steps = steps.withColumn("p", p).withColumn("cdf", F.sum("p").over(so_far))
-    return steps.groupBy("_source").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
+    return steps.groupBy("_source", "start").agg(F.sort_array(F.collect_list("cdf")).alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = TEMPERATURE,
@@ -81,17 +98,19 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     """The documents, each as often as drawn, dealt out and sorted by a random key; with `marks` also
     `replica` (from 0) and that key, `shuffle_key`."""
     rate = saved(rates(docs, weights, temperature, source, text), "rates")
-    found = rate.agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).first()
+    low, high = _bounds(F.col("rate"))
+    found = rate.agg(F.sum(high - low + 1).alias("steps"), F.sum("rows").alias("rows")).first()
     steps = poisson_steps(rate)
     # the row travels as one struct, so that no name of its own can clash with those used here
     rows = docs.select(F.coalesce(F.col(source), F.lit("")).alias("_source"), uniform(doc_id).alias("u"),
                        _id(doc_id).alias("id"), F.struct(*docs.columns).alias("doc"))
-    if found["n"] <= FEW_SOURCES:
+    if (found["steps"] or 0) <= BROADCAST_STEPS:
         drawn = rows.join(F.broadcast(steps), "_source")
     else:  # then sources with over a thousandth of the rows, at most a thousand, are broadcast
         heavy = rate.select("_source", (F.col("rows") * HEAVY_SHARE > F.lit(found["rows"])).alias("_heavy"))
         drawn = join_lookup(rows, saved(steps.join(heavy, "_source"), "steps"), ["_source"])
-    drawn = drawn.withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    above = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    drawn = drawn.withColumn("n", (F.col("start") + above).cast("int")).where("n > 0")
     out = drawn.select("id", "doc", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("replica"))
     out = out.select("doc", "replica", _hash(F.col("id"), F.col("replica").cast("string")).alias("shuffle_key"))
     out = out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

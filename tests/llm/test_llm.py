@@ -404,6 +404,17 @@ def test_resampling(spark, docs, none):
     assert resampling.resample(none, labels).count() == 0
 
 
+@pytest.mark.parametrize("rate", [0.3, 4.0, 60.0, 900.0, 250_000.0])
+def test_poisson_tables_of_any_mean(spark, rate):
+    row = mixing.poisson_steps(spark.createDataFrame([("s", rate)], "_source string, rate double")).first()
+    assert len(row.cdf) <= 2 * (12 * math.sqrt(rate) + 21) + 1 and row.cdf[-1] == pytest.approx(1, abs=1e-9)
+    assert row.start == 0 or row.cdf[0] < 1e-20
+    for u in (0.001, 0.3, 0.5, 0.97):
+        k = row.start + sum(c <= u for c in row.cdf)
+        low, high = (math.fsum(math.exp(j * math.log(rate) - rate - math.lgamma(j + 1)) for j in range(row.start, m)) for m in (k, k + 1))
+        assert low <= u + 1e-9 and high > u - 1e-9
+
+
 def test_mixing(spark, docs, none):
     def poisson(u, rate):
         k, p = 0, math.exp(-rate)
@@ -431,7 +442,7 @@ def test_mixing(spark, docs, none):
 
 def test_mixing_many_sources_equals_few(docs, monkeypatch):
     a = Counter((r.doc_id, r.replica) for r in mixing.mix(docs).collect())
-    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_STEPS", 0)
     assert Counter((r.doc_id, r.replica) for r in mixing.mix(docs).collect()) == a
 
 

@@ -7,8 +7,11 @@ next few. A fingerprint is the pair (time of the first peak, code of both freque
 time), stored as one long: time in the upper 32 bits, code in the lower.
 
 Edge cases: a null or empty text is a payload of 64 zero bytes; payloads of silence have no peaks; equal
-texts give equal bytes and features; very long payloads are transformed in blocks of frames; repeated rows
-are returned as often as they come; an empty table gives no rows.
+texts give equal bytes and features; of equally strong bins the lowest is the peak, of equally strong neighbouring
+frames the earlier one; very long payloads are transformed in blocks of frames; repeated rows
+are returned as often as they come; an empty table gives no rows; columns that the frame has under the names of
+those made here (n_bytes, media, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, landmarks) are
+replaced, all others stay.
 """
 from __future__ import annotations
 
@@ -130,8 +133,8 @@ def with_landmarks(stored: DataFrame, media: str = "media") -> DataFrame:
 
 @query("op7_media")
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The feature is the number of fingerprints and a digest of them."""
+    """The feature is the number of fingerprints and a digest of them; the time-coded array itself follows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     stored = saved(with_wav(docs), "media")
     feature = F.concat_ws(":", F.size("landmarks").cast("string"), F.md5(F.array_join("landmarks", ",").cast("binary")))
-    return with_landmarks(stored).withColumn("feature", feature).drop("landmarks")
+    return with_landmarks(stored).withColumn("feature", feature)

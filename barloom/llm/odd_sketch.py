@@ -46,9 +46,9 @@ BANDS, ROWS = 48, 6
 SAMPLES = BANDS * ROWS
 SAMPLE_WORDS, SET_WORDS = 16, 64  # 64-bit words of the two sketches
 SIGMAS = 5.0
-BLOCK = 2048  # members of a bucket that a task compares with as many others
+BLOCK = 512  # members of a bucket that a task compares with as many others
 PART = 1024  # pairs of one hub that are verified together
-MEMO = 1 << 20  # word hashes a task remembers
+MEMO = 1 << 18  # word hashes a task remembers
 
 SIGNED = "doc_id long, text_key long, n long, digest binary, bands binary"
 SETS = "node long, n long, marks array<long>, hashes binary"
@@ -399,17 +399,26 @@ class _Search:
             _verify(self.threshold), "a long, b long")
 
     def classes(self) -> DataFrame:
-        """(node, component) of every node with a link."""
-        links = saved(self.verified(self.stars()), "links")
-        found = connected_components(links)
+        """(node, component) of every node with a link. Later links join components, so only these are contracted."""
+        found = saved(connected_components(self.verified(self.stars())), "classes")
         for spanning in (True, False):
             more = saved(self.verified(self.compared(found, spanning)), "links")
             if not more.isEmpty():
-                links = links.unionByName(more)
-                found = connected_components(links)
+                found = saved(_joined(found, more), "classes")
         return found
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after further links between nodes of different classes."""
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    every = found.unionByName(ends.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    own = every.join(ends, "node", "left_semi")  # the nodes of the new links
+    a, b = (own.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in "ab")
+    between = links.join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a != b").distinct()
+    upper = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return every.join(upper, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+
+
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each band of a node."""
     for batch in batches:

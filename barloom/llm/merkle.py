@@ -64,6 +64,7 @@ def _numbered(leaves: DataFrame) -> DataFrame:
     adds the numbers of the ranges before it."""
     order = [F.col("g").asc(), *[F.col(f"order.{c}").asc_nulls_first() for c in leaves.schema["order"].dataType.names],
              F.col("leaf").asc()]
+    leaves = saved(leaves, "digests")  # the range shuffle samples its input first
     ranged = leaves.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = saved(ranged.drop("order").withColumn("at", F.monotonically_increasing_id()), "leaves")
     task = F.shiftright("at", 33).alias("task")

@@ -43,6 +43,21 @@ permitted provided that the following conditions are met: 1. Redistributions of
 copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
 reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
 and/or other materials provided with the distribution."""),
+    ("BSD-2-Clause", "permissive", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "permissive", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "permissive", """Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above
+copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must
+reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of
+its contributors may be used to endorse or promote products derived from this software without specific prior written
+permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
     ("CC-BY-4.0", "attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "attribution", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "noncommercial", "Licensed under CC BY-NC 4.0."),
@@ -53,6 +68,9 @@ International License."""),
 License."""),
     ("CC0-1.0", "public-domain", """To the extent possible under law, the author has waived all copyright and related or
 neighboring rights to this work."""),
+    ("EPL-2.0", "copyleft", "Eclipse Public License 2.0"),
+    ("EPL-2.0", "copyleft", """This program and the accompanying materials are made available under the terms of the
+Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""),
     ("GPL-2.0", "copyleft", """This program is free software; you can redistribute it and/or modify it under the terms of the
 GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
 your option) any later version."""),
@@ -62,6 +80,17 @@ GNU General Public License as published by the Free Software Foundation, either
 your option) any later version."""),
     ("ISC", "permissive", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without
 fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("ISC", "permissive", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without
+fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""),
+    ("LGPL-2.1", "copyleft", "GNU Lesser General Public License version 2.1"),
+    ("LGPL-2.1", "copyleft", """This library is free software; you can redistribute it and/or modify it under the terms of the
+GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or
+(at your option) any later version."""),
     ("MIT", "permissive", "Released under the MIT License."),
     ("MIT", "permissive", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including without
@@ -165,10 +194,26 @@ def passage_matches(passage: Column, templates: list[tuple[str, str, str]], thre
     return _let(F.split(F.btrim(F.regexp_replace(F.lower(passage), "[^a-z0-9]+", " ")), " "), of_words)
 
 
-def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, str]] | None = None,
+MOST_TEMPLATES, MOST_CHARS = 500, 1 << 20  # of a table of templates; they become a literal of the plan
+
+
+def templates_of(frame: DataFrame) -> list[tuple[str, str, str]]:
+    """Templates from a table (license, kind, text), in alphabetical order. A table above the bounds is refused, since
+    its templates are sent with every task; rows without a licence or with fewer than two words are left out."""
+    rows = frame.select("license", "kind", "text").where("license is not null and text is not null")
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    if size["n"] > MOST_TEMPLATES or size["chars"] > MOST_CHARS:
+        raise ValueError(f"{size['n']} templates with {size['chars']} characters are more than {MOST_TEMPLATES} with {MOST_CHARS}")
+    return sorted((r["license"], r["kind"] or "", r["text"]) for r in rows.collect() if len(template_words(r["text"])) > 1)
+
+
+def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str, str]] | DataFrame | None = None,
          threshold: float = THRESHOLD) -> DataFrame:
-    """The rows with `matches`, an array of (dice, license, kind, passage), best first."""
-    use = TEMPLATES if templates is None else templates
+    """The rows with `matches`, an array of (dice, license, kind, passage), best first; it replaces a column of that
+    name. Templates are a list of (license, kind, text) or a table of them."""
+    use = TEMPLATES if templates is None else templates_of(templates) if isinstance(templates, DataFrame) else templates
+    if not use:
+        raise ValueError("there are no templates")
     if not 0 < threshold <= 1 or any(len(template_words(t)) < 2 for _, _, t in use):
         raise ValueError("the threshold is in (0, 1] and a template has two words or more")
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -42,6 +42,7 @@ def rank_per_date(scores: DataFrame, score: str = "composite_score") -> DataFram
     day and range that meet, at most one a day plus one a range.
     """
     order = [F.asc(DATE), F.desc_nulls_last(score), F.asc(ID)]
+    scores = materialised(scores)  # the range shuffle samples its input first
     # the places count from the start of a range and are kept, so that no later pass cuts other ranges
     placed = materialised(scores.repartitionByRange(*order).sortWithinPartitions(*order)
                           .withColumn("_at", F.monotonically_increasing_id()))

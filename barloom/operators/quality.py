@@ -81,16 +81,13 @@ def _broken(c: Column) -> dict[str, Column]:
 
 
 def abnormal_prices(df: DataFrame, columns: Sequence[str] = OHLC) -> DataFrame:
-    """Per symbol, price column and rule: number, minimum, maximum and mean of offending values."""
-    per = {}
-    for c in columns:
-        for rule, bad in _broken(F.col(c)).items():
-            v = F.when(bad, F.col(c))
-            per[f"{c}|{rule}"] = F.struct(
-                F.lit(c).alias("price_column"), F.lit(rule).alias("rule"), F.count(v).alias("n"),
-                F.min(v).alias("min_price"), F.max(v).alias("max_price"), F.avg(v).alias("mean_price"))
-    wide = df.groupBy(ID).agg(*[e.alias(n) for n, e in per.items()])
-    return wide.select(ID, F.inline(F.array(*[F.col(f"`{n}`") for n in per]))).where(F.col("n") > 0)
+    """Per symbol, price column and rule: number, minimum, maximum and mean of offending values. Only the
+    offending values are unfolded and grouped."""
+    cells = [F.when(bad, F.struct(F.lit(c).alias("price_column"), F.lit(rule).alias("rule"), F.col(c).alias("v")))
+             for c in columns for rule, bad in _broken(F.col(c)).items()]
+    hits = df.where(_any_abnormal(columns)).select(ID, F.explode(F.array_compact(F.array(*cells))).alias("x"))
+    return hits.groupBy(ID, "x.price_column", "x.rule").agg(
+        F.count("x.v").alias("n"), F.min("x.v").alias("min_price"), F.max("x.v").alias("max_price"), F.avg("x.v").alias("mean_price"))
 
 
 def abnormal_totals(df: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def rank_in_ranges(df: DataFrame, by: str, value: str, part: str, out: str, coun
     rest = [c for c in df.columns if c not in (by, part)]
     salted = df.withColumn("_salt", F.when(tie, F.pmod(F.xxhash64(*rest, F.lit(5)), F.lit(TIE_SHARE))).otherwise(0))
     inside = Window.partitionBy(by, part, "_salt").orderBy(value)
-    peers = F.count(F.lit(1)).over(inside.rangeBetween(Window.currentRow, Window.currentRow))
+    peers = F.count(F.lit(1)).over(Window.partitionBy(by, part, "_salt", value))  # sorted alike
     ranked = salted.withColumns({"_rank": F.rank().over(inside), "_peers": peers})
     own = F.when(tie, (F.col("_n") + 1) / 2.0).otherwise(F.col("_rank") + (F.col("_peers") - 1) / 2.0)
     return ranked.join(F.broadcast(totals), [by, part]).withColumn(out, F.col("_before") + own).drop(

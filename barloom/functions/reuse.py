@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.functions import files
+
 SETTING = "spark.checkpoint.dir"
 
 
@@ -28,6 +30,20 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints, for tables that a job writes and reads back."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this process has made, once nothing reads frames made from them any more;
+    how many there were."""
+    gone = list(_SCRATCH)
+    for path in gone:
+        files.delete(spark, path)
+    _SCRATCH.clear()
+    return len(gone)

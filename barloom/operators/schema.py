@@ -6,8 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from barloom.functions.reuse import materialised
-
 ID, DATE = "order_book_id", "date"
 
 TYPES = {
@@ -245,15 +243,13 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def gate(df: DataFrame, check_rows: bool = True) -> DataFrame:
-    """Refuse a frame without symbol, date and numeric close, or without rows. The rows are written once, so that
-    looking for one does not run the frame's plan a second time."""
+    """Refuse a frame without symbol, date and numeric close, or without rows. Looking for a row runs the frame's
+    plan up to the first one, so give it a frame that is stored or `materialised`."""
     require_columns(df, [ID, DATE, "close"])
     if not isinstance(df.schema["close"].dataType, T.NumericType):
         raise ValueError("close is not numeric")
-    if check_rows:
-        df = materialised(df)
-        if df.isEmpty():
-            raise ValueError("the frame has no rows")
+    if check_rows and df.isEmpty():
+        raise ValueError("the frame has no rows")
     return df
 
 

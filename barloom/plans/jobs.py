@@ -16,7 +16,7 @@ ID, DATE = "order_book_id", "date"
 def analyse(spark: SparkSession, source, base: str | None = None, market: str = "normal",
             out: str | None = None) -> DataFrame:
     """Load -> check -> indicators -> scores, saved when a path is given."""
-    bars = schema.gate(tables.route(spark, source, base))
+    bars = schema.gate(materialised(tables.route(spark, source, base)))
     scored = scoring.score_bars(_scorer_ready(indicators.scorer_inputs(bars)), market)
     if out:
         tables.save(scored, out)
@@ -46,22 +46,6 @@ def sync_factors(factors: DataFrame, names: Sequence[str]) -> DataFrame:
     return joins.wide_factors(joins.select_factors(factors, names), names)
 
 
-def daily_run(spark: SparkSession, base: str, bars: DataFrame, fundamentals: DataFrame | None,
-              stamp: str, market: str = "normal") -> DataFrame:
-    """Indicators (saved) -> merge with fundamentals -> scores (saved twice: scores and the daily
-    result). Its own indicator snapshot is read back, so it is computed once and a run for an earlier day
-    never takes another run's rows."""
-    tables.write_snapshot(indicators.scorer_inputs(bars), base, "indicators", stamp)
-    ready = tables.snapshot(spark, base, "indicators", stamp)
-    merged = joins.merge_all(ready, fundamentals)
-    scored = scoring.score_bars(_scorer_ready(merged), market)
-    tables.write_snapshot(scored, base, "scores", stamp)
-    saved = tables.snapshot(spark, base, "scores", stamp)
-    daily = saved.select(ID, DATE, "close", "composite_score", "score_level")
-    tables.write_snapshot(daily, base, "daily_results", stamp)
-    return saved
-
-
 def signal_returns(scores: DataFrame, bars: DataFrame, calendar: DataFrame, n: int) -> DataFrame:
     """Scores with the return n trading days ahead, written once for the passes that follow."""
     prices = research.forward_return(bars.select(ID, DATE, "close"), calendar, n)

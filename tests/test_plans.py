@@ -7,7 +7,7 @@ import pytest
 from conftest import day, make_bars
 from pyspark.sql import functions as F
 
-from barloom.functions import ranks, reuse
+from barloom.functions import files, ranks, reuse
 from barloom.operators import clean, complete, indicators as ind, pools, research
 from barloom.plans import bindings
 from barloom.sources import bars as bar_source, calendar as cal
@@ -80,6 +80,9 @@ def test_checkpoint_folder_is_ready(spark):
     assert reuse.scratch_folder(spark, "x") != reuse.scratch_folder(spark, "x")
     df = reuse.materialised(spark.range(5))
     assert df.count() == 5
+    path = reuse.scratch_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert reuse.drop_scratch(spark) >= 1 and not files.exists(spark, path) and reuse.drop_scratch(spark) == 0
 
 
 @pytest.mark.parametrize("method", ["forward", "backward", "linear"])

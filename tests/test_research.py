@@ -82,6 +82,12 @@ def test_forward_grid(spark):
     assert (short.return_3d, short.return_5d) == (pytest.approx(0.2), pytest.approx(0.4))
 
 
+def test_forward_grid_counts_a_close_of_zero(spark):
+    bars = make_bars(spark, {"A": [4.0, 0.0, 5.0]})
+    got = research.forward_grid(bars).select(F.dayofmonth("date"), "n_days", "ret").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, -1.0), (1, 2, 0.25)]  # no return from the close of zero itself
+
+
 def test_deciles_cover_all_rows(spark):
     x = np.random.default_rng(2).normal(0, 1, 1003)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "r": x * 2}))

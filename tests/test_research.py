@@ -88,6 +88,13 @@ def test_forward_grid_counts_a_close_of_zero(spark):
     assert sorted(map(tuple, got)) == [(1, 1, -1.0), (1, 2, 0.25)]  # no return from the close of zero itself
 
 
+def test_rsi_surface_counts_a_close_of_zero(spark):
+    bars = make_bars(spark, {"A": [4.0, 0.0, 5.0], "B": [4.0, 6.0]}).withColumn("rsi_14", F.lit(57.0))
+    got = research.rsi_surface(research.forward_grid(bars, carry=["rsi_14"])).collect()
+    want = {(55, 1): (2, -0.25, 0.75), (55, 2): (1, 0.25, 0.0)}
+    assert {(r.rsi_center, r.n_days): (r["count"], r.median, r.std) for r in got} == want
+
+
 def test_deciles_cover_all_rows(spark):
     x = np.random.default_rng(2).normal(0, 1, 1003)
     df = spark.createDataFrame(pd.DataFrame({"x": x, "r": x * 2}))

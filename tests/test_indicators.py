@@ -6,7 +6,7 @@ import pytest
 from conftest import make_bars
 from pyspark.sql import functions as F
 
-from barloom.operators import indicators as ind
+from barloom.operators import indicators as ind, research
 
 
 def column(df, name, symbol="A"):
@@ -115,3 +115,22 @@ def test_one_exchange_for_many_indicators(spark):
     bars = make_bars(spark, {"A": [1.0, 2.0, 3.0]})
     plan = ind.scorer_inputs(bars)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count(" Sort [")
+
+
+def test_one_sort_for_many_indicators_and_the_forward_return(spark):
+    bars = make_bars(spark, {"A": [1.0, 2.0], "B": [5.0, 6.0]})
+    days = bars.select("date").distinct().withColumn("trade_seq", F.dayofmonth("date").cast("long"))
+    df = research.forward_return(ind.calculate_indicators(bars), days, 1)
+    assert sorts(df) == 1 and len(df.collect()) == 2
+    assert sorts(ind.scorer_inputs(bars)) == 1
+
+
+def test_ema_with_missing_values(spark):
+    x = [None, 3.0, None, None, 8.0, 1.0, None, 4.0] * 40
+    got = column(ind.ema(make_bars(spark, {"A": x}), (5,)), "ema_5")
+    want = pd.Series(x, dtype=float).ewm(span=5, adjust=True, ignore_na=False).mean().where(pd.Series(x, dtype=float).notna())
+    assert np.allclose(np.array(got, dtype=float), want, equal_nan=True)

@@ -200,6 +200,6 @@ def signal_study(spark: SparkSession, sf: str) -> DataFrame:
     """The job over the indicators of the catalogue, all that have a category."""
     b = trade_bars(spark, sf)
     wanted = [c for cols in q_research.CATEGORIES.values() for c in cols]
-    scores = ind.calculate_indicators(b).select("order_book_id", "date", *wanted)
-    df = jobs.signal_study(scores, b, trade_days(spark, sf), 5, q_research.CATEGORIES)
+    scores = ind.calculate_indicators(b).select("order_book_id", "date", "close", *wanted)
+    df = jobs.signal_study(scores, None, trade_days(spark, sf), 5, q_research.CATEGORIES)
     return shape(df, "category indicator n pearson pearson_p spearman spearman_p stars", 6)

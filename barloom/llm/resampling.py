@@ -184,8 +184,15 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, keep_shar
     return scored.withColumn("kept", F.lit(False) if cut is None else F.col("key") >= cut)
 
 
+def sample_size(docs: DataFrame, labels: DataFrame, quality: str = "quality") -> int:
+    """As many rows as the labels let expect to be good: their share of good rows times the rows; all without labels."""
+    share = labels.agg(F.avg((F.col(quality) == 1).cast("double"))).first()[0]
+    return round(docs.count() * (1.0 if share is None else share))
+
+
 @query("op2_resampling")
 def op2_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = resample(docs, table(spark, sf_dir, "labels"))
+    """The sample is the k rows with the largest keys."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = resample(docs, labels, k=sample_size(docs, labels))
     return found.select("doc.doc_id", "n_grams", "log_weight", "key", "kept")

@@ -105,6 +105,17 @@ def test_resampling_equals_plain_python(spark, target_rows, k):
     assert [g[4] for g in got] == [w[3] >= cut - 1e-9 for w in want]
 
 
+def test_op2_keeps_the_k_largest_keys(spark, tmp_path):
+    rows = [(i, f"garden {i % 7} river {i % 5} stone " * 6 if i % 5 else f"### buy {i % 9} now $$$ " * 6) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 5 > 1)) for i in range(0, 400, 3)]  # a fifth of the good ones is labelled bad
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = resampling.op2_resampling(spark, str(tmp_path)).collect()
+    k = round(400 * sum(q for _, q in labels) / len(labels))
+    assert len(got) == 400 and k < 300
+    assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in sorted(got, key=lambda r: -r.key)[:k]}
+
+
 # ---------------------------------------------------------------- op7
 
 

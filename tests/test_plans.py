@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import files, ranks, reuse
 from barloom.operators import clean, complete, indicators as ind, pools, research
-from barloom.plans import bindings
+from barloom.plans import bindings, jobs
 from barloom.sources import bars as bar_source, calendar as cal
 
 
@@ -93,3 +93,13 @@ def test_filled_rows_never_repeat_a_day(spark, method):
     out = complete.complete(kept, method)
     assert out.groupBy("order_book_id", "date").count().where("count > 1").isEmpty()
     assert out.where(~F.col("is_filled")).count() == len(days)
+
+
+def test_validation_scores_are_computed_once(spark):
+    days = [day(f"2024-01-{d:02d}") for d in range(1, 13)]
+    bars = spark.createDataFrame([(s, d, 10.0 + i + k) for k, s in enumerate("AB") for i, d in enumerate(days)],
+                                 "order_book_id string, date date, close double")
+    scores = bars.where(F.col("date") == days[-1]).withColumn("composite_score", F.col("close"))
+    found = jobs.validate_scores(scores, bars, ["composite_score"])
+    plan = found["extremes"]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and {r.side: r.n for r in found["extremes"].collect()} == {"top": 2, "bottom": 2}

@@ -103,3 +103,16 @@ def test_validation_scores_are_computed_once(spark):
     found = jobs.validate_scores(scores, bars, ["composite_score"])
     plan = found["extremes"]._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and {r.side: r.n for r in found["extremes"].collect()} == {"top": 2, "bottom": 2}
+
+
+def test_order_size_share_is_counted_with_the_bars(spark, sf):
+    bars = bindings.sized_bars(spark, sf)
+    text = plan(bars)
+    assert "SortMergeJoin" not in text and "SortAggregate" not in text
+    rows = [("A", 1.0, 10.0), ("A", 9.0, 30.0), (None, 9.0, 5.0), ("B", None, 2.0), ("B", None, None), ("C", 2.0, None)]
+    ticks = spark.createDataFrame([(s, day("2024-01-01"), 1.0, z, a, k) for k, (s, z, a) in enumerate(rows)],
+                                  "order_book_id string, date date, price double, size double, amount double, k long")
+    made = bar_source.daily_bars(bar_source.with_large_sizes(ticks), "order_book_id", "date", "price", "size", "amount",
+                                 sequence="k", large_from="large_from")
+    assert {r.order_book_id: r.large_order_ratio for r in made.collect()} == {"A": 0.75, None: None, "B": 0.0, "C": None}
+    assert {r.order_book_id: r.large_order_ratio for r in bar_source.large_order_ratio(ticks).collect()} == {"A": 0.75, "B": 0.0, "C": None}

@@ -121,3 +121,9 @@ def test_spearman_shuffles_the_long_rows_twice(spark):
     text = plan(research.spearman_by_indicator(df, ["a", "b"], "y"))
     assert text.count("Exchange hashpartitioning(i#") <= 7 and "SortMergeJoin" not in text and "NestedLoop" not in text
     assert sum("_salt" in line for line in text.splitlines() if "Exchange hashpartitioning" in line) <= 2
+
+
+def test_spearman_shuffles_the_long_rows_once(spark):
+    df = spark.createDataFrame(pd.DataFrame(np.random.default_rng(1).normal(size=(500, 3)), columns=["a", "b", "y"]))
+    lines = [x for x in plan(research.spearman_by_indicator(df, ["a", "b"], "y")).splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("i#" in x and "_salt" in x for x in lines) == 1 and sum("_r__y" in x and "_salt" in x for x in lines) == 1

@@ -40,6 +40,16 @@ def test_rsi_value(spark):
     assert column(df, "rsi_3")[-1] == pytest.approx(100 - 100 / 6)
 
 
+def test_rsi_on_an_edge_is_exact(spark):
+    # gains 0.1 + 0.2 and losses 0.3 in cents, which binary fractions make unequal; then gains 0.06 and losses 0.14
+    df = make_bars(spark, {"A": [1.0, 1.1, 1.3, 1.0], "B": [272.8, 272.86, 272.72, 272.72], "C": [float("inf"), 1.0, 2.0, 4.0]})
+    out = ind.rsi(df, (3,), details=True)
+    assert column(out, "rsi_3", "A")[-1] == 50.0
+    assert column(out, "rsi_3", "B")[-1] == 30.0
+    assert column(out, "rsi_3", "C")[-2:] == [0.0, 0.0]  # an infinite loss
+    assert column(out, "avg_gain_3", "A")[-1] == pytest.approx(0.1) and column(out, "price_change", "A")[-1] == -0.3
+
+
 @pytest.mark.parametrize("span", [2, 3, 5, 9, 30, 200])
 def test_ema_equals_pandas_over_many_blocks(spark, span):
     x = 100 + np.cumsum(np.random.default_rng(7).normal(0, 1, 3000))

@@ -50,6 +50,19 @@ def save(df: DataFrame, path: str, mode: str = "overwrite", **options) -> None:
     df.write.format(fmt).mode(mode).options(**options).save(path)
 
 
+def save_parts(parts: Sequence[DataFrame], path: str, **options) -> None:
+    """Frames of one schema, saved one after the other as one. The marker of a finished file comes with the last, and
+    if one fails the others go."""
+    for k, df in enumerate(parts):
+        marker = {} if k == len(parts) - 1 else {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+        try:
+            save(df, path, "append" if k else "overwrite", **options, **marker)
+        except BaseException:
+            if k:
+                files.delete(df.sparkSession, path)
+            raise
+
+
 def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A list of records, one object, or one object of parallel lists -> rows. Such a file is read by one
     task, which suits small landed files; with `lines` a file has a record a line and is split."""

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions import reuse
 from barloom.operators import indicators, scoring
-from barloom.plans import daily
-from barloom.sources import calendar as cal, store
+from barloom.plans import daily, jobs
+from barloom.sources import calendar as cal, store, tables
 
 KEYS = ["order_book_id", "date"]
 SCORED = [*KEYS, "composite_score", "macd_hist", "year_high", "volume_trend"]
@@ -118,3 +118,25 @@ def test_the_first_rows_of_a_table_are_written_once(spark, bars, tmp_path, monke
     with pytest.raises(ValueError):
         store.upsert(commit, "others", bars.unionByName(bars.limit(1)))
     assert commit.read("others") is None
+
+
+def test_an_analysis_saves_in_slices_without_a_copy_of_its_file(spark, bars, tmp_path, monkeypatch):
+    source, out = f"{tmp_path}/bars.parquet", f"{tmp_path}/scores.parquet"
+    bars.write.parquet(source)
+    monkeypatch.setattr(jobs, "SLICE_ROWS", 70)
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "materialised", lambda df: pytest.fail("a copy of the file"))
+        given = jobs.analyse(spark, source, out=out)
+    saved = tables.load(spark, out)
+    want = content(full(bars, bars.limit(0).select("order_book_id", F.lit("").alias("industry"), F.lit(0.0).alias("market_cap")))
+                   .select(*KEYS, "trend_score", "risk_score", "macd_hist"))
+    assert content(saved.select(*KEYS, "trend_score", "risk_score", "macd_hist")) == want
+    assert content(given.select(*KEYS, "trend_score", "risk_score", "macd_hist")) == want
+    assert saved.columns == given.columns and saved.select("_calculation_timestamp").distinct().count() == 1
+    assert "_SUCCESS" in os.listdir(out)
+    jobs.analyse(spark, f"file:{source}", out=source)  # a file that its scores replace is copied first
+    assert content(tables.load(spark, source).select(*KEYS, "trend_score", "risk_score", "macd_hist")) == want
+    bad = bars.withColumn("close", F.raise_error(F.lit("bad")).cast("double"))
+    with pytest.raises(Exception):
+        tables.save_parts([bars, bad], out)
+    assert not os.path.exists(out)

@@ -154,11 +154,11 @@ def retained(df: DataFrame, days: int = 90, as_of: str | None = None) -> DataFra
 
 
 def drop_expired(spark: SparkSession, base: str, table: str, days: int = 90, as_of: str | None = None,
-                 zone: str = "processed") -> list[str]:
+                 zone: str = "processed", whole: bool = False) -> list[str]:
     """Delete the day partitions of a stored table that are older than `days` before `as_of` (today when
-    not given), and give their names. No file is read or written again. A table without day partitions has one
-    age, that of its newest file: if that is older, the whole table goes and its name is given. Rows of month
-    tables are cut by `store.drop_before`."""
+    not given), and give their names. No file is read or written again. A table without day partitions is
+    refused unless `whole` is set; its one age is then that of its newest file, and if that is older, the whole table goes
+    and its name is given. Rows of month tables are cut by `store.drop_before`."""
     end = F.lit(as_of).cast("date") if as_of else F.current_date()
     edge = spark.range(1).select(F.date_sub(end, days).alias("d")).select("d", F.unix_timestamp(F.col("d").cast("timestamp")).alias("s")).first()
     path, cut = table_path(base, table, zone), f"{DATE}={edge['d']}"
@@ -166,6 +166,8 @@ def drop_expired(spark: SparkSession, base: str, table: str, days: int = 90, as_
     dated = sorted(f for f in held if re.fullmatch(rf"{DATE}=\d{{4}}-\d\d-\d\d", f))
     if dated:
         gone = {f: held[f] for f in dated if f < cut}
+    elif not whole:
+        raise ValueError(f"{table} is not partitioned by {DATE}")
     else:
         changed = files.newest_change(spark, path)
         gone = {table: path} if changed is not None and changed < edge["s"] else {}

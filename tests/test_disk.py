@@ -140,3 +140,9 @@ def test_an_analysis_saves_in_slices_without_a_copy_of_its_file(spark, bars, tmp
     with pytest.raises(Exception):
         tables.save_parts([bars, bad], out)
     assert not os.path.exists(out)
+
+
+def test_a_table_without_days_goes_only_as_a_whole_and_when_asked(spark, bars, tmp_path):
+    tables.save_table(bars, str(tmp_path), "whole")
+    assert tables.drop_expired(spark, str(tmp_path), "whole", 1, "2024-01-04", whole=True) == []  # its files are newer
+    assert tables.drop_expired(spark, str(tmp_path), "whole", 1, "2999-01-01", whole=True) == ["whole"]
